@@ -101,23 +101,24 @@ def schedule_state(
     a few entries long. The window is OPEN when its covered seconds equal its length.
     """
     s, e = F.unix_micros(col(start)), F.unix_micros(col(end))
-    week = 7 * 86400
+    second = 1_000_000
+    week = 7 * 86400 * second
     local = local_time(start, zone)
-    since_sunday = F.pmod(F.dayofweek(local) - 1, F.lit(7)) * 86400 + F.pmod(
-        F.unix_micros(local), F.lit(86_400_000_000)
-    ) / F.lit(1_000_000)
-    length = (e - s) / F.lit(1_000_000)
-    covered = F.lit(0.0)
+    day = F.pmod(F.dayofweek(local) - 1, F.lit(7)).cast("bigint") * F.lit(86400 * second)
+    since_sunday = day + F.pmod(F.unix_micros(local), F.lit(86400 * second))
+    length = e - s
+    covered = F.lit(0).cast("bigint")
     for lo, hi in weekly:
         for shift in (0, week):
             covered = covered + F.greatest(
-                F.least(since_sunday + length, F.lit(hi + shift)) - F.greatest(since_sunday, F.lit(lo + shift)),
-                F.lit(0.0),
+                F.least(since_sunday + length, F.lit(hi * second + shift))
+                - F.greatest(since_sunday, F.lit(lo * second + shift)),
+                F.lit(0),
             )
     on_holiday = F.lit(False)
     for lo, hi in holidays:
         on_holiday = on_holiday | ((col(start) < F.lit(hi).cast("timestamp")) & (col(end) > F.lit(lo).cast("timestamp")))
-    usable = (length > 0) & (length <= 3600)
+    usable = (length > 0) & (length <= 3600 * second)
     return (
         F.when(~usable | usable.isNull(), "UNKNOWN")
         .when(on_holiday | (covered < length), "CLOSED_SCHEDULED")

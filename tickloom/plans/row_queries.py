@@ -211,7 +211,7 @@ def p11_hour_blocks(spark, sf):
        fri AS (SELECT DATE '1994-12-30' + 7 * i::INT AS d FROM range(400) t(i)),
        c AS (SELECT timezone('UTC', timezone('America/New_York', d + INTERVAL 17 HOUR)) AS cs,
                     timezone('UTC', timezone('America/New_York', d + INTERVAL 2 DAY + INTERVAL 17 HOUR)) AS ce FROM fri),
-       x AS (SELECT o_orderkey, s, e, coalesce(sum(greatest(0, least(epoch_us(e), epoch_us(ce)) - greatest(epoch_us(s), epoch_us(cs)))), 0) / 1e6 AS closed
+       x AS (SELECT o_orderkey, s, e, coalesce(sum(CASE WHEN cs IS NOT NULL THEN greatest(0, least(epoch_us(e), epoch_us(ce)) - greatest(epoch_us(s), epoch_us(cs))) END), 0) / 1e6 AS closed
              FROM p LEFT JOIN c ON cs < e AND ce > s GROUP BY 1, 2, 3)
        SELECT o_orderkey, (epoch_us(e) - epoch_us(s)) / 1e6 - closed AS open_seconds,
               e > s AND (epoch_us(e) - epoch_us(s)) / 1e6 - closed = 0 AS covers_closed FROM x""",
@@ -247,12 +247,12 @@ HOLIDAYS = [("2024-01-01 00:00:00", "2024-01-02 00:00:00"), ("2024-01-15 12:00:0
     "p14_schedule_window",
     """WITH w AS (SELECT event_id AS seq, ts AS s, ts + to_seconds(event_id % 4000) AS e, event_id % 4000 AS len FROM events),
        l AS (SELECT *, timezone('America/New_York', timezone('UTC', s)) AS t FROM w),
-       x AS (SELECT *, dayofweek(t) * 86400 + epoch_us(t) % 86400000000 / 1e6 AS since FROM l),
-       iv AS (SELECT 61200 + 86400 * d + k * 604800 AS lo, 61200 + 86400 * (d + 1) - 120 + k * 604800 AS hi FROM range(5) a(d), range(2) b(k)),
-       c AS (SELECT seq, s, e, len, sum(greatest(least(since + len, hi) - greatest(since, lo), 0)) AS covered FROM x, iv GROUP BY ALL)
+       x AS (SELECT *, (dayofweek(t) * 86400000000 + epoch_us(t) % 86400000000) AS since FROM l),
+       iv AS (SELECT (61200 + 86400 * d + k * 604800) * 1000000 AS lo, (61200 + 86400 * (d + 1) - 120 + k * 604800) * 1000000 AS hi FROM range(5) a(d), range(2) b(k)),
+       c AS (SELECT seq, s, e, len, sum(greatest(least(since + len * 1000000, hi) - greatest(since, lo), 0)) AS covered FROM x, iv GROUP BY ALL)
        SELECT seq, CASE WHEN len <= 0 OR len > 3600 THEN 'UNKNOWN'
          WHEN s < TIMESTAMP '2024-01-02' AND e > TIMESTAMP '2024-01-01' OR s < TIMESTAMP '2024-01-15 18:00:00' AND e > TIMESTAMP '2024-01-15 12:00:00'
-           OR covered < len - 1e-6 THEN 'CLOSED_SCHEDULED' ELSE 'OPEN' END AS state FROM c""",
+           OR covered < len * 1000000 THEN 'CLOSED_SCHEDULED' ELSE 'OPEN' END AS state FROM c""",
 )
 def p14_schedule_window(spark, sf):
     t = I.ticks(spark, sf).withColumn("until", C.plus_seconds("event_time", F.col("seq") % 4000))
@@ -271,7 +271,7 @@ def p14_schedule_window(spark, sf):
             CASE WHEN seq % 37 = 0 THEN 'MISSING_SOURCE_TIMESTAMP' END,
             CASE WHEN seq % 41 = 0 AND seq % 37 <> 0 THEN 'FUTURE_SOURCE_TIMESTAMP' WHEN seq % 37 <> 0 AND seq % 7 > 5 THEN 'FUTURE_AVAILABILITY' END,
             CASE WHEN seq % 7 > 5 THEN 'FUTURE_AVAILABILITY' WHEN seq % 43 = 0 THEN 'STALE' END,
-            CASE WHEN seq % 13 <> 0 AND seq % 47 = 0 THEN 'CROSSED' END], x -> x IS NOT NULL))), ',') AS reasons FROM quotes""",
+            CASE WHEN seq % 13 <> 0 AND seq % 47 = 0 THEN 'CROSSED' END], lambda x: x IS NOT NULL))), ',') AS reasons FROM quotes""",
     ),
 )
 def p15_quote_pair_reasons(spark, sf):

@@ -68,7 +68,7 @@ def main() -> int:
     args = ap.parse_args()
     spark, con, oracles, bad = local_session(), connect(args.sf), all_oracles(), 0
     for name, fn in all_queries().items():
-        if args.prefix and not any(name == p or name.startswith(p + "_") or name.startswith(p + "*") for p in args.prefix):
+        if args.prefix and not any(name == p or name.startswith(p + "_") or (p.endswith("*") and name.startswith(p[:-1])) for p in args.prefix):
             continue
         t0 = time.time()
         try:
