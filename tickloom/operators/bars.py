@@ -255,6 +255,9 @@ def histogram_quantiles(
     Work per key is bounded by the number of bins; values past the last bin fall in an
     overflow bin whose upper edge is unknown.
     """
+    wanted = list(keys)
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     binned = df.where(F.col(value).isNotNull()).withColumn(
         "_bin", F.least(F.floor(F.col(value) / width), F.lit(bins)).cast("bigint")
     )
@@ -273,7 +276,8 @@ def histogram_quantiles(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"),
         F.min(value).alias("min"), F.max(value).alias("max"),
     )
-    return moments.join(quant, keys, "left") if keys else moments.crossJoin(quant)
+    out = moments.join(quant, keys, "left")
+    return out if wanted else out.drop("_all")
 
 
 def quantile_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -282,4 +286,6 @@ def quantile_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.count(value).alias("known"), F.count_if(F.col(value).isNull()).alias("unknown"),
         F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
     )
+    if not keys:
+        raise ValueError("quantile_summary needs at least one key column")
     return base.join(exact_quantiles(df, keys, value, {"p50": 0.5, "p95": 0.95}), keys, "left")

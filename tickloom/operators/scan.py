@@ -157,10 +157,13 @@ def exact_quantiles(
     ``interpolate`` gives linear interpolation at p·(n−1); otherwise the order statistic
     at rank ⌈p·n⌉.
     """
+    wanted, keys = list(keys), list(keys)
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
     ranked = running(range_chunks(counts, keys, [value]), keys, [value], {"_upto": run_sum("_cnt")})
     totals = ranked.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
-    ranked = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(totals)
+    ranked = ranked.join(totals, keys)
 
     def at(rank: Column) -> Column:  # zero-based rank
         return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_cnt")), F.col(value)))
@@ -178,7 +181,7 @@ def exact_quantiles(
             pos = F.lit(float(p)) * (F.col("_n") - 1)
             lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
             out = out.withColumn(name, lo + (hi - lo) * (pos - F.floor(pos)))
-    return out.select(*keys, *probs)
+    return out.select(*wanted, *probs)
 
 
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, schema: str) -> DataFrame:
@@ -197,11 +200,13 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step,
         for batch in batches:
             if batch.empty:
                 continue
-            key = pd.MultiIndex.from_frame(batch[names].astype(str))
-            starts = [0, *[i for i in range(1, len(batch)) if key[i] != key[i - 1]], len(batch)]
+            key = batch[names].astype(str)
+            changed = (key != key.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+            starts = [*dict.fromkeys([0, *changed]), len(batch)]
             for lo, hi in zip(starts, starts[1:]):
-                if key[lo] != current:
-                    current, state = key[lo], None
+                head = tuple(key.iloc[lo])
+                if head != current:
+                    current, state = head, None
                 state, out = step(state, batch.iloc[lo:hi])
                 yield out
 
@@ -209,5 +214,41 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step,
     return placed.mapInPandas(run, schema)
 
 
+def fold_ranges(
+    chunked: DataFrame, keys: Sequence[str], order: Sequence[str], state: Mapping[str, str], step, schema: str
+) -> DataFrame:
+    """Exact fold over long keys, with all ranges of a key folded at the same time.
+
+    Each range first assumes an empty start state; the end states then become the start
+    states of the following ranges, and only ranges whose start changed are folded again,
+    until nothing changes. A fold that forgets its past (a quote book after one update of
+    each side) settles in two or three rounds; the result is exact in every case.
+
+    ``state`` maps the state columns, which ``step`` must put in every output row, to
+    their types; the step finds the assumed start in columns ``start_<name>`` of the first
+    row of a batch when it gets no state.
+    """
+    by = [*keys, CHUNK]
+    blank = {f"start_{n}": F.lit(None).cast(t) for n, t in state.items()}
+    starts = chunked.select(*by).distinct().withColumns(blank)
+    folded, redo = None, starts
+    in_order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)
+    while True:
+        fresh = fold_sorted(chunked.join(redo, by), by, order, step, schema)
+        if folded is None:
+            folded = pin(fresh)
+        else:
+            folded = pin(folded.join(redo.select(*by), by, "left_anti").unionByName(fresh))
+        ends = folded.groupBy(*by).agg(F.max_by(F.struct(*state), F.struct(*order)).alias("_end"))
+        following = ends.withColumn("_begin", F.lag("_end").over(in_order))
+        wanted = following.select(*by, *[F.col(f"_begin.{n}").alias(f"start_{n}") for n in state])
+        old = starts.select(*by, F.struct(*[f"start_{n}" for n in state]).alias("_old"))
+        pairs = pin(wanted.join(old, by))
+        redo = pairs.where(~F.struct(*[f"start_{n}" for n in state]).eqNullSafe(F.col("_old"))).drop("_old")
+        if redo.isEmpty():
+            return folded
+        starts = pairs.drop("_old")
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
