@@ -11,6 +11,7 @@ from tickloom.operators.asof import latest_known
 from tickloom.plans import inputs as I
 from tickloom.plans.inputs import SQL, sql_bars, with_ctes
 from tickloom.plans.registry import query, rnd
+from tickloom.session import pin
 
 H4 = 4 * 3600
 SHORT = N.Periods(5, 13, 7, 7)
@@ -68,7 +69,8 @@ POINTS = (*BASE, sql_indicators(N.Periods()))
 
 
 def points(spark, sf, tf: int = H4, periods: N.Periods = N.Periods()):
-    return N.add_indicators(I.bars(spark, sf, tf), periods)
+    """Indicator rows as a written table: several rules read them."""
+    return pin(N.add_indicators(I.bars(spark, sf, tf), periods))
 
 
 @query(
@@ -215,7 +217,7 @@ SID = "substr(sha256(concat_ws('|', '{s}', instrument, epoch_us(start)::VARCHAR,
 def x2_rule_signals(spark, sf):
     pts = points(spark, sf)
     both = G.as_signals(G.donchian(pts), "donchian20").unionByName(G.as_signals(G.ema_cross(pts), "ema_cross"))
-    return both.select("signal_id", "instrument", "direction", "detected_at", "strategy")
+    return pin(both.select("signal_id", "instrument", "direction", "detected_at", "strategy"))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import plus_seconds
 from tickloom.operators.bars import quote_bars, tick_bars
-from tickloom.session import use_utc
+from tickloom.session import pin, use_utc
 
 # Largest quiet time between two ticks of one instrument that still counts as continuous.
 CONTINUITY_SECONDS = 3 * 3600
@@ -59,7 +59,7 @@ def strict_bars(spark: SparkSession, sf_dir: str, tf: int = 3600) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str, tf: int = 4 * 3600) -> DataFrame:
     """Bars that are usable downstream: continuous up to the declared quiet time."""
-    return quote_bars(quotes(spark, sf_dir), tf, CONTINUITY_SECONDS)
+    return pin(quote_bars(quotes(spark, sf_dir), tf, CONTINUITY_SECONDS))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tickloom.plans import inputs as I
 from tickloom.plans.indicator_queries import BASE, CROSS, H4, POINTS, SID, points, x2_rule_signals
 from tickloom.plans.inputs import SQL, sql_bars, sql_strict_bars, with_ctes
 from tickloom.plans.registry import query, rnd, text_list
+from tickloom.session import pin
 
 HORIZONS = (3600.0, 14400.0)
 RULE = outcomes.Contract(latency_seconds=2, max_age_seconds=3600, stake=10.0, payout=0.85, loss=1.0, cost=0.1)
@@ -55,7 +56,7 @@ LABELLED = (
 
 def labelled(spark, sf):
     pts = outcomes.points_from_ticks(I.quotes(spark, sf), F.col("bid"))
-    return outcomes.label(x2_rule_signals(spark, sf), pts, HORIZONS, RULE)
+    return pin(outcomes.label(x2_rule_signals(spark, sf), pts, HORIZONS, RULE))
 
 
 @query(
