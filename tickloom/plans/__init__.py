@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bar_queries", "indicator_queries", "source_queries", "row_queries", "join_queries", "ledger_queries")
+_MODULES = (
+    "bar_queries", "indicator_queries", "source_queries", "row_queries", "join_queries", "ledger_queries", "inference_queries",
+    "structure_queries",
+)
 
 
 def _load() -> None:

@@ -71,7 +71,7 @@ def a13_net_metrics(spark, sf):
     "a14_cost_bridge",
     with_ctes(
         LED, CLOSED,
-        """s AS (SELECT variant, CASE WHEN part_id % 7 = 0 THEN NULL ELSE gross END AS gross, cost, net, (notional * tax_rate / 10)::DECIMAL(18,4) AS commission FROM closed),
+        """s AS (SELECT variant, CASE WHEN part_id % 7 = 0 THEN NULL ELSE gross END AS gross, cost, net, (notional * tax_rate * 0.1::DECIMAL(2,1))::DECIMAL(18,4) AS commission FROM closed),
            d AS (SELECT variant, coalesce(gross, net + cost) AS g, coalesce(cost, gross - net) AS c, coalesce(net, gross - cost) AS n, commission FROM s)""",
         select="""SELECT variant, count(*) AS closed, CASE WHEN count(*) = count(g) THEN sum(g)::DOUBLE END AS gross, sum(g)::DOUBLE AS known_gross, count(*) - count(g) AS unknown_gross,
             CASE WHEN count(*) = count(c) THEN sum(c)::DOUBLE END AS cost, sum(c)::DOUBLE AS known_cost, count(*) - count(c) AS unknown_cost,
@@ -82,7 +82,7 @@ def a13_net_metrics(spark, sf):
 def a14_cost_bridge(spark, sf):
     led = I.closed_trades(spark, sf).withColumns({
         "gross": F.when(F.col("part_id") % 7 != 0, F.col("gross")),
-        "commission": (F.col("notional") * F.col("tax_rate") / 10).cast("decimal(18,4)"),
+        "commission": (F.col("notional") * F.col("tax_rate") * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(18,4)"),
     })
     return L.cost_bridge(led, ["variant"], ["commission"])
 
@@ -145,7 +145,7 @@ def a18_turnover(spark, sf):
     return out.withColumn("known_turnover", F.round(F.col("known_turnover").cast("double"), 4))
 
 
-MARKS = """marks AS (SELECT variant, close_at AS at, row_number() OVER (PARTITION BY variant ORDER BY close_at) AS ordinal, exposure FROM (
+MARKS = """marks AS (SELECT variant, close_at AS t, row_number() OVER (PARTITION BY variant ORDER BY close_at) AS ordinal, exposure FROM (
     SELECT variant, close_at, sum(notional) AS exposure FROM closed GROUP BY 1, 2))"""
 
 
@@ -153,10 +153,10 @@ MARKS = """marks AS (SELECT variant, close_at AS at, row_number() OVER (PARTITIO
     "a19_exposure_summary",
     with_ctes(
         LED, CLOSED, MARKS,
-        "n AS (SELECT *, lead(at) OVER (PARTITION BY variant ORDER BY at) AS nx FROM marks)",
-        select="""SELECT variant, max(exposure)::DOUBLE AS peak, arg_max(at, (exposure, -epoch_us(at))) AS peak_at,
-            sum(CASE WHEN nx IS NOT NULL THEN (epoch_us(nx) - epoch_us(at)) / 1e6 END) AS exposed_seconds,
-            round(sum((epoch_us(nx) - epoch_us(at)) / 1e6 * exposure::DOUBLE), 2) AS exposure_seconds FROM n GROUP BY 1""",
+        "n AS (SELECT *, lead(t) OVER (PARTITION BY variant ORDER BY t) AS nx FROM marks)",
+        select="""SELECT variant, max(exposure)::DOUBLE AS peak, arg_max(t, (exposure, -epoch_us(t))) AS peak_at,
+            sum(CASE WHEN nx IS NOT NULL THEN (epoch_us(nx) - epoch_us(t)) / 1e6 END) AS exposed_seconds,
+            round(sum((epoch_us(nx) - epoch_us(t)) / 1e6 * exposure::DOUBLE), 2) AS exposure_seconds FROM n GROUP BY 1""",
     ),
 )
 def a19_exposure_summary(spark, sf):
@@ -431,9 +431,10 @@ def x9_position_sizing(spark, sf):
         LED,
         """p AS (SELECT *, (notional / 100)::DECIMAL(18,6) AS er, (notional / 100 * (1 + discount_rate))::DECIMAL(18,6) AS cr, CASE WHEN direction = 'UP' THEN 1 ELSE -1 END AS sg, (epoch_us(close_at) - epoch_us(entry_at)) / 1e6 AS secs FROM ledger),
            x AS (SELECT *, (er + sg * 0.01)::DECIMAL(18,6) AS ep, (cr - sg * 0.01)::DECIMAL(18,6) AS cp, CASE WHEN part_id % 11 <> 0 THEN 0.5 + 0.001 * units END AS comm FROM p),
-           y AS (SELECT *, (cp - ep) * units * sg AS g, abs(ep * units)::DOUBLE * 1e-9::DOUBLE * secs AS fin FROM x)""",
-        select="""SELECT trade_id, round(g::DOUBLE, 4) AS gross, round(comm::DOUBLE + fin, 4) AS cost, round(g::DOUBLE - (comm::DOUBLE + fin), 4) AS net,
-            CASE WHEN comm IS NULL THEN 'COMMISSION_UNKNOWN' END AS pnl_reason FROM y""",
+           y AS (SELECT *, (cp - ep) * units * sg AS g, abs(ep * units)::DOUBLE * 1e-9::DOUBLE * secs AS fin FROM x),
+           z AS (SELECT *, (comm::DECIMAL(30,8) + fin::DECIMAL(30,8))::DECIMAL(30,6) AS c FROM y)""",
+        select="""SELECT trade_id, g::DECIMAL(30,6)::DOUBLE AS gross, c::DOUBLE AS cost, (g::DECIMAL(30,6) - c)::DOUBLE AS net,
+            CASE WHEN comm IS NULL THEN 'COMMISSION_UNKNOWN' END AS pnl_reason FROM z""",
     ),
 )
 def x11_trade_pnl(spark, sf):
@@ -446,8 +447,7 @@ def x11_trade_pnl(spark, sf):
         led, slippage=dec("0.01", "decimal(10,6)"), commission_fixed=F.when(F.col("part_id") % 11 != 0, dec("0.5", "decimal(10,4)")),
         commission_per_unit=dec("0.001", "decimal(10,4)"), financing_rate=F.lit(1e-9), conversion=dec("1", "decimal(10,4)"),
     )
-    four = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
-    return out.select("trade_id", four("gross"), four("cost"), four("net"), "pnl_reason")
+    return out.select("trade_id", "gross", "cost", "net", "pnl_reason")
 
 
 @query(
