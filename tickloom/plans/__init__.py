@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = (
     "bar_queries", "indicator_queries", "source_queries", "row_queries", "join_queries", "ledger_queries", "inference_queries",
-    "structure_queries",
+    "structure_queries", "stream_queries",
 )
 
 
