@@ -29,12 +29,12 @@ def _blank(v):
     return None if v is None or v != v else v
 
 
-def quote_book(updates: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:
+def quote_book(updates: DataFrame, keys: Sequence[str], arrival: str, held: DataFrame | None = None) -> DataFrame:
     """Book after every update, exact, including refused and crossed updates.
 
     ``updates``: keys, arrival ordinal, side ('bid'/'ask'), price, us (source time in
     microseconds). A side older than the held one is refused; an update that would cross
-    the book is dropped and the held book stays.
+    the book is dropped and the held book stays. ``held`` is the book per key from before.
     """
     names = [*keys, "_chunk", arrival]
 
@@ -55,7 +55,7 @@ def quote_book(updates: DataFrame, keys: Sequence[str], arrival: str) -> DataFra
     kinds = dict(chunked.dtypes)
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", "
     schema += ", ".join(f"{n} {t}" for n, t in _STATE.items()) + ", status string"
-    return fold_ranges(chunked, keys, [arrival], _STATE, step, schema).drop("_chunk")
+    return fold_ranges(chunked, keys, [arrival], _STATE, step, schema, held).drop("_chunk")
 
 
 def quote_book_windowed(updates: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:

@@ -215,7 +215,8 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step,
 
 
 def fold_ranges(
-    chunked: DataFrame, keys: Sequence[str], order: Sequence[str], state: Mapping[str, str], step, schema: str
+    chunked: DataFrame, keys: Sequence[str], order: Sequence[str], state: Mapping[str, str], step, schema: str,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Exact fold over long keys, with all ranges of a key folded at the same time.
 
@@ -226,11 +227,18 @@ def fold_ranges(
 
     ``state`` maps the state columns, which ``step`` must put in every output row, to
     their types; the step finds the assumed start in columns ``start_<name>`` of the first
-    row of a batch when it gets no state.
+    row of a batch when it gets no state. ``initial`` (keys and state columns) is the state
+    that an earlier run left per key.
     """
     by = [*keys, CHUNK]
-    blank = {f"start_{n}": F.lit(None).cast(t) for n, t in state.items()}
-    starts = chunked.select(*by).distinct().withColumns(blank)
+    present = chunked.select(*by).distinct()
+    if initial is None:
+        starts = present.withColumns({f"start_{n}": F.lit(None).cast(t) for n, t in state.items()})
+    else:
+        left = initial.select(*keys, *[F.col(n).cast(t).alias(f"start_{n}") for n, t in state.items()])
+        starts = present.join(left, list(keys), "left")
+    begin = pin(starts)
+    starts = begin
     folded, redo = None, starts
     in_order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)
     while True:
@@ -240,7 +248,9 @@ def fold_ranges(
         else:
             folded = pin(folded.join(redo.select(*by), by, "left_anti").unionByName(fresh))
         ends = folded.groupBy(*by).agg(F.max_by(F.struct(*state), F.struct(*order)).alias("_end"))
-        following = ends.withColumn("_begin", F.lag("_end").over(in_order))
+        following = ends.withColumn("_begin", F.lag("_end").over(in_order)).withColumn("_nth", F.row_number().over(in_order))
+        given = begin.select(*by, F.struct(*[F.col(f"start_{n}").alias(n) for n in state]).alias("_given"))
+        following = following.join(given, by).withColumn("_begin", F.when(F.col("_nth") == 1, F.col("_given")).otherwise(F.col("_begin")))
         wanted = following.select(*by, *[F.col(f"_begin.{n}").alias(f"start_{n}") for n in state])
         old = starts.select(*by, F.struct(*[f"start_{n}" for n in state]).alias("_old"))
         pairs = pin(wanted.join(old, by))

@@ -245,14 +245,80 @@ def trend_evaluations(spark, sf):
     return X.evaluate(p[12 * 3600], p[8 * 3600], p[H4], preparation_seconds=8 * 3600)
 
 
-@query("x1_trend_pullback")
+TREND_INPUT = (
+    SQL["quotes"],
+    sql_bars(12 * 3600, "b12"), sql_indicators(SHORT, "b12", "p12"), sql_bars(8 * 3600, "b8"), sql_indicators(SHORT, "b8", "p8"),
+    sql_bars(H4, "b4"), sql_indicators(SHORT, "b4", "p4"),
+)
+
+# A literal fold over the merged stream: one state per instrument, one row at a time.
+TREND_FOLD = """c AS (SELECT instrument, start, "end", valid AS ok, ema_fast, ema_slow, lag(ema_slow, 3) OVER w AS slag, lag(valid, 3) OVER w AS lok,
+    greatest(available_at, lag(available_at, 3) OVER w) AS known_at FROM p12 WINDOW w AS (PARTITION BY instrument ORDER BY start)),
+  ck AS (SELECT *, coalesce(ok AND lok AND slag IS NOT NULL AND ema_fast IS NOT NULL AND ema_slow IS NOT NULL, false) AS known FROM c),
+  mrg AS (
+    SELECT instrument, known_at, 0 AS stage, start, "end", NULL::DOUBLE AS close, NULL::DOUBLE AS ema, NULL::DOUBLE AS atr, NULL::DOUBLE AS rsi, false AS ok,
+      NULL::DOUBLE AS cl, false AS lok, NULL::DOUBLE AS pc, NULL::DOUBLE AS pe, NULL::TIMESTAMP AS pend, false AS pok,
+      CASE WHEN known AND ema_fast > ema_slow AND ema_slow > slag THEN 'UP' WHEN known AND ema_fast < ema_slow AND ema_slow < slag THEN 'DOWN' END AS cdir, known AS cknown FROM ck
+    UNION ALL SELECT instrument, greatest(available_at, lag(available_at, 3) OVER w), 1, start, "end", close, ema_fast, atr, NULL, valid, lag(close, 3) OVER w, coalesce(lag(valid, 3) OVER w, false),
+      NULL, NULL, NULL, false, NULL, false FROM p8 WINDOW w AS (PARTITION BY instrument ORDER BY start)
+    UNION ALL SELECT instrument, available_at, 2, start, "end", close, ema_fast, NULL, rsi, valid, NULL, false, lag(close) OVER w, lag(ema_fast) OVER w, lag("end") OVER w,
+      coalesce(lag(valid) OVER w, false), NULL, false FROM p4 WINDOW w AS (PARTITION BY instrument ORDER BY start)),
+  num AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY known_at, stage, start) AS rn FROM mrg),
+  fold AS (
+    SELECT instrument, 0::BIGINT AS rn, -1 AS stage, NULL::TIMESTAMP AS start, NULL::TIMESTAMP AS known_at, NULL::VARCHAR AS cdir, false AS cknown, NULL::TIMESTAMP AS es, NULL::VARCHAR AS ed,
+      NULL::TIMESTAMP AS ex, false AS used, false AS live, '' AS decision, NULL::VARCHAR AS direction, NULL::TIMESTAMP AS episode_start FROM (SELECT DISTINCT instrument FROM num)
+    UNION ALL
+    SELECT n.instrument, n.rn, n.stage, n.start, n.known_at,
+      CASE WHEN n.stage = 0 THEN n.cdir ELSE f.cdir END, CASE WHEN n.stage = 0 THEN n.cknown ELSE f.cknown END,
+      CASE WHEN d.dec = 'preparation' THEN n.start ELSE f.es END, CASE WHEN d.dec = 'preparation' THEN f.cdir ELSE f.ed END,
+      CASE WHEN d.dec = 'preparation' THEN n.known_at + INTERVAL 24 HOUR ELSE f.ex END,
+      CASE WHEN d.dec = 'preparation' THEN false WHEN d.dec = 'signal' THEN true ELSE f.used END,
+      CASE WHEN d.dec = 'preparation' THEN true WHEN n.stage = 0 THEN f.live AND n.cknown AND coalesce(n.cdir = f.ed, false) WHEN n.stage = 2 THEN t.alive ELSE f.live END,
+      coalesce(d.dec, ''), CASE WHEN n.stage = 2 THEN t.dir ELSE f.cdir END,
+      CASE WHEN d.dec = 'preparation' THEN n.start WHEN n.stage = 2 AND t.alive THEN f.es END
+    FROM fold f JOIN num n ON n.instrument = f.instrument AND n.rn = f.rn + 1,
+    LATERAL (SELECT f.live AND n.known_at < f.ex AS alive, f.live AND n.known_at >= f.ex AS expired,
+      CASE WHEN f.live AND n.known_at < f.ex THEN f.ed ELSE f.cdir END AS dir) t,
+    LATERAL (SELECT
+      CASE WHEN f.cdir IS NOT NULL THEN 'F' WHEN f.cknown THEN 'X' ELSE 'U' END AS p1,
+      CASE WHEN NOT (n.ok AND n.lok AND n.cl IS NOT NULL) THEN 'U' WHEN (f.cdir = 'UP' AND n.close < n.cl) OR (f.cdir = 'DOWN' AND n.close > n.cl) THEN 'F' ELSE 'X' END AS p2,
+      CASE WHEN NOT (n.ok AND n.lok AND n.cl IS NOT NULL) OR n.ema IS NULL OR n.atr IS NULL THEN 'U' WHEN abs(n.close - n.ema) <= 0.5 * n.atr THEN 'F' ELSE 'X' END AS p3,
+      CASE WHEN n.ok THEN 'F' ELSE 'U' END AS q,
+      CASE WHEN t.dir IS NOT NULL AND coalesce(f.cdir = t.dir, false) THEN 'F' WHEN NOT f.cknown THEN 'U' ELSE 'X' END AS t1,
+      CASE WHEN t.alive AND NOT f.used THEN 'F' WHEN t.alive OR t.expired THEN 'X' ELSE 'U' END AS t2,
+      CASE WHEN t.dir IS NULL OR NOT n.ok OR n.ema IS NULL OR NOT n.pok OR n.pe IS NULL OR n.pend IS NULL OR n.pend <> n.start THEN 'U'
+           WHEN t.dir = 'UP' AND n.pc <= n.pe AND n.close > n.ema OR t.dir = 'DOWN' AND n.pc >= n.pe AND n.close < n.ema THEN 'F' ELSE 'X' END AS t3,
+      CASE WHEN t.dir IS NULL OR n.rsi IS NULL OR NOT n.ok THEN 'U' WHEN t.dir = 'UP' AND n.rsi > 50 OR t.dir = 'DOWN' AND n.rsi < 50 THEN 'F' ELSE 'X' END AS t4) s,
+    LATERAL (SELECT CASE WHEN n.stage = 1 THEN CASE WHEN 'U' IN (p1, p2, p3, q) THEN 'blocked' WHEN 'X' IN (p1, p2, p3, q) THEN 'discarded' ELSE 'preparation' END
+      WHEN n.stage = 2 THEN CASE WHEN t.expired OR (t.alive AND f.used) OR t1 = 'X' OR 'U' IN (t1, t2, t3, t4, q) THEN 'blocked' WHEN 'X' IN (t1, t2, t3, t4, q) THEN 'discarded' ELSE 'signal' END END AS dec) d)"""
+
+
+@query(
+    "x1_trend_pullback",
+    with_ctes(
+        *TREND_INPUT, TREND_FOLD,
+        select="""SELECT instrument, CASE stage WHEN 1 THEN 'preparation' ELSE 'trigger' END AS stage, start, known_at AS available_at, direction, decision, episode_start FROM fold WHERE stage > 0""",
+    ),
+)
 def x1_trend_pullback(spark, sf):
     return trend_evaluations(spark, sf).select(
-        "instrument", "stage", "start", "available_at", "direction", "decision",
-        F.concat_ws(",", "reasons").alias("reasons"), "episode_start",
+        "instrument", "stage", "start", "available_at", "direction", "decision", "episode_start"
     )
 
 
-@query("x3_detector_signals")
+@query("x1_condition_reasons")
+def x1_condition_reasons(spark, sf):
+    rows = trend_evaluations(spark, sf).select("stage", F.explode("conditions").alias("c"))
+    return rows.groupBy("stage", "c.name", "c.state", "c.reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "x3_detector_signals",
+    with_ctes(
+        *TREND_INPUT, TREND_FOLD,
+        select="""SELECT 'sig_' || substr(sha256(concat_ws('|', 'trend_pullback', instrument, epoch_us(episode_start)::VARCHAR, epoch_us(start)::VARCHAR)), 1, 32) AS signal_id,
+            instrument, direction, known_at AS detected_at, 'trend_pullback' AS strategy, start, episode_start FROM fold WHERE decision = 'signal'""",
+    ),
+)
 def x3_detector_signals(spark, sf):
-    return X.signals(trend_evaluations(spark, sf))
+    return X.signals(trend_evaluations(spark, sf)).drop("context_start")

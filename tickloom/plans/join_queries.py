@@ -518,8 +518,73 @@ def w11_dependency_groups(spark, sf):
     return outcomes.dependency_groups(I.ticks(spark, sf), ["instrument"], at="event_time", ident="seq", window=7200)
 
 
-@query("x13_position_book")
+@query(
+    "x13_position_book",
+    with_ctes(
+        *LABELLED,
+        """o4 AS (SELECT *, coalesce(entry_use_time, detected_at) AS st, row_number() OVER (PARTITION BY strategy ORDER BY coalesce(entry_use_time, detected_at), simulation_id) AS rn FROM outc WHERE horizon = 14400),
+           bk AS (SELECT strategy, 0::BIGINT AS rn, []::TIMESTAMP[] AS live, NULL::BOOLEAN AS accepted, NULL::VARCHAR AS simulation_id FROM (SELECT DISTINCT strategy FROM o4)
+             UNION ALL SELECT o.strategy, o.rn, CASE WHEN o.entry_price IS NOT NULL AND len(l.kept) < 2 THEN list_append(l.kept, o.expiry) ELSE l.kept END,
+               o.entry_price IS NULL OR len(l.kept) < 2, o.simulation_id
+             FROM bk b JOIN o4 o ON o.strategy = b.strategy AND o.rn = b.rn + 1, LATERAL (SELECT list_filter(b.live, lambda e: e > o.st) AS kept) l),
+           tk AS (SELECT o4.strategy, o4.net, o4.simulation_id, o4.detected_at, coalesce(expiry, detected_at) AS due FROM o4 JOIN bk USING (strategy, simulation_id) WHERE accepted AND net IS NOT NULL),
+           cum AS (SELECT *, sum(net) OVER (PARTITION BY strategy ORDER BY due, detected_at, simulation_id) AS eq FROM tk),
+           pk AS (SELECT strategy, greatest(max(eq) OVER (PARTITION BY strategy ORDER BY due, detected_at, simulation_id), 0) - eq AS dd FROM cum),
+           mdd AS (SELECT strategy, max(dd) AS dd FROM pk GROUP BY 1)""",
+        select="""SELECT b.strategy, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS skipped, round(coalesce(sum(CASE WHEN accepted THEN o4.net END), 0), 6) AS balance,
+            round(any_value(mdd.dd), 6) AS max_drawdown FROM bk b JOIN o4 USING (strategy, simulation_id) LEFT JOIN mdd ON mdd.strategy = b.strategy GROUP BY 1""",
+    ),
+)
 def x13_position_book(spark, sf):
     booked = outcomes.position_book(labelled(spark, sf).where("horizon = 14400"), ["strategy"], max_positions=2)
-    out = outcomes.book_summary(booked, ["strategy"])
+    out = outcomes.book_summary(pin(booked), ["strategy"])
     return out.select("strategy", "accepted", "skipped", rnd("balance"), rnd("max_drawdown"))
+
+
+@query(
+    "f1_variant_filters",
+    with_ctes(
+        *LABELLED,
+        """v AS (SELECT 'all' AS variant, * FROM outc UNION ALL SELECT 'longs', * FROM outc WHERE direction = 'UP' UNION ALL SELECT 'asia', * FROM outc WHERE hour(detected_at) < 7)""",
+        select="SELECT variant, count(*) AS sample, count(*) FILTER (outcome = 'WIN') AS win, round(coalesce(sum(net), 0), 6) AS net_result FROM v GROUP BY 1",
+    ),
+)
+def f1_variant_filters(spark, sf):
+    from tickloom.functions.columns import session_label
+    from tickloom.plugins import run_variants
+
+    variants = {
+        "all": None, "longs": F.col("direction") == "UP",
+        "asia": lambda df: df.where(session_label("detected_at") == "ASIA"),
+    }
+    rows = run_variants(labelled(spark, sf), variants)
+    return rows.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("sample"), F.count_if(F.col("outcome") == "WIN").alias("win"),
+        F.round(F.coalesce(F.sum("net"), F.lit(0.0)), 6).alias("net_result"),
+    )
+
+
+@query(
+    "f2_custom_strategy",
+    with_ctes(
+        *BASE,
+        select="""SELECT instrument, CASE WHEN close > open THEN 'UP' ELSE 'DOWN' END AS direction, available_at AS detected_at FROM bars WHERE valid AND abs(close - open) > 50""",
+    ),
+)
+def f2_custom_strategy(spark, sf):
+    from tickloom.plugins import evaluate_strategies
+
+    class WideBody:
+        """Bars whose body is wider than a fixed amount."""
+
+        name = "wide_body"
+        warmup_bars = 1
+
+        def signals(self, bars):
+            df = bars["H4"]
+            body = F.col("close") - F.col("open")
+            flag = F.when(B.is_valid_bar() & (F.abs(body) > 50), F.when(body > 0, "UP").otherwise("DOWN"))
+            return df.withColumn("direction", flag)
+
+    found = evaluate_strategies([WideBody()], {"H4": I.bars(spark, sf)})
+    return found.select("instrument", "direction", "detected_at")

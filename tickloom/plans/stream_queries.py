@@ -98,8 +98,9 @@ def t5_stream_indicators(spark, sf):
 
 @query("t6_stream_quote_book", ORACLES["j9_quote_book"])
 def t6_stream_quote_book(spark, sf):
-    stream = replay(spark, one_sided(spark, sf), "arrival")
-    return to_table(spark, stateful.stream_book(stream)).select("instrument", "arrival", "bid", "ask", "status")
+    job = jobs.BookJob(spark, scratch_path(spark, "book"))
+    run_available(replay(spark, one_sided(spark, sf), "arrival"), scratch_path(spark, "checkpoint"), each=job)
+    return job.book.read().select("instrument", "arrival", "bid", "ask", "status")
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tickloom.functions.columns import plus_seconds
 from tickloom.functions.quality import freshness
 from tickloom.operators import outcomes
+from tickloom.operators.book import quote_book
 from tickloom.operators.signals import as_signals, donchian
 from tickloom.session import pin
 from tickloom.streaming.support import BatchTable
@@ -53,6 +54,37 @@ class SignalJob:
         self.bars.write(fresh, batch_id)
 
 
+BOOK = T.StructType([
+    T.StructField("instrument", T.StringType()), T.StructField("arrival", T.LongType()), T.StructField("bid", T.DoubleType()),
+    T.StructField("ask", T.DoubleType()), T.StructField("bid_us", T.LongType()), T.StructField("ask_us", T.LongType()),
+    T.StructField("status", T.StringType()),
+])
+
+
+class BookJob:
+    """Two-sided book over micro-batches of one-sided updates.
+
+    The held book per instrument is kept as a small table; inside a batch the updates are
+    folded range by range in parallel, so a burst of one instrument is not one task's work.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.book = BatchTable(spark, f"{path}/book", BOOK)
+        self.held = BatchTable(spark, f"{path}/held", BOOK)
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != "instrument"]
+        top = rows.groupBy("instrument").agg(F.max_by(F.struct(*rest), "arrival").alias("_r"))
+        return top.select("instrument", "_r.*")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        before = self._newest(self.held.read(before=batch_id))
+        rows = quote_book(batch, ["instrument"], "arrival", before)
+        self.book.write(rows, batch_id)
+        self.held.write(self._newest(rows), batch_id)
+
+
 class OutcomeJob:
     """Outcomes that settle once every price that could matter has been seen.
 

@@ -1,4 +1,8 @@
-"""Keyed state on streams: indicators over bars, and the two-sided quote book."""
+"""Keyed state on streams: indicators over bars.
+
+The state of a key is a dozen numbers, and a micro-batch brings it at most one bar per
+elapsed interval.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions.quality import BLOCKING
-from tickloom.operators.book import _apply
 from tickloom.operators.indicators import Periods
 from tickloom.streaming.support import use_rocksdb
 
@@ -115,31 +118,3 @@ def stream_indicators(bars: DataFrame, periods: Periods = Periods()) -> DataFram
     return fed.groupBy("instrument", "tf_seconds").transformWithStateInPandas(
         statefulProcessor=IndicatorProcessor(periods), outputStructType=_OUTPUT, outputMode="Append", timeMode="None"
     )
-
-
-class BookProcessor(StatefulProcessor):
-    """Held bid and ask of one instrument."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("book", "bid double, ask double, bid_us bigint, ask_us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("arrival")
-        book = tuple(self._state.get()) if self._state.exists() else (None, None, None, None)
-        out = []
-        for row in frame.itertuples(index=False):
-            book, status = _apply(book, row.side, row.price, int(row.us))
-            out.append((row.instrument, row.arrival, book[0], book[1], status))
-        self._state.update(book)
-        yield pd.DataFrame(out, columns=["instrument", "arrival", "bid", "ask", "status"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_book(updates: DataFrame) -> DataFrame:
-    use_rocksdb(updates.sparkSession)
-    return updates.groupBy("instrument").transformWithStateInPandas(
-        statefulProcessor=BookProcessor(), outputStructType="instrument string, arrival bigint, bid double, ask double, status string",
-        outputMode="Append", timeMode="None",
-    )
