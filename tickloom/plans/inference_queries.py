@@ -69,7 +69,7 @@ def sql_draw(seed: int, below: str, *parts: str) -> str:
         LED, CLOSED, DAILY,
         f"""d AS (SELECT variant, known_net::DOUBLE AS x, row_number() OVER (PARTITION BY variant ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY variant) AS n FROM daily),
          sz AS (SELECT variant, any_value(n) AS n FROM d GROUP BY 1),
-         slots AS (SELECT variant, n, it, s, {sql_draw(42, "n - 5 + 1", "it", "s")} AS st FROM sz, range(60) a(it), LATERAL (SELECT unnest(range(ceil(n / 5)::BIGINT)) AS s)),
+         slots AS (SELECT variant, n, it, s, {sql_draw(42, "n - 5 + 1", "it", "s")} AS st FROM sz, range(61) a(it), LATERAL (SELECT unnest(range(ceil(n / 5)::BIGINT)) AS s)),
          smp AS (SELECT variant, n, it, s * 5 + o AS pos, st + o AS i FROM slots, range(5) b(o) WHERE s * 5 + o < n),
          val AS (SELECT smp.variant, it, pos, smp.n, x FROM smp JOIN d ON d.variant = smp.variant AND d.i = smp.i),
          cum AS (SELECT *, sum(x) OVER (PARTITION BY variant, it ORDER BY pos) AS eq FROM val),
@@ -81,7 +81,7 @@ def sql_draw(seed: int, below: str, *parts: str) -> str:
 )
 def a27_daily_bootstrap(spark, sf):
     days = pin(daily(spark, sf))
-    out = S.bootstrap_daily(days, ["variant"], "known_net", iterations=60, block_days=5, seed=42)
+    out = S.bootstrap_daily(days, ["variant"], "known_net", iterations=61, block_days=5, seed=42)
     return out.select("variant", "iterations", *[rnd(f"{m}_{q}", 4) for m in ("mean", "drawdown") for q in ("p05", "p50", "p95")])
 
 

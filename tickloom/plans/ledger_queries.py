@@ -23,13 +23,13 @@ CLOSED = "closed AS (SELECT * FROM ledger WHERE state = 'CLOSED')"
     with_ctes(
         LED,
         select="""SELECT variant, count(net) AS known, count(*) - count(net) AS unknown, min(net)::DOUBLE AS min, max(net)::DOUBLE AS max,
-            round(avg(net::DOUBLE), 4) AS mean, round(quantile_cont(net::DOUBLE, 0.5), 4) AS p50, round(quantile_cont(net::DOUBLE, 0.95), 4) AS p95 FROM ledger GROUP BY 1""",
+            round(avg(net::DOUBLE), 4) AS mean, round(quantile_cont(net::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(net::DOUBLE, 0.95), 6) AS p95 FROM ledger GROUP BY 1""",
     ),
 )
 def a7_summary_with_unknowns(spark, sf):
     led = I.ledger(spark, sf).select("variant", F.col("net").cast("double").alias("net"))
     out = L.summary_with_quantiles(led, ["variant"], "net")
-    return out.select("variant", "known", "unknown", "min", "max", rnd("mean", 4), rnd("p50", 4), rnd("p95", 4))
+    return out.select("variant", "known", "unknown", "min", "max", rnd("mean", 4), rnd("p50"), rnd("p95"))
 
 
 DAILY = """days AS (SELECT variant, entry_at::DATE AS day FROM closed UNION SELECT variant, close_at::DATE FROM closed),
@@ -286,14 +286,14 @@ WINDOWS = """b AS (SELECT epoch_us(min(entry_at)) AS lo, epoch_us(max(entry_at))
            f AS (SELECT *, NOT emb AND e >= ts AND c <= te AND net IS NOT NULL AS oos FROM a)""",
         select="""SELECT win AS "window", count(*) FILTER (oos) AS oos_trades, count(*) FILTER (NOT emb AND NOT (e >= ts AND c <= te) AND e <= te AND c >= ts) AS purged_trades,
             count(*) FILTER (emb) AS embargoed_trades, sum(CASE WHEN oos THEN net END)::DOUBLE AS oos_net, round(avg(CASE WHEN oos THEN net::DOUBLE END), 4) AS oos_mean,
-            round(quantile_cont(CASE WHEN oos THEN net::DOUBLE END, 0.5), 4) AS median FROM f GROUP BY 1""",
+            round(quantile_cont(CASE WHEN oos THEN net::DOUBLE END, 0.5), 6) AS median FROM f GROUP BY 1""",
     ),
 )
 def a36_window_statistics(spark, sf):
     led = I.ledger(spark, sf)
     wins = RW.windows_for(led, "entry_at", embargo_seconds=5 * 86400)
     out = RW.window_statistics(RW.assign_windows(led, wins))
-    return out.select("window", "oos_trades", "purged_trades", "embargoed_trades", "oos_net", rnd("oos_mean", 4), rnd("median", 4))
+    return out.select("window", "oos_trades", "purged_trades", "embargoed_trades", "oos_net", rnd("oos_mean", 4), rnd("median"))
 
 
 @query(
