@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.scan import fold_ranges, range_chunks, run_last, run_max, running
+from tickloom.session import pin
 
 _STATE = {"bid": "double", "ask": "double", "bid_us": "bigint", "ask_us": "bigint"}
 
@@ -74,12 +75,12 @@ def quote_book_windowed(updates: DataFrame, keys: Sequence[str], arrival: str) -
     fresh = F.when(is_bid, F.coalesce(F.col("us") >= F.col("_bid_top"), F.lit(True))).otherwise(
         F.coalesce(F.col("us") >= F.col("_ask_top"), F.lit(True))
     )
-    seen = seen.withColumn("_fresh", fresh)
+    seen = pin(seen.withColumn("_fresh", fresh))  # the next two scans read it
     book = running(seen, keys, [arrival], {
         "bid": run_last(F.when(is_bid & F.col("_fresh"), F.col("price"))),
         "ask": run_last(F.when(is_ask & F.col("_fresh"), F.col("price"))),
     })
     crossed = F.coalesce(F.col("ask") < F.col("bid"), F.lit(False))
-    ranked = running(book.withColumn("_crossed", crossed.cast("int")), keys, [arrival], {"_any": run_max("_crossed")})
+    ranked = running(pin(book.withColumn("_crossed", crossed.cast("int"))), keys, [arrival], {"_any": run_max("_crossed")})
     return ranked.select(*keys, arrival, "bid", "ask", (F.col("_any") == 0).alias("exact"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import seconds_between
-from tickloom.operators.scan import exact_quantiles, neighbour, range_chunks, run_max, run_sum, running
+from tickloom.operators.scan import CHUNK, exact_quantiles, neighbour, range_chunks
 
 UNKNOWN = "UNKNOWN"
 
@@ -35,31 +35,69 @@ def net_metrics(trades: DataFrame, keys: Sequence[str], value: str = "net") -> D
 
 
 def equity_curve(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, at: str, *, level: bool = False) -> DataFrame:
-    """Equity, running peak and drawdown per row.
+    """Equity, running peak, drawdown, and the drawdown before each row.
 
     ``value`` is a change to be accumulated, with a starting peak of zero, or with
     ``level`` the equity itself, whose peak starts at the first mark.
+
+    Inside a range both running totals are local; one summary row per range (its total and
+    its local peak) gives the equity and the peak with which the next range starts.
     """
-    work = rows.where(F.col(value).isNotNull())
-    chunked = range_chunks(work, keys, order)
+    by = [*keys, CHUNK]
+    chunked = range_chunks(rows.where(F.col(value).isNotNull()), keys, order)
+    inner = Window.partitionBy(*by).orderBy(*order)
+    to_here = inner.rowsBetween(Window.unboundedPreceding, 0)
+    local = F.col(value) if level else F.sum(value).over(to_here)
+    work = chunked.withColumn("_c", local)
+    mark = F.struct(F.col("_c").alias("v"), (-F.unix_micros(at)).alias("t"))  # the earliest of equal peaks
+    work = work.withColumn("_m", F.max(mark).over(to_here))
+
+    summary = work.groupBy(*by).agg(
+        F.max(mark).alias("_top"), (F.max_by("_c", F.struct(*order)) if level else F.sum(value)).alias("_total")
+    )
+    ranges = Window.partitionBy(*keys).orderBy(CHUNK)
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
     if level:
-        curve = chunked.withColumn("equity", F.col(value))
+        carry = summary.withColumns({"_zero": F.lit(0), "_before": F.lag("_total").over(ranges)})
     else:
-        curve = running(chunked, keys, order, {"equity": run_sum(value)})
-    top = F.struct(F.col("equity").alias("v"), (-F.unix_micros(at)).alias("t"))
-    curve = running(curve, keys, order, {"_top": run_max(top)})
-    peak = F.col("_top.v") if level else F.greatest(F.col("_top.v"), F.lit(0))
-    above = F.lit(True) if level else F.col("_top.v") > 0
-    return curve.withColumns({
-        "peak": peak, "peak_at": F.when(above, F.timestamp_micros(-F.col("_top.t"))),
-    }).withColumn("drawdown", F.col("peak") - F.col("equity")).drop("_top")
+        carry = summary.withColumn("_zero", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+        carry = carry.withColumn("_before", F.col("_zero"))
+    lifted = F.struct((F.col("_top.v") + F.col("_zero")).alias("v"), F.col("_top.t").alias("t"))
+    carry = carry.withColumn("_lifted", lifted)
+    carry = carry.withColumn("_peak", F.max("_lifted").over(earlier)).select(*by, "_zero", "_before", "_peak")
+
+    out = work.join(carry, by)
+    kind = carry.schema["_peak"].dataType["v"].dataType
+    here = F.struct((F.col("_m.v") + F.col("_zero")).cast(kind).alias("v"), F.col("_m.t").alias("t"))
+    out = out.withColumns({"equity": F.col("_c") + F.col("_zero"), "_run": F.greatest(here, "_peak")})
+
+    def peak_of(top: str) -> Column:
+        return F.col(f"{top}.v") if level else F.greatest(F.col(f"{top}.v"), F.lit(0))
+
+    def peak_time(top: str) -> Column:
+        when = F.timestamp_micros(-F.col(f"{top}.t"))
+        return when if level else F.when(F.col(f"{top}.v") > 0, when)
+
+    first = F.row_number().over(inner) == 1
+    out = out.withColumns({
+        "peak": peak_of("_run"), "peak_at": peak_time("_run"), "_first": first,
+        "_lag": F.lag(F.struct("equity", "_run")).over(inner),
+    })
+    start_gap = F.coalesce(peak_of("_peak"), F.lit(0)) - F.col("_before")
+    lag_peak = F.col("_lag._run.v") if level else F.greatest(F.col("_lag._run.v"), F.lit(0))
+    lag_time = F.timestamp_micros(-F.col("_lag._run.t"))
+    lag_time = lag_time if level else F.when(F.col("_lag._run.v") > 0, lag_time)
+    return out.withColumns({
+        "drawdown": F.col("peak") - F.col("equity"),
+        "drawdown_before": F.when(F.col("_first"), start_gap).otherwise(lag_peak - F.col("_lag.equity")),
+        "peak_at_before": F.when(F.col("_first"), peak_time("_peak")).otherwise(lag_time),
+    }).drop("_c", "_m", "_zero", "_before", "_peak", "_run", "_first", "_lag")
 
 
 def drawdown_summary(curve: DataFrame, keys: Sequence[str], order: Sequence[str], at: str) -> DataFrame:
     """Largest drawdown with its peak and trough, recoveries, and the open spell if any."""
-    near = neighbour(curve, keys, order, {"_p_dd": "drawdown", "_p_peak_at": "peak_at"})
-    recovered = (F.col("drawdown") == 0) & (F.col("_p_dd") > 0)
-    near = near.withColumn("_rec", F.when(recovered, seconds_between("_p_peak_at", at)))
+    recovered = (F.col("drawdown") == 0) & (F.col("drawdown_before") > 0)
+    near = curve.withColumn("_rec", F.when(recovered, seconds_between("peak_at_before", at)))
     last = F.max_by(F.struct(F.col("drawdown").alias("d"), F.col("peak_at").alias("p"), F.col(at).alias("t")), F.struct(*order))
     worst_order = F.struct(F.col("drawdown"), -F.unix_micros(at))
     out = near.groupBy(*keys).agg(

@@ -10,7 +10,7 @@ from tickloom.operators.scan import range_chunks, run_count, run_sum, running, n
 from tickloom.plans import inputs as I
 from tickloom.plans.inputs import SQL, sql_bars, sql_strict_bars, with_ctes
 from tickloom.plans.registry import query, rnd, text_list
-from tickloom.session import scratch_path
+from tickloom.session import pin, scratch_path
 from tickloom.sources import decoders, delimited, tables
 
 # Every 97th event gets an unreadable price, every 89th a bad time, every 83rd a second copy.
@@ -128,14 +128,14 @@ def delta_rows(spark, sf, unit: int = 3600, size: int = 500):
     }).select("instrument", "hour", "ms", "b", "a", "seq")
     keys, order = ["instrument", "hour"], ["ms", "seq"]
     ranked = running(range_chunks(q, keys, order), keys, order, {"n": run_count(F.lit(1))})
-    ranked = ranked.withColumn("part", F.floor((F.col("n") - 1) / size))
+    ranked = pin(ranked.withColumn("part", F.floor((F.col("n") - 1) / size)))
     near = neighbour(ranked, keys, order, {"p_ms": "ms", "p_b": "b", "p_a": "a", "p_part": "part"})
     first = F.col("p_part").isNull() | (F.col("p_part") != F.col("part"))
-    return near.withColumns({
+    return pin(near.withColumns({
         "first": first, "d_ms": F.when(first, 0).otherwise(F.col("ms") - F.col("p_ms")),
         "d_b": F.when(first, 0).otherwise(F.col("b") - F.col("p_b")),
         "d_a": F.when(first, 0).otherwise(F.col("a") - F.col("p_a")),
-    })
+    }))
 
 
 @query(
