@@ -142,11 +142,12 @@ def delta_rows(spark, sf, unit: int = 3600, size: int = 500):
     "s5_decode_tick_blocks",
     with_ctes(
         SQL["quotes"],
-        select="""SELECT instrument, date_trunc('millisecond', event_time) AS event_time, bid, round(ask, 2) AS ask
-                  FROM quotes""",
+        select="""SELECT instrument, date_trunc('millisecond', event_time) AS event_time, round(bid + 10, 2) AS bid,
+                  round(ask + 10, 2) AS ask FROM quotes""",
     ),
 )
 def s5_decode_tick_blocks(spark, sf):
+    """Ten is added to every price: a block with a zero price would be refused as a whole."""
     d = delta_rows(spark, sf)
     keys = ["instrument", "hour", "part"]
     seq = F.array_sort(F.collect_list(F.struct("n", "d_ms", "d_b", "d_a")))  # at most 500 per group
@@ -156,7 +157,7 @@ def s5_decode_tick_blocks(spark, sf):
     )
     pick = lambda f: F.transform("s", lambda x: x[f])
     body = F.to_json(F.struct(
-        F.col("t0").alias("timestamp"), (F.col("b0") / 100).alias("bid"), (F.col("a0") / 100).alias("ask"),
+        F.col("t0").alias("timestamp"), (F.col("b0") / 100 + 10).alias("bid"), (F.col("a0") / 100 + 10).alias("ask"),
         F.lit(0.01).alias("multiplier"), pick("d_ms").alias("times"), pick("d_b").alias("bids"), pick("d_a").alias("asks"),
     ))
     ticks = decoders.decode_tick_blocks(blocks.select(*keys, body.alias("body")), keys)
