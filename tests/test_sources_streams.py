@@ -42,6 +42,47 @@ def test_strict_import_refuses(spark, csv):
         delimited.import_csv(spark, csv, delimited.ImportPolicy(MAPPING, identity=("instrument", "event_time"), strict=True))
 
 
+def test_disorder_and_copies_are_judged_by_policy(spark):
+    path = scratch_path(spark, "csv")
+    lines = ["when,sym,px,n", "2024-01-01T00:00:05Z,A,1,1", "2024-01-01T00:00:01Z,A,2,2", "2024-01-01T00:00:01Z,A,2,2"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    base = dict(mapping={**MAPPING, "seq": "n"}, identity=("instrument", "event_time"), sequence="seq")
+    lenient = delimited.import_csv(spark, path, delimited.ImportPolicy(**base, strict=True))
+    assert lenient.rows.count() == 2
+    assert sorted((r["code"], r["severity"]) for r in lenient.issues.collect()) == [("duplicate", "WARNING"), ("out_of_order", "WARNING")]
+    for change in ({"reorder": False}, {"drop_duplicates": False}):
+        with pytest.raises(delimited.ImportRejected):
+            delimited.import_csv(spark, path, delimited.ImportPolicy(**base, strict=True, **change))
+
+
+def test_consumers_see_every_batch(spark):
+    from tickloom.plugins import fan_out
+
+    class Counter:
+        def __init__(self):
+            self.seen = []
+
+        def consume(self, signals, batch_id):
+            self.seen.append((batch_id, signals.count()))
+
+    path, both = scratch_path(spark, "in"), [Counter(), Counter()]
+    spark.range(5).write.parquet(path)
+    run_available(spark.readStream.schema("id bigint").parquet(path), path + "-cp", each=fan_out(both))
+    assert both[0].seen == both[1].seen == [(0, 5)]
+
+
+def test_warm_up_batches_emit_no_signals(spark):
+    from tickloom.streaming.jobs import SignalJob
+
+    path, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    parts = [bars(spark, [10] * 25 + [50]), bars(spark, [60], start=26 * 60)]
+    job = SignalJob(spark, out, parts[0].schema, emit_from=1)
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(path)
+        run_available(spark.readStream.schema(p.schema).parquet(path), out + "-cp", each=job)
+    assert [(r["direction"], r["detected_at"]) for r in job.signals.read().collect()] == [("UP", at(27 * 60))]
+
+
 def test_append_is_idempotent_and_detects_conflicts(spark):
     path = scratch_path(spark, "table")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.columns import codes, finite, normal_price_base, parse_instant
-from tickloom.operators.dedupe import first_wins
+from tickloom.operators.bars import bar_gaps
+from tickloom.operators.dedupe import first_wins, out_of_order
+from tickloom.operators.scan import union_all
 
 _NUMBERS = {"price", "quantity", "bid", "ask", "open", "high", "low", "close", "volume"}
 _COUNTS = {"event_count", "seq", "revision"}
@@ -22,8 +24,10 @@ class ImportPolicy:
     """How a file is read.
 
     ``mapping`` goes from our column to the file's; ``defaults`` fills columns the file
-    does not have. ``strict`` refuses a file with any rejected row; ``reorder`` and
-    ``drop_duplicates`` say whether disorder and copies are repaired or reported.
+    does not have. ``sequence`` names the column that tells the file's own order. Disorder
+    is a warning when ``reorder`` is set and an error otherwise; copies are dropped with a
+    warning when ``drop_duplicates`` is set, else kept with an error. ``strict`` refuses a
+    file with any error.
     """
 
     mapping: Mapping[str, str]
@@ -34,6 +38,8 @@ class ImportPolicy:
     assume_timezone: str | None = None
     strict: bool = False
     drop_duplicates: bool = True
+    reorder: bool = True
+    sequence: str | None = None
     delimiter: str = ","
 
 
@@ -78,25 +84,39 @@ def _convert(raw: DataFrame, policy: ImportPolicy) -> Imported:
     if "_corrupt" in raw.columns:
         problems.append(("malformed_line", F.col("_corrupt").isNotNull()))
     work = raw.select(*typed, codes(problems).alias("issues"), F.to_json(F.struct(*raw.columns)).alias("raw_row"), *keep)
-    good = work.where(F.size("issues") == 0).drop("issues", "raw_row", "_corrupt")
-    issues = work.where(F.size("issues") > 0).select(
-        F.explode("issues").alias("code"), "raw_row", *[c for c in keep if c == "_file"]
-    )
-    order = [c for c in ("event_time", "start", "seq") if c in good.columns]
-    if policy.drop_duplicates and all(c in good.columns for c in policy.identity):
-        counted = first_wins(good, list(policy.identity), order + [c for c in good.columns if c not in order])
-        copies = counted.where(F.col("duplicates") > 0).select(
-            F.lit("duplicate").alias("code"), F.to_json(F.struct(*policy.identity)).alias("raw_row"),
-            *(["_file"] if "_file" in good.columns else []),
-        )
-        issues = issues.unionByName(copies)
-        good = counted.drop("duplicates")
+    clean = work.where(F.size("issues") == 0).drop("raw_row", "issues", "_corrupt")
+    at = "event_time" if "event_time" in clean.columns else "start"
+    found = [work.where(F.size("issues") > 0).select(
+        F.explode("issues").alias("code"), F.lit("ERROR").alias("severity"), F.lit(1).cast("bigint").alias("copies"), "raw_row"
+    )]
+
+    def note(rows: DataFrame, code: str, severity: str, copies: Column, *show: str) -> None:
+        found.append(rows.select(
+            F.lit(code).alias("code"), F.lit(severity).alias("severity"), copies.cast("bigint").alias("copies"),
+            F.to_json(F.struct(*show)).alias("raw_row"),
+        ))
+
+    if policy.sequence is not None:
+        keys = ["instrument"] if "instrument" in clean.columns else []
+        late = out_of_order(clean, keys, policy.sequence, at).where("out_of_order")
+        note(late, "out_of_order", "WARNING" if policy.reorder else "ERROR", F.lit(1), policy.sequence, at)
+    good = clean
+    if all(c in clean.columns for c in policy.identity):
+        order = [c for c in ("event_time", "start", "seq") if c in clean.columns]
+        counted = first_wins(clean, list(policy.identity), order + [c for c in clean.columns if c not in order])
+        level = "WARNING" if policy.drop_duplicates else "ERROR"
+        note(counted.where(F.col("duplicates") > 0), "duplicate", level, F.col("duplicates"), *policy.identity)
+        if policy.drop_duplicates:
+            good = counted.drop("duplicates")
+    if {"start", "end", "tf_seconds", "instrument"} <= set(good.columns):
+        note(bar_gaps(good), "gap", "WARNING", F.lit(1), "gap_start", "gap_end")
+    issues = union_all(found)
     provenance = work.agg(
         F.count(F.lit(1)).alias("rows_read"), F.count_if(F.size("issues") == 0).alias("rows_accepted"),
         F.count_if(F.size("issues") > 0).alias("rows_rejected"),
     )
-    if policy.strict and not issues.where(F.col("code") != "duplicate").isEmpty():
-        raise ImportRejected("strict import: the file has rejected rows")
+    if policy.strict and not issues.where(F.col("severity") == "ERROR").isEmpty():
+        raise ImportRejected("strict import: the file has errors")
     return Imported(good, issues, provenance)
 
 

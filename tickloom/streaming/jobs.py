@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ POINT = T.StructType([
 class SignalJob:
     """Channel-breakout signals for the bars of each micro-batch.
 
-    Older bars are read back only as far as the channel needs. Batches below
+    Of the stored bars only the last ``lookback`` of each series are needed. Batches below
     ``emit_from`` warm the tables up without emitting.
     """
 
@@ -44,9 +44,11 @@ class SignalJob:
         keys = ["instrument", "tf_seconds", "start"]
         known = self.bars.read(before=batch_id)
         fresh = batch.join(known.select(*keys), keys, "left_anti")
-        first = fresh.groupBy("instrument", "tf_seconds").agg(F.min("start").alias("_first"))
-        back = F.col("_first") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("tf_seconds") * (self.lookback * 4))
-        tail = known.join(first, ["instrument", "tf_seconds"]).where((F.col("start") < F.col("_first")) & (F.col("start") >= back))
+        series = ["instrument", "tf_seconds"]
+        first = fresh.groupBy(*series).agg(F.min("start").alias("_first"))
+        older = known.join(first, series).where(F.col("start") < F.col("_first"))
+        newest = Window.partitionBy(*series).orderBy(F.desc("start"))
+        tail = older.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= self.lookback).drop("_back")
         both = tail.drop("_first").unionByName(fresh)
         rows = donchian(both, self.lookback).join(fresh.select(*keys), keys, "left_semi")
         found = as_signals(rows, "donchian20").select(*SIGNAL.fieldNames())
