@@ -8,6 +8,8 @@ timeframe, whatever the number of ticks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from tickloom.functions.columns import (
     selected_price,
 )
 from tickloom.functions.quality import is_blocked, merged_flags, validate_ticks, with_flag
-from tickloom.operators.scan import exact_quantiles, neighbour, range_chunks
+from tickloom.operators.scan import exact_quantiles, neighbour, range_chunks, union_all
+from tickloom.session import pin
 
 BAR_KEYS = ["instrument", "tf_seconds"]
 
@@ -96,18 +99,28 @@ def tick_bars(ticks: DataFrame, tf: int, *, validate: bool = True) -> DataFrame:
     return _finish(bars, tf, F.col("first_event") > F.col("start")).select(*_BAR_COLUMNS)
 
 
-def quote_bars(quotes: DataFrame, tf: int, max_gap: float, *, use_calendar: bool = False) -> DataFrame:
+def quote_bars(
+    quotes: DataFrame, tf: int | Sequence[int], max_gap: float, *, use_calendar: bool = False
+) -> DataFrame:
     """Bars from a quote stream that is continuous up to ``max_gap`` open seconds.
 
     ``quotes`` has the tick layout. A bar is not partial when its first quote follows the
-    last quote of the adjacent bar within the bound.
+    last quote of the adjacent bar within the bound. Several timeframes share one ordered
+    pass over the quotes.
     """
+    sizes = [tf] if isinstance(tf, int) else list(tf)
     order = ["event_time", "seq", "event_id"]
     chunked = range_chunks(quotes, ["instrument"], order)
     rows = neighbour(chunked, ["instrument"], order, {"_prev_time": "event_time"})
     span = cal.open_seconds if use_calendar else seconds_between
-    inside = F.col("_prev_time") >= interval_start("event_time", tf)
     rows = rows.withColumn("_gap", span("_prev_time", "event_time"))
+    if len(sizes) > 1:
+        rows = pin(rows)
+    return union_all([_continuous(rows, size, max_gap, span, use_calendar) for size in sizes])
+
+
+def _continuous(rows: DataFrame, tf: int, max_gap: float, span, use_calendar: bool) -> DataFrame:
+    inside = F.col("_prev_time") >= interval_start("event_time", tf)
     bars = _ohlc(
         rows, tf,
         F.coalesce(F.max(F.when(inside, F.col("_gap"))), F.lit(0.0)).alias("_inner_gap"),

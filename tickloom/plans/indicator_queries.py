@@ -68,7 +68,7 @@ BASE = (SQL["quotes"], sql_bars(H4))
 POINTS = (*BASE, sql_indicators(N.Periods()))
 
 
-def points(spark, sf, tf: int = H4, periods: N.Periods = N.Periods()):
+def points(spark, sf, tf: int | tuple[int, ...] = H4, periods: N.Periods = N.Periods()):
     """Indicator rows as a written table: several rules read them."""
     return pin(N.add_indicators(I.bars(spark, sf, tf), periods))
 
@@ -237,7 +237,9 @@ def a34_volatility_threshold(spark, sf):
 
 
 def trend_inputs(spark, sf):
-    return {tf: points(spark, sf, tf, SHORT) for tf in (12 * 3600, 8 * 3600, H4)}
+    sizes = (12 * 3600, 8 * 3600, H4)
+    table = points(spark, sf, sizes, SHORT)
+    return {tf: table.where(F.col("tf_seconds") == tf) for tf in sizes}
 
 
 def trend_evaluations(spark, sf):

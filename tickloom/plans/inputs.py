@@ -57,7 +57,7 @@ def strict_bars(spark: SparkSession, sf_dir: str, tf: int = 3600) -> DataFrame:
     return tick_bars(ticks(spark, sf_dir), tf)
 
 
-def bars(spark: SparkSession, sf_dir: str, tf: int = 4 * 3600) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, tf: int | tuple[int, ...] = 4 * 3600) -> DataFrame:
     """Bars that are usable downstream: continuous up to the declared quiet time."""
     return pin(quote_bars(quotes(spark, sf_dir), tf, CONTINUITY_SECONDS))
 
