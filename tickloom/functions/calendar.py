@@ -91,6 +91,15 @@ def entry_gate(t: C, *, minutes: float = 30, daily: bool = True) -> Column:
     return out
 
 
+def next_weekly_close(t: C) -> Column:
+    """First modelled Friday close strictly after ``t``, as a UTC instant."""
+    local = local_time(t)
+    sec = F.pmod(F.unix_micros(local), F.lit(86_400_000_000)) / F.lit(1_000_000)
+    days = F.pmod(F.lit(4) - F.weekday(local), F.lit(7))
+    days = F.when((days == 0) & (sec >= FRIDAY_CLOSE), F.lit(7)).otherwise(days)
+    return _at_local(F.date_add(F.to_date(local), days.cast("int")), FRIDAY_CLOSE / 3600)
+
+
 def schedule_state(
     start: C, end: C, weekly: list[tuple[int, int]], holidays: list[tuple[str, str]], zone: str = NEW_YORK
 ) -> Column:

@@ -5,15 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.calendar import next_weekly_close
+from tickloom.functions.columns import plus_seconds
 from tickloom.operators import intervals
-from tickloom.operators.scan import range_chunks, run_count, run_sum, running
+from tickloom.operators.asof import latest_known
+from tickloom.operators.bars import series
+from tickloom.operators.scan import range_chunks, run_sum, running
+from tickloom.operators.structure import quote_gaps
 
 
-def first_touch(trades: DataFrame, quotes: DataFrame, ident: str) -> DataFrame:
+def time_limits(
+    trades: DataFrame, bars: DataFrame, ident: str, *, max_bars: int | None = None, max_hours: float | None = None,
+    preclose_minutes: float | None = None,
+) -> DataFrame:
+    """The instant and reason at which time ends each trade, as ``close_at`` and ``time_reason``.
+
+    The earliest of: the end of the ``max_bars``-th bar that starts at or after the entry,
+    a holding time, and a margin before the next weekly close. ``bars`` is one timeframe.
+    """
+    ends = F.lead("end", max_bars or 1).over(series())
+    indexed = bars.select("instrument", "tf_seconds", "start", "end").withColumn("_limit", ends)
+    rows = latest_known(
+        trades, indexed, left_at="entry_at", left_id=[ident], time="start", available="start", right_id=["tf_seconds"],
+        values=["_limit"], prefix="_b",
+    )
+    us = F.unix_micros
+    none = F.lit(None).cast("timestamp")
+    by_bars = F.col("_b_limit") if max_bars else none
+    by_hours = plus_seconds("entry_at", max_hours * 3600) if max_hours else none
+    cut = F.greatest(F.col("entry_at"), plus_seconds(next_weekly_close("entry_at"), -60 * (preclose_minutes or 0)))
+    by_close = cut if preclose_minutes is not None else none
+    limit = F.least(by_bars, by_hours, by_close)
+    reason = (
+        F.when(us(by_bars) == us(limit), "MAX_BARS").when(us(by_hours) == us(limit), "MAX_HOURS").otherwise("PRE_WEEKLY_CLOSE")
+    )
+    return rows.withColumns({"close_at": limit, "time_reason": F.when(limit.isNotNull(), reason)}).select(
+        *trades.columns, *[c for c in ("close_at", "time_reason") if c not in trades.columns]
+    )
+
+
+def first_touch(trades: DataFrame, quotes: DataFrame, ident: str, *, gap_bound: float | None = None) -> DataFrame:
     """Which of stop, target or time ends each trade, and when.
 
     ``trades``: instrument, direction, entry_at, close_at (the time limit), stop, target.
-    A long liquidates at the bid, a short at the ask. On one quote the stop wins.
+    A long liquidates at the bid, a short at the ask. On one quote the stop wins. With
+    ``gap_bound`` (seconds) ``gap`` tells whether the touching quote followed a longer pause.
     """
     up = F.col("direction") == "UP"
     legs = F.array(
@@ -38,7 +74,13 @@ def first_touch(trades: DataFrame, quotes: DataFrame, ident: str) -> DataFrame:
     stop_first = F.col("_stop").isNotNull() & (F.col("_target").isNull() | (F.col("_stop") <= F.col("_target")))
     exit_ = F.when(stop_first, "STOP").when(F.col("_target").isNotNull(), "TARGET").otherwise("TIME")
     at = F.coalesce(F.timestamp_micros(F.least("_stop", "_target")), F.col("close_at"))
-    return rows.withColumns({"exit": exit_, "exit_at": at}).drop("_stop", "_target")
+    out = rows.withColumns({"exit": exit_, "exit_at": at}).drop("_stop", "_target")
+    if gap_bound is None:
+        return out
+    pauses = quote_gaps(quotes).where(F.col("gap") > gap_bound).select("instrument", F.col("event_time").alias("exit_at"))
+    late = pauses.distinct().withColumn("_late", F.lit(True))
+    flagged = out.join(late, ["instrument", "exit_at"], "left")
+    return flagged.withColumn("gap", F.coalesce("_late", F.lit(False)) & (F.col("exit") != "TIME")).drop("_late")
 
 
 def mark_to_market(trades: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -55,11 +55,17 @@ def _series(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[s
     return rows.groupBy(*keys).agg(packed.alias("_s")).withColumn("_n", F.size("_s"))
 
 
-def _iterate(series: DataFrame, iterations: int) -> DataFrame:
-    """Each key once per iteration, spread evenly over the tasks."""
-    spark = series.sparkSession
-    wide = series.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    return wide.repartition(shuffle_width(spark), "iteration")
+def _iterate(series: DataFrame, keys: Sequence[str], iterations: int) -> DataFrame:
+    """Each key once per iteration, spread evenly over the tasks.
+
+    The arrays travel once per batch of iterations, not once per iteration.
+    """
+    width = shuffle_width(series.sparkSession)
+    batches = min(iterations, 4 * width)
+    spread = series.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    spread = spread.repartition(width, *keys, "_batch")
+    turns = F.explode(F.sequence(F.col("_batch"), F.lit(iterations - 1), F.lit(batches)))
+    return spread.withColumn("iteration", turns).drop("_batch")
 
 
 def bootstrap_daily(
@@ -69,7 +75,7 @@ def bootstrap_daily(
     """Moving-block bootstrap of daily results: quantiles of the mean and of the drawdown."""
     series = _series(days, keys, day, [value]).where(F.col("_n") >= 4)
     width = F.least(F.lit(block_days), F.col("_n"))
-    rows = _iterate(series.withColumn("_w", width), iterations)
+    rows = _iterate(series.withColumn("_w", width), keys, iterations)
     blocks = F.transform(
         F.sequence(F.lit(0), F.ceil(F.col("_n") / F.col("_w")).cast("int") - 1),
         lambda slot: F.slice(
@@ -127,7 +133,7 @@ def ratio_bootstrap(
         "_cnt": F.aggregate("_s", F.lit(0.0), lambda a, s: a + s["episodes"]),
         "zero_blocks": F.size(F.filter("_s", lambda s: s["episodes"] == 0)),
     })
-    rows = _iterate(series.where(F.col("_n") >= 2), iterations)
+    rows = _iterate(series.where(F.col("_n") >= 2), keys, iterations)
     picks = F.transform(
         F.sequence(F.lit(0), F.col("_n") - 1),
         lambda slot: F.get(F.col("_s"), draw(seed, F.col("iteration"), slot, below=F.col("_n")).cast("int")),

@@ -21,6 +21,8 @@ from tickloom.session import pin
 FACTOR = 8
 # Level 7 is about 2.1 seconds and level 14 about 51 days; fine levels are built on demand.
 COARSE, TOP = 7, 14
+# Levels walked down per round: 8**3 children of one touched cell.
+STEP = 3
 SERIES = ("bid_up", "bid_down", "ask_up", "ask_down")
 
 
@@ -116,22 +118,18 @@ def _reaches() -> Column:
 
 def _walk_down(rows: DataFrame, ladder: DataFrame, ident: Sequence[str], key: Sequence[str], top: int, bottom: int) -> DataFrame:
     """Replace each touched cell by its first touched descendant at level ``bottom``."""
-    level = top
     carried = [*key, *ident, "series", "threshold"]
+    level = top
     while level > bottom:
-        step = min(2, level - bottom)
-        target = level - step
-        waiting = rows.where(F.col("level") <= target)
+        target = max(level - STEP, bottom)
         moving = rows.where(F.col("level") > target)
-        for gap in range(1, step + 1):
-            here = moving.where(F.col("level") == target + gap)
-            width = _width(gap)
-            children = here.withColumn("cell", F.explode(F.sequence(F.col("cell") * width, F.col("cell") * width + width - 1)))
-            slice_ = ladder.where(F.col("level") == target).drop("level")
-            hit = children.drop("level").join(slice_, [*key, "cell"]).where(_reaches())
-            first = hit.groupBy(*carried).agg(F.min("cell").alias("cell")).withColumn("level", F.lit(target))
-            waiting = waiting.unionByName(first.select(*rows.columns))
-        rows, level = pin(waiting), target
+        width = F.pow(F.lit(FACTOR), F.col("level") - target).cast("bigint")
+        first_child = F.col("cell") * width
+        children = moving.withColumn("cell", F.explode(F.sequence(first_child, first_child + width - 1))).drop("level")
+        hit = children.join(ladder.where(F.col("level") == target).drop("level"), [*key, "cell"]).where(_reaches())
+        first = hit.groupBy(*carried).agg(F.min("cell").alias("cell")).withColumn("level", F.lit(target))
+        rows = pin(rows.where(F.col("level") <= target).unionByName(first.select(*rows.columns)))
+        level = target
     return rows
 
 

@@ -130,7 +130,7 @@ RATIO_SELECT = """SELECT variant, n AS blocks, zero_blocks, rb_n.episodes, round
 def a29_ratio_bootstrap(spark, sf):
     blocks = pin(S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=14, coverage=COVER))
     out = S.ratio_bootstrap(blocks, ["variant"], iterations=200, seed=14, alpha=0.05)
-    return out.select("variant", "blocks", "zero_blocks", "episodes", rnd("mean"), rnd("lower_bound"), "resamples")
+    return out.select("variant", F.col("blocks").cast("bigint").alias("blocks"), F.col("zero_blocks").cast("bigint").alias("zero_blocks"), "episodes", rnd("mean"), rnd("lower_bound"), "resamples")
 
 
 @query(
@@ -145,7 +145,7 @@ def a30_joint_aligned_bootstrap(spark, sf):
     blocks = S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=28, coverage=COVER)
     shared = pin(S.aligned(pin(blocks).where("episodes > 0"), "variant"))
     out = S.ratio_bootstrap(shared, ["variant"], iterations=200, seed=28, alpha=0.01)
-    return out.select("variant", "blocks", "zero_blocks", "episodes", rnd("mean"), rnd("lower_bound"), "resamples")
+    return out.select("variant", F.col("blocks").cast("bigint").alias("blocks"), F.col("zero_blocks").cast("bigint").alias("zero_blocks"), "episodes", rnd("mean"), rnd("lower_bound"), "resamples")
 
 
 @query(
@@ -175,7 +175,7 @@ def a39_candidate_evidence(spark, sf):
         F.col("variant").alias("candidate"), F.lit(0).alias("invalid_r"), "unknown_costs", "episodes", "blocks", F.col("mean").alias("mean_r"),
         F.col("lower_bound").alias("base_bound"), F.col("lower_bound").alias("stress_bound"), "drawdown", F.lit(1.0).alias("drop_best"),
     )
-    return S.evidence(rows).select("candidate", "decision", rnd("mean_r"), rnd("base_bound"), rnd("drawdown"), "position")
+    return S.evidence(rows).select("candidate", "decision", rnd("mean_r"), rnd("base_bound"), rnd("drawdown"), F.col("position").cast("bigint").alias("position"))
 
 
 @query(

@@ -202,8 +202,9 @@ def a31_mfe_mae(spark, sf):
            q2 AS (SELECT b.*, q.event_time, CASE WHEN direction = 'UP' THEN q.bid ELSE q.ask END AS px FROM b LEFT JOIN quotes q
               ON q.instrument = b.instrument AND q.event_time BETWEEN b.entry_at AND b.close_at),
            f AS (SELECT trade_id, close_at, min(CASE WHEN direction = 'UP' AND px <= stop OR direction = 'DOWN' AND px >= stop THEN event_time END) AS stop_at,
-              min(CASE WHEN direction = 'UP' AND px >= target OR direction = 'DOWN' AND px <= target THEN event_time END) AS target_at FROM q2 GROUP BY 1, 2)""",
-        select="""SELECT trade_id, CASE WHEN stop_at IS NOT NULL AND (target_at IS NULL OR stop_at <= target_at) THEN 'STOP' WHEN target_at IS NOT NULL THEN 'TARGET' ELSE 'TIME' END AS exit,
+              min(CASE WHEN direction = 'UP' AND px >= target OR direction = 'DOWN' AND px <= target THEN event_time END) AS target_at, any_value(instrument) AS instrument FROM q2 GROUP BY 1, 2),
+           gp AS (SELECT instrument, event_time, (epoch_us(event_time) - epoch_us(lag(event_time) OVER (PARTITION BY instrument ORDER BY event_time, seq))) / 1e6 AS gap FROM quotes)""",
+        select="""SELECT trade_id, coalesce((SELECT max(gap) FROM gp WHERE gp.instrument = f.instrument AND gp.event_time = coalesce(least(stop_at, target_at))) > 1800, false) AS gap, CASE WHEN stop_at IS NOT NULL AND (target_at IS NULL OR stop_at <= target_at) THEN 'STOP' WHEN target_at IS NOT NULL THEN 'TARGET' ELSE 'TIME' END AS exit,
               coalesce(least(stop_at, target_at), close_at) AS exit_at FROM f""",
     ),
 )
@@ -214,7 +215,29 @@ def x10_first_touch_exit(spark, sf):
     trades = marked_trades(spark, sf).withColumns({
         "stop": F.when(up, e - 20).otherwise(e + 20), "target": F.when(up, e + 40).otherwise(e - 40)
     })
-    return first_touch(trades, I.quotes(spark, sf), "trade_id").select("trade_id", "exit", "exit_at")
+    return first_touch(trades, I.quotes(spark, sf), "trade_id", gap_bound=1800).select("trade_id", "exit", "exit_at", "gap")
+
+
+@query(
+    "x10_time_limits",
+    with_ctes(
+        *TRADES,
+        """n AS (SELECT *, lead("end", 2) OVER (PARTITION BY instrument ORDER BY start) AS lim FROM bars),
+           e AS (SELECT t.*, (SELECT max((n.start, n.lim)) FROM n WHERE n.instrument = t.instrument AND n.start <= t.entry_at) AS b FROM trades t),
+           l AS (SELECT *, timezone('America/New_York', timezone('UTC', entry_at)) AS loc FROM e),
+           w AS (SELECT *, ((4 - (isodow(loc) - 1)) % 7 + 7) % 7 AS d, epoch_us(loc) % 86400000000 / 1e6 AS sec FROM l),
+           c AS (SELECT *, greatest(entry_at, timezone('UTC', timezone('America/New_York', date_trunc('day', loc) + to_days((CASE WHEN d = 0 AND sec >= 60900 THEN 7 ELSE d END)::INT) + INTERVAL 60900 SECOND)) - INTERVAL 60 MINUTE) AS cut,
+              b[2] AS by_bars, entry_at + INTERVAL 10 HOUR AS by_hours FROM w)""",
+        select="""SELECT trade_id, least(by_bars, by_hours, cut) AS close_at, CASE WHEN by_bars = least(by_bars, by_hours, cut) THEN 'MAX_BARS' WHEN by_hours = least(by_bars, by_hours, cut) THEN 'MAX_HOURS'
+              ELSE 'PRE_WEEKLY_CLOSE' END AS time_reason FROM c""",
+    ),
+)
+def x10_time_limits(spark, sf):
+    from tickloom.operators.exits import time_limits
+
+    trades = marked_trades(spark, sf).drop("close_at")
+    out = time_limits(trades, I.bars(spark, sf), "trade_id", max_bars=2, max_hours=10, preclose_minutes=60)
+    return out.select("trade_id", "close_at", "time_reason")
 
 
 @query(
