@@ -98,3 +98,13 @@ def test_fold_sorted_keeps_state_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert max(r["total"] for r in rows if r["k"] == 0) == sum(range(0, 100, 2))
+
+
+def test_pinned_rows_live_in_the_configured_folder(spark):
+    from tickloom import session
+
+    root = session.checkpoint_root(spark)
+    assert spark.conf.get("spark.checkpoint.dir") == root
+    pinned = session.pin(spark.range(10))
+    assert all(f.split("://")[-1].lstrip("/").startswith(root.split("://")[-1].lstrip("/")) or root in f for f in pinned.inputFiles())
+    assert pinned.count() == 10

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.session import use_utc
+from tickloom.session import fit_local, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,7 @@ def query(name: str, sql: str | None = None):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             use_utc(spark)
+            fit_local(spark)
             return plain(fn(spark, sf_dir))
 
         if name in QUERIES:

@@ -40,6 +40,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def job_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{checkpoint_root(spark)}/tickloom-{spark.sparkContext.applicationId}"
+
+
+def drop_pinned(spark: SparkSession) -> None:
+    """Remove what this application pinned, once its results are written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(job_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -48,20 +59,30 @@ def pin(df: DataFrame) -> DataFrame:
     Parquet rather than RDD checkpointing keeps column pruning on the way back.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/pinned/{uuid.uuid4().hex}"
+    path = f"{job_folder(spark)}/pinned/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh folder for a table that a later step of the same job reads."""
-    return f"{checkpoint_root(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    return f"{job_folder(spark)}/scratch/{name}-{uuid.uuid4().hex}"
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def fit_local(spark: SparkSession) -> None:
+    """On one machine, bring the untouched default of 200 shuffle partitions down to its cores.
+
+    A cluster's setting, and any value somebody chose, stays as it is.
+    """
+    local = spark.sparkContext.master.startswith("local")
+    if local and spark.conf.get("spark.sql.shuffle.partitions", "200") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(2, spark.sparkContext.defaultParallelism)))
+
+
 def use_utc(spark: SparkSession) -> None:
     """All calendar arithmetic here is UTC; the casts of naive columns depend on it."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
