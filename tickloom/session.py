@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -25,6 +26,7 @@ def local_session(cores: str = "8", app: str = "tickloom") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package()
     return spark
 
 
@@ -73,6 +75,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def ship_package() -> None:
+    """Send this package's functions to Python workers by value.
+
+    Workers then need not have the package on their own path, which also covers the
+    planning worker of stateful streams.
+    """
+    import tickloom
+
+    if tickloom.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(tickloom)
+
+
 def fit_local(spark: SparkSession) -> None:
     """On one machine, bring the untouched default of 200 shuffle partitions down to its cores.
 
