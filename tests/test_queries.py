@@ -36,3 +36,12 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_registry_loads_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) - len(e.oracle_sql()) == 1"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

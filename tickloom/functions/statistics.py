@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.columns import C, col
 
@@ -15,7 +16,7 @@ EULER_GAMMA = 0.5772156649015329
 _UNIT = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else 0.5 * (1.0 + math.erf(v / math.sqrt(2.0))))
 
