@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import packing
+from tickloom.llm import language_id, packing
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,3 +18,11 @@ def vocabulary() -> str:
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    known = language_id.predict(docs.select("doc_id", "text"), model)
+    return known.select("doc_id", language_id.held_out(known).alias("held_out"), "lang_pred", "score")
