@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import language_id, packing
+from tickloom.llm import exact_dedup, language_id, packing
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,3 +26,15 @@ def op9_language_id(spark, sf_dir):
     model = language_id.fit(docs)
     known = language_id.predict(docs.select("doc_id", "text"), model)
     return known.select("doc_id", language_id.held_out(known).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op6_exact_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+    SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+    FROM d WINDOW g AS (PARTITION BY text_sha256)
+    """,
+)
+def op6_exact_dedup(spark, sf_dir):
+    return exact_dedup.with_groups(table(spark, sf_dir, "documents")).select("doc_id", *exact_dedup.DECISIONS)
