@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.llm import exact_dedup, language_id, packing
+from tickloom.llm import exact_dedup, language_id, packing, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
+from tickloom.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -38,3 +39,23 @@ def op9_language_id(spark, sf_dir):
 )
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.with_groups(table(spark, sf_dir, "documents")).select("doc_id", *exact_dedup.DECISIONS)
+
+
+@query(
+    "op3_warc",
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    h AS (SELECT page_id, payload, octet_length(payload) AS payload_bytes, upper(sha1(payload)) AS digits, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
+    b AS (
+        SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(digits, 1 + 5 * (k // 4), 5))::BIGINT >> (5 * (3 - k % 4))) & 31), 1), '' ORDER BY k) AS payload_digest
+        FROM h, range(32) r(k) GROUP BY page_id
+    )
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM h JOIN b USING (page_id)
+    """,
+)
+def op3_warc(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path)
