@@ -23,54 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text_bytes import LOWER, NOT_LETTER, slices
+from tickloom.llm.text_bytes import NOT_LETTER, Table, lower, slices
 
 ORDER = 4
 TRAIN_BYTES = 3_000_000
 UNDETERMINED = "und"
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_FOLD = np.where(NOT_LETTER, np.uint8(0x20), LOWER).astype(np.uint8)
-
-
-class Table:
-    """Open-addressing hash table from keys to their row numbers, probed for whole arrays."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(4, int(np.ceil(np.log2(max(1, 3 * len(keys))))))
-        size = 1 << self.bits
-        self.keys, self.rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            free = self.rows[slot] < 0
-            self.rows[slot[free]] = todo[free]  # the last writer of a slot stays
-            won = free & (self.rows[slot] == todo)
-            self.keys[slot[won]] = keys[todo[won]]
-            todo, slot = todo[~won], (slot[~won] + 1) & (size - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where there is none."""
-        slot = self._slot(keys)
-        rows = self.rows[slot]
-        pending = np.flatnonzero((rows >= 0) & (self.keys[slot] != keys))
-        at = slot[pending]
-        while len(pending):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            rows[pending] = self.rows[at]
-            on = (self.rows[at] >= 0) & (self.keys[at] != keys[pending])
-            pending, at = pending[on], at[on]
-        return rows
 
 
 def folded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes, each text after ``ORDER`` spaces, and where each text begins and ends in them."""
-    plain = _FOLD[data]
+    plain = np.where(NOT_LETTER[data], np.uint8(0x20), lower(data))
     if len(data):
-        upper = np.flatnonzero(data[:-1] == 0xC3) + 1  # capital letters of Latin-1
-        upper = upper[(data[upper] >= 0x80) & (data[upper] <= 0x9E) & (data[upper] != 0x97)]
-        plain[upper] += 0x20
         keep = np.ones(len(data), bool)
         keep[1:] = (plain[1:] != 0x20) | (plain[:-1] != 0x20)
         sizes = np.concatenate(([0], np.cumsum(keep)))[offs]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.llm import exact_dedup, language_id, packing, warc
+from pyspark.sql import functions as F
+
+from tickloom.llm import exact_dedup, language_id, packing, toxicity, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 from tickloom.session import scratch_path
 
@@ -59,3 +61,10 @@ def op3_warc(spark, sf_dir):
     path = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read_records(spark, path)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return known.select("doc_id", toxicity.held_out(known).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 # An odd base has an inverse modulo 2**64, so a word's hash does not depend on its place.
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -64,6 +65,16 @@ def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = ASCII_SPA
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with the capital letters of ASCII and Latin-1 as small letters."""
+    out = LOWER[data]
+    if len(data):
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+        out[second] += 0x20
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -89,3 +100,35 @@ class Hasher:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[: len(data)], out=sums[1:])
         raw = (sums[ends] - sums[starts]) * self._inverses[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+class Table:
+    """Open-addressing hash table from keys to their row numbers, probed for whole arrays."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(np.ceil(np.log2(max(1, 3 * len(keys))))))
+        size = 1 << self.bits
+        self.keys, self.rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.rows[slot] < 0
+            self.rows[slot[free]] = todo[free]  # the last writer of a slot stays
+            won = free & (self.rows[slot] == todo)
+            self.keys[slot[won]] = keys[todo[won]]
+            todo, slot = todo[~won], (slot[~won] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where there is none."""
+        slot = self._slot(keys)
+        rows = self.rows[slot]
+        pending = np.flatnonzero((rows >= 0) & (self.keys[slot] != keys))
+        at = slot[pending]
+        while len(pending):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            rows[pending] = self.rows[at]
+            on = (self.rows[at] >= 0) & (self.keys[at] != keys[pending])
+            pending, at = pending[on], at[on]
+        return rows
