@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text_bytes import Hasher, slices, words
+from tickloom.llm.text_bytes import LOWER, NOT_LETTER, Hasher, slices, words
 
 SEQUENCE = 4096
 END_OF_TEXT = 2
 GROUP = 2048
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_000_000
+_BETWEEN, _BETWEEN_ID = b"<|endoftext|>", 49407
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -99,9 +100,11 @@ def pack_group(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int,
 class WordTokenizer:
     """Ids of whole texts from the ids of their words.
 
-    The vocabulary's pre-tokenizer never joins text across ASCII white space, so a text's ids
-    are those of its space-separated words one after another. Each distinct word goes through
-    the tokenizer once as long as the cache (bounded) holds it.
+    The vocabulary's pre-tokenizer never joins text across ASCII white space, nor a letter with a
+    full stop or comma after it, and it folds case; so a text's ids are those of its lower-case words
+    and stops one after another. Each distinct word goes through the tokenizer once as long as the
+    cache (bounded) holds it; new words go together, with a special token between them. Slices that
+    hold a special token's text are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -112,45 +115,63 @@ class WordTokenizer:
 
     def _empty(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.sizes = np.zeros(0, np.int64)
-        self.begins = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int32)
+        self.begins = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, fresh: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(fresh) > CACHE_WORDS and len(self.keys):
-            self._empty()
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
-        begins = len(self.ids) + np.cumsum(sizes) - sizes
+    def _learn(self, fresh: np.ndarray, texts: list[bytes]) -> None:
+        found = np.array(self.tokenizer.encode(_BETWEEN.join([*texts, b""]).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        after = np.flatnonzero(found == _BETWEEN_ID)
+        ends = after - np.arange(len(after))
+        begins = np.concatenate((np.zeros(1, ends.dtype), ends[:-1]))
         keys = np.concatenate((self.keys, fresh))
-        order = np.argsort(keys)
-        self.keys, self.sizes = keys[order], np.concatenate((self.sizes, sizes))[order]
-        self.begins = np.concatenate((self.begins, begins))[order]
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))))
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.sizes = np.concatenate((self.sizes, (ends - begins).astype(np.int32)))[order]
+        self.begins = np.concatenate((self.begins, (begins + len(self.ids)).astype(np.int32)))[order]
+        self.ids = np.concatenate((self.ids, found[found != _BETWEEN_ID]))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a slice, with the end mark."""
-        starts, ends, at = words(data, offs)
+        end = np.array([END_OF_TEXT], np.uint32)
+        if b"<|" in (raw := data.tobytes()):
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            return [np.concatenate((np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32), end)) for t in texts]
+        data = LOWER[data]
+        starts, ends, at = words(data, offs, breaks=_stop_after_letter(data))
         hashes = self.hasher.ranges(data, starts, ends)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        where = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(where, len(self.keys) - 1)] == distinct
-        if not known.all():
-            if len(self.keys) + int((~known).sum()) > CACHE_WORDS:
+        new = self._missing(distinct)
+        if len(new):
+            if len(self.keys) + len(new) > CACHE_WORDS and len(self.keys):
                 self._empty()
-                known[:] = False
-            raw, new = data.tobytes(), first[~known]
-            self._learn(distinct[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            where = np.searchsorted(self.keys, distinct)
-        spot = where[inverse] if len(distinct) else np.zeros(0, np.int64)
+                new = np.arange(len(distinct))
+            raw = data.tobytes()
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        spot = np.searchsorted(self.keys, distinct)[inverse]
         sizes = self.sizes[spot]
         upto = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.ids[np.repeat(self.begins[spot] - upto[:-1], sizes) + np.arange(upto[-1])]
-        end = np.array([END_OF_TEXT], np.uint32)
         return [np.concatenate((ids[upto[a] : upto[b]], end)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
+    def _missing(self, distinct: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.arange(len(distinct))
+        where = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[where] != distinct)
+
+
+def _stop_after_letter(data: np.ndarray) -> np.ndarray:
+    """Marks bytes that begin a stop or comma right after an ASCII or Latin-1 letter."""
+    out = np.zeros(len(data), bool)
+    if len(data) > 2:
+        letter = ~NOT_LETTER[data] & (data < 0x80)
+        latin = data >= 0x80
+        latin[1:] &= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        latin[0] = False
+        out[1:] = ((data[1:] == 0x2E) | (data[1:] == 0x2C)) & (letter | latin)[:-1]
+    return out
+
 
 def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, group: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext

@@ -50,13 +50,18 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = ASCII_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the n + 1 offsets of the texts in the list of words."""
+def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = ASCII_SPACE, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the n + 1 offsets of the texts in the list of words.
+
+    ``breaks`` marks bytes at which a new word begins in any case.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     inside = ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
+    if breaks is not None:
+        edge[:-1] |= breaks
     first = inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last = inside.copy()

@@ -1,8 +1,10 @@
 """Toxic passages by maximum-scoring segments.
 
-* Weights: the log-odds of a word between toxic and other documents under a Dirichlet prior that is
-  spread as the words of all training documents; ``STRENGTH`` is its size beside the data. Only words
-  whose log-odds are at least ``Z`` standard errors above zero weigh; every other word costs ``DRIFT``.
+* Tokens: a word and its first 4, 5 and 6 bytes, so that all endings of a stem count together; the
+  strongest of them weighs.
+* Weights: the log-odds of a token between toxic and other documents under a Dirichlet prior that is
+  spread as the words of all training documents; ``STRENGTH`` is its size beside the data. Only
+  tokens whose log-odds are at least ``Z`` standard errors above zero weigh; a word without one costs ``DRIFT``.
 * Passages: all maximal scoring segments of a text's words (Ruzzo and Tompa), found in one pass.
 * Calibration: for words drawn as in clean documents, the best segment of n words exceeds s with
   expectation K n exp(-lambda s). A document's passages count together by the sum statistic of their
@@ -24,17 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text_bytes import NOT_LETTER, Hasher, Table, lower, slices, words
+from tickloom.llm.text_bytes import NOT_LETTER, Hasher, Table, lower, mix, slices, words
 
 TRAIN_ROWS = 60_000
 STRENGTH = 0.1
 Z = 3.5
 DRIFT = 0.1
 REJECT = 0.7
+STEMS = (4, 5, 6)
 SEGMENTS = "array<struct<start:int,end:int,score:double,log_e:double>>"
 ADDED = ("score", "predicted", "segments")
 
 
+def token_hashes(hasher: Hasher, small: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the words, and for each length in ``STEMS`` of their beginnings (the word's own where it is no longer)."""
+    out = [hasher.ranges(small, starts, ends)]
+    for n in STEMS:
+        longer = ends - starts > n
+        stem = mix(hasher.ranges(small, starts, np.minimum(starts + n, ends)) + np.uint64(n))
+        out.append(np.where(longer, stem, out[0]))
+    return out
+
+
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring runs (first, after the last, sum) of a list of scores, in linear time."""
     found: list[list[float]] = []  # first, end, sum before, sum after
@@ -95,8 +108,12 @@ class Model:
     def texts(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, float, list[tuple[int, int, float, float]]]]:
         """Evidence and passages, in bytes of the text, of each text of a slice that has any; and its number of words."""
         starts, ends, at = words(data, offs, NOT_LETTER)
-        row = self.table.find(self.hasher.ranges(lower(data), starts, ends)) if len(self.keys) else np.full(len(starts), -1)
-        hits = np.flatnonzero(row >= 0)
+        weight = np.zeros(len(starts))
+        if len(self.keys):
+            known = np.append(self.weights, 0.0)  # row -1 weighs nothing
+            for h in token_hashes(self.hasher, lower(data), starts, ends):
+                weight = np.maximum(weight, known[self.table.find(h)])
+        hits = np.flatnonzero(weight > 0)
         doc = np.searchsorted(at, hits, "right") - 1
         bounds = np.searchsorted(doc, np.arange(len(offs)))
         for i in range(len(offs) - 1):
@@ -105,7 +122,7 @@ class Model:
             if not len(mine):
                 yield n, 0.0, []
                 continue
-            x, found = self.evidence(n, (mine - at[i]).tolist(), self.weights[row[mine]].tolist())
+            x, found = self.evidence(n, (mine - at[i]).tolist(), weight[mine].tolist())
             yield n, x, [(int(starts[at[i] + a] - offs[i]), int(ends[at[i] + b - 1] - offs[i]), s, e) for a, b, s, e in found]
 
     def probability(self, evidence: float) -> float:
@@ -117,14 +134,14 @@ def held_out(docs: DataFrame):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold a word."""
+    """Documents of each class that hold a token."""
     hasher = Hasher()
     for batch in batches:
         toxic = np.array(batch.column(0).to_pylist(), bool)
         for lo, hi, data, offs in slices(batch.column(1)):
             starts, ends, at = words(data, offs, NOT_LETTER)
-            h = hasher.ranges(lower(data), starts, ends)
-            doc = np.repeat(np.arange(hi - lo), np.diff(at))
+            h = np.concatenate(token_hashes(hasher, lower(data), starts, ends))
+            doc = np.tile(np.repeat(np.arange(hi - lo), np.diff(at)), 1 + len(STEMS))
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
