@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, language_id, packing, toxicity, warc
+from tickloom.llm import exact_dedup, fingerprint, language_id, mixing, packing, toxicity, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 from tickloom.session import scratch_path
 
@@ -68,3 +68,34 @@ def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return known.select("doc_id", toxicity.held_out(known).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
+@query("op7_fingerprint")
+def op7_fingerprint(spark, sf_dir):
+    rows = fingerprint.with_next(table(spark, sf_dir, "documents"))
+    prints = rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint.fingerprint(F.col("text")).alias("fingerprint"),
+        fingerprint.fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint",
+    )
+    own = F.col("fingerprint")
+    return prints.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        fingerprint.likeness(own, F.col("edited_fingerprint")).alias("near_edited"), fingerprint.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+@query(
+    "op8_mixing",
+    """
+    WITH s AS (SELECT source, sum(greatest(1, coalesce(length(text), 0))) AS size FROM documents GROUP BY source),
+    w AS (SELECT source, size, pow(size, 0.7) / sum(pow(size, 0.7)) OVER () * sum(size) OVER () / size AS rate FROM s),
+    k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM w),
+    p AS (SELECT source, k, exp(-rate + k * ln(rate) - sum(ln(greatest(k, 1))) OVER (PARTITION BY source ORDER BY k)) AS p FROM k),
+    c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS upto FROM p),
+    u AS (SELECT doc_id, source, ('0x' || substr(md5('mix-1|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+    n AS (SELECT doc_id, u.source, count(*) FILTER (upto <= u) AS copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+    SELECT doc_id, source, unnest(range(1, copies + 1))::INTEGER AS copy, copies::INTEGER AS copies FROM n WHERE copies > 0
+    """,
+)
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "copies")
