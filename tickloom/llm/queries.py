@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, fingerprint, language_id, mixing, packing, toxicity, warc
+from tickloom.llm import exact_dedup, fingerprint, language_id, mixing, ngram_join, packing, toxicity, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 from tickloom.session import scratch_path
 
@@ -99,3 +99,8 @@ def op7_fingerprint(spark, sf_dir):
 )
 def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "copies")
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.link(table(spark, sf_dir, "documents"))
