@@ -120,7 +120,8 @@ class WordTokenizer:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, fresh: np.ndarray, texts: list[bytes]) -> None:
-        found = np.array(self.tokenizer.encode(_BETWEEN.join([*texts, b""]).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        joined = _BETWEEN.join([*texts, b""]).decode("utf-8", "replace")
+        found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         after = np.flatnonzero(found == _BETWEEN_ID)
         ends = after - np.arange(len(after))
         begins = np.concatenate((np.zeros(1, ends.dtype), ends[:-1]))
