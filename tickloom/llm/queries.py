@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, fingerprint, language_id, mixing, ngram_join, packing, toxicity, warc
+from tickloom.llm import exact_dedup, fingerprint, language_id, mixing, ngram_join, packing, pii, toxicity, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 from tickloom.session import scratch_path
 
@@ -104,3 +104,12 @@ def op8_mixing(spark, sf_dir):
 @query("op1_ngram_join")
 def op1_ngram_join(spark, sf_dir):
     return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pii")
+def op2_pii(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii.as_text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_terms"),
+    )
