@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, fingerprint, language_id, mixing, ngram_join, packing, pii, toxicity, warc
+from tickloom.llm import exact_dedup, fingerprint, language_id, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 from tickloom.session import scratch_path
 
@@ -113,3 +113,10 @@ def op2_pii(spark, sf_dir):
         "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
         pii.as_text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_terms"),
     )
+
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
