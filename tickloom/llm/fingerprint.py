@@ -88,7 +88,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     Returns doc_id, text, ``edited`` (the last quarter of the code points replaced by the beginning of the
     next document) and ``next_fingerprint``; one row per input row.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins below read the very same rows by the same key, so the texts are shuffled once and read twice.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
     quarter = F.floor(F.length("text") / 4)
     ids = rows.groupBy("__id").agg(F.min(F.xxhash64("text")).alias("__hash"), F.max(quarter).cast("int").alias("__need"))
     chunked = range_chunks(ids, [], ["__id"])
@@ -97,10 +98,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     links = near.select(F.coalesce("__next", F.lit(first).cast("long")).alias("__next"), F.col("__id").alias("__prev"), "__need")
     links = links.join(chunked.select(F.col("__id").alias("__next"), "__hash"), "__next")
     ahead = (
-        rows.select("__id", "text").join(links, (F.col("__id") == F.col("__next")) & (F.xxhash64("text") == F.col("__hash")))
+        rows.join(links, (F.col("__id") == F.col("__next")) & (F.xxhash64("text") - F.col("__hash") == 0))  # not a second key
         .select("__prev", F.expr("substring(text, 1, __need)").alias("__start"), fingerprint(F.col("text")).alias("next_fingerprint"))
         .dropDuplicates(["__prev"])
     )
     n = F.length("text")
     kept, new = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(__start, 1, cast(floor(length(text) / 4) as int))")
-    return rows.join(ahead, F.col("__id") == F.col("__prev")).select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(kept, new).alias("edited"), "next_fingerprint")
+    doc_id = F.when(F.col("__id") != _FIRST, F.col("__id")).alias("doc_id")
+    return rows.join(ahead, F.col("__id") == F.col("__prev")).select(doc_id, "text", n.cast("long").alias("n_chars"), F.concat(kept, new).alias("edited"), "next_fingerprint")
