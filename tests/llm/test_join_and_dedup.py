@@ -55,7 +55,7 @@ def test_empty_table(empty):
 
 def test_chains_hot_passages_and_groups_of_copies(spark, monkeypatch):
     """Edited copies of one text, all holding a passage that strangers share; small blocks and few frequent shingles."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 3000)
     monkeypatch.setattr(ngram_join, "LEAF", 4)
     monkeypatch.setattr(ngram_join, "FREQUENT", 50)
     rng = random.Random(5)
@@ -101,6 +101,13 @@ def test_bound_never_below_overlap(a, b):
         assert first[0] & first[1]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), max_size=30), min_size=1, max_size=12))
+def test_overlaps(sets):
+    got = ngram_join.overlaps([np.array(sorted(s), np.uint64) for s in sets])
+    assert got.tolist() == [[len(a & b) if i != j else got[i, i] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+
+
 def test_full_counters_bound_nothing():
     wide = np.full(2000, 7, np.uint64)  # one group, beyond a byte
     point = ngram_join.vectors([ngram_join.count_vector(wide)], np.array([2000]))

@@ -13,9 +13,11 @@ least ``PERCENT`` * union. Documents with equal sets are one node.
   coordinate minima are below the least overlap are skipped whole, then single pairs are.
 * Verification: what is left is compared on the whole shingle sets.
 
-Two passes keep groups of copies from being expanded into pairs. The first follows only a spanning forest of
-each block over a few shingles a node; the second takes every remaining pair of nodes that are not in one
-component yet, so no link between components is missed.
+Two passes keep groups of copies from being expanded into pairs. The first takes a spanning forest of the pairs that
+pass the bound, in the buckets of a few shingles a node, and verifies those pairs. The second goes over all buckets
+whose nodes are still in several components: the R-trees name the rows that have a partner in another component, the
+texts of these rows are brought to their blocks, and each block compares all its pairs exactly and returns a spanning
+forest of the links. So no link between components is missed, and no table of pairs grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ WIDTH = 5
 PERCENT = 80
 FREQUENT = 65_536  # length of the list of frequent shingles; it orders them, nothing is left out by it
 LEAF = 16
-BLOCK = 1024
+BLOCK_SHINGLES = 400_000  # of all sets of a block together
 FIRST_TOKENS = 4
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _CLASS_BASE = 1.01 * 100 / PERCENT
@@ -240,88 +242,143 @@ def close_pairs(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tu
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _block_pairs(rows: dict[str, np.ndarray], forest: bool) -> list[tuple[int, int]]:
-    """Candidate pairs of one block: a pair is taken in the block of its smaller class only."""
-    if (rows["comp"] == rows["comp"][0]).all():
-        return []
+def _met(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs that this block is for: not two guests of the next class, and of unlike blocks where two blocks meet."""
+    return ~(rows["guest"][i] & rows["guest"][j]) & ((rows["side"][i] != rows["side"][j]) | (rows["side"][i] == 2))
+
+
+def _bounded_pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = rows["n"]
-    points = vectors(rows["vector"].tolist(), n)
-    i, j, bound = close_pairs(points, n, rows["comp"])
-    side = rows["side"]  # block of the pair a row stands for, and whether it is a guest of the next class
-    home = ~(rows["guest"][i] & rows["guest"][j])
-    across = (side[i] != side[j]) | (side[i] == 2)
-    keep = home & across
+    i, j, bound = close_pairs(vectors(rows["vector"].tolist(), n), n, rows["comp"])
+    keep = _met(rows, i, j)
     i, j, bound = i[keep], j[keep], bound[keep]
-    node, comp = rows["node"], rows["comp"]
-    if not forest:
-        return list(zip(node[i].tolist(), node[j].tolist(), strict=True))
-    parent = {c: c for c in comp.tolist()}
-    out = []
-    for k in np.argsort(-(bound / np.maximum(1, n[i] + n[j] - bound)), kind="stable").tolist():
-        x, y = _find(parent, int(comp[i[k]])), _find(parent, int(comp[j[k]]))
+    return i, j, bound / np.maximum(1, n[i] + n[j] - bound)
+
+
+def _forest(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some pairs those that join components first, the most alike in front."""
+    parent = {c: c for c in rows["comp"].tolist()}
+    kept = []
+    for k in np.argsort(-likeness, kind="stable").tolist():
+        x, y = _find(parent, int(rows["comp"][i[k]])), _find(parent, int(rows["comp"][j[k]]))
         if x != y:
             parent[x] = y
-            out.append((int(node[i[k]]), int(node[j[k]])))
+            kept.append(k)
+    return i[kept], j[kept]
+
+
+def _pairs_of(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    a, b = rows["node"][i].astype(np.int64), rows["node"][j].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of some sets, by products of incidence matrices."""
+    tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(column, minlength=len(tokens)) > 1
+    column, row = (np.cumsum(often) - 1)[column[often[column]]], row[often[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(often.sum()), 2048):
+        lo, hi = np.searchsorted(column, (first, first + 2048))
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[lo:hi], column[lo:hi] - first] = 1
+        out += part @ part.T
     return out
 
 
-_BLOCK_COLUMNS = ("token", "size_class", "first", "second", "node", "n", "comp", "side", "guest")
+def _linked_pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    shingler, sets = Shingler(), []
+    for _, _, data, offs in slices(pa.array(rows["text"].tolist(), pa.large_string())):
+        sets += shingler.sets(data, offs)
+    n = np.array([len(x) for x in sets])
+    both = overlaps(sets)
+    i, j = np.nonzero(np.triu(100 * both >= PERCENT * (n[:, None] + n[None, :] - both), 1))
+    keep = _met(rows, i, j) & (rows["comp"][i] != rows["comp"][j])
+    i, j = i[keep], j[keep]
+    return i, j, both[i, j] / np.maximum(1, n[i] + n[j] - both[i, j])
+
+
+def _candidate_forest(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    i, j, likeness = _bounded_pairs(rows)
+    return _pairs_of(rows, *_forest(rows, i, j, likeness))
+
+
+def _with_partner(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The rows of a block that have a partner by the bound."""
+    i, j, _ = _bounded_pairs(rows)
+    some = np.union1d(i, j).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(rows[c][some], k) for c, k in zip(_BLOCK_COLUMNS, _BLOCK_TYPES, strict=True)], names=list(_BLOCK_COLUMNS))
+
 
+def _link_forest(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    i, j, likeness = _linked_pairs(rows)
+    return _pairs_of(rows, *_forest(rows, i, j, likeness))
 
-def _joined(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (token, class, block pair) to candidate pairs; holds one block at a time."""
+
+_BLOCK_KEY = ["token", "size_class", "first", "second"]
+_BLOCK_COLUMNS = (*_BLOCK_KEY, "node", "n", "comp", "side", "guest")
+_BLOCK_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+_BLOCK_SCHEMA = "token long, size_class int, first int, second int, node long, n long, comp long, side int, guest boolean"
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], content: str, work) -> Iterator[pa.RecordBatch]:
+    """``work`` on every block that has several components, of rows in order of the blocks; holds a block at a time."""
     rest: dict[str, np.ndarray] | None = None
 
-    def pairs(rows: dict[str, np.ndarray], upto: int) -> pa.RecordBatch:
-        key = [rows[c][:upto] for c in _BLOCK_COLUMNS[:4]]
+    def done(rows: dict[str, np.ndarray], upto: int) -> Iterator[pa.RecordBatch]:
         change = np.zeros(max(0, upto - 1), bool)
-        for c in key:
-            change |= c[1:] != c[:-1]
+        for c in _BLOCK_KEY:
+            change |= rows[c][1:upto] != rows[c][: max(0, upto - 1)]
         edges = np.concatenate(([0], np.flatnonzero(change) + 1, [upto])) if upto else np.zeros(1, int)
-        out: list[tuple[int, int]] = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a > 1:
-                out += _block_pairs({c: v[a:b] for c, v in rows.items()}, forest)
-        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
+            if b - a > 1 and (rows["comp"][a:b] != rows["comp"][a]).any():
+                out = work({c: v[a:b] for c, v in rows.items()})
+                if out.num_rows:
+                    yield out
 
     for batch in batches:
         rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(_BLOCK_COLUMNS)}
-        rows["vector"] = np.array(batch.column(len(_BLOCK_COLUMNS)).to_pylist(), object)
+        rows[content] = np.array([*batch.column(len(_BLOCK_COLUMNS)).to_pylist(), None], object)[:-1]
         if rest is not None:
             rows = {c: np.concatenate((rest[c], rows[c])) for c in rows}
-        size = len(rows["token"])
-        if not size:
+        if not len(rows["token"]):
             continue
-        last = np.ones(size, bool)
-        for c in _BLOCK_COLUMNS[:4]:
+        last = np.ones(len(rows["token"]), bool)
+        for c in _BLOCK_KEY:
             last &= rows[c] == rows[c][-1]
         cut = int(np.flatnonzero(last)[0])
-        yield pairs(rows, cut)
+        yield from done(rows, cut)
         rest = {c: v[cut:] for c, v in rows.items()}
     if rest is not None:
-        yield pairs(rest, len(rest["token"]))
+        yield from done(rest, len(rest["token"]))
 
 
-def _candidates(buckets: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of bucket rows (token, node, n, comp)."""
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """Bucket rows (token, node, n, comp) placed in the blocks of their classes of like size."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(_CLASS_BASE)).cast("int")
     cells = buckets.withColumn("own", size_class)
     cells = cells.withColumn("size_class", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("guest", F.col("own") != F.col("size_class")).drop("own")
     cell = ["token", "size_class"]
     counts = cells.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("guest").alias("only_guests")
-    ).where("c1 <> c2 and not only_guests").select(*cell, F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        F.sum("n").alias("shingles"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("guest").alias("only_guests")
+    ).where("c1 <> c2 and not only_guests").select(*cell, F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = cells.join(counts, cell).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
-    spread = placed.select(*cell, "node", "n", "comp", "guest", "block", partner).select(
+    return placed.select(*cell, "node", "n", "comp", "guest", "block", partner).select(
         *cell, F.least("block", "partner").alias("first"), F.greatest("block", "partner").alias("second"), "node", "n", "comp",
         # 2: the pair is a block with itself, else which of the two blocks the row comes from
         F.when(F.col("block") == F.col("partner"), 2).otherwise((F.col("block") > F.col("partner")).cast("int")).alias("side"), "guest",
     )
-    full = spread.join(nodes.select("node", "vector"), "node").select(*_BLOCK_COLUMNS, "vector")
-    key = ["token", "size_class", "first", "second"]
-    ordered = full.repartition(shuffle_width(buckets.sparkSession), *key).sortWithinPartitions(*key)
-    return ordered.mapInArrow(lambda b: _joined(b, forest), "a long, b long").distinct()
+
+
+def _in_blocks(blocks: DataFrame, side: DataFrame, content: str, work, schema: str) -> DataFrame:
+    """``work`` on blocks whose rows have got their nodes' ``content``."""
+    full = blocks.join(side.select("node", content), "node").select(*_BLOCK_COLUMNS, content)
+    ordered = full.repartition(shuffle_width(blocks.sparkSession), *_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    return ordered.mapInArrow(lambda b: _by_block(b, content, work), schema)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,13 +392,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo2, _, data2, offs2 in slices(batch.column(3).slice(lo, hi - lo)):
                 for k, y in enumerate(shingler.sets(data2, offs2)):
                     x, row = left[lo2 + k], lo + lo2 + k
-                    if node_id(x) != a[row] or node_id(y) != b[row]:
-                        continue  # another row of that doc_id
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good[row] = 100 * both >= PERCENT * (len(x) + len(y) - both)
         yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
 
+def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per node of rows (node, text) found by doc_id; another row of that doc_id may have another text."""
+    shingler, done = Shingler(), set()
+    for batch in batches:
+        nodes, good = batch.column(0).to_pylist(), []
+        for lo, _, data, offs in slices(batch.column(1)):
+            for k, s in enumerate(shingler.sets(data, offs)):
+                good.append(node_id(s) == nodes[lo + k] and nodes[lo + k] not in done)
+                if good[-1]:
+                    done.add(nodes[lo + k])
+        yield batch.filter(pa.array(good, pa.bool_()))
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -369,11 +437,13 @@ def link(docs: DataFrame) -> DataFrame:
 
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"))
     nodes = pin(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
-    texts = pin(docs.join(nodes.select("doc_id", "node"), "doc_id").select("node", "text"))
+    texts = pin(docs.join(nodes.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(_own_text, "node long, text string"))
 
-    edges = pin(_links(_candidates(_few_tokens(shared, nodes), nodes, forest=True), texts))
-    comps = components(edges)
-    edges = pin(edges.unionByName(_links(_candidates(_open_buckets(shared, nodes, comps), nodes, forest=False), texts)))
+    candidates = _in_blocks(_blocks(_few_tokens(shared, nodes)), nodes, "vector", _candidate_forest, "a long, b long").distinct()
+    edges = pin(_links(candidates, texts))
+    open_ = _blocks(_open_buckets(shared, nodes, components(edges)))
+    alike = pin(_in_blocks(open_, nodes, "vector", _with_partner, _BLOCK_SCHEMA))
+    edges = edges.unionByName(_in_blocks(alike, texts, "text", _link_forest, "a long, b long"))
     roots = components(edges).withColumnRenamed("root", "found")
     member = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("found", "node"))
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
