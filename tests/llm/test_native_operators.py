@@ -6,8 +6,6 @@ import random
 import re
 
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tickloom.llm import fingerprint, mixing, pii, url_filter, warc
@@ -52,9 +50,9 @@ def test_base_spans(spark, odd, odd_rows):
     assert pii.find(odd.where("doc_id < -5")).count() == 0
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="a1.@-+ (é", max_size=40), min_size=20, max_size=60))
-def test_base_spans_random(spark, texts):
+def test_base_spans_random(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aa11.@-+ (é") for _ in range(rng.randrange(40))) for _ in range(1500)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = df.select("doc_id", pii.as_text(F.concat(*[pii.base_spans(F.col("text"), k) for k in pii.KINDS])).alias("s")).collect()
     assert {r.doc_id: r.s for r in got} == {i: plain_spans(t) for i, t in enumerate(texts)}

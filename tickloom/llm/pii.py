@@ -65,16 +65,21 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def positions(text: Column, pattern: Column, kind: str) -> Column:
-    """All matches of ``pattern`` with their code points: a text is the parts between matches and the matches in turn."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    steps = F.transform(found, lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), v.alias("value")))
+    """Valid matches of ``pattern`` with their code points: a text is the parts between matches and the matches in turn.
+
+    Only valid matches are gathered: a list that grows by every number of a long text would be copied each time.
+    """
+    # One part more than matches: the last step has no value and adds nothing.
+    steps = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("value"))
+    )
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         begin = acc["at"] + s["gap"]
         end = begin + F.length(s["value"])
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), s["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.when(s["value"].isNotNull() & valid(kind, s["value"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
@@ -85,8 +90,7 @@ def _may_hold(text: Column, kind: str) -> Column:
 
 def base_spans(text: Column, kind: str) -> Column:
     """Spans (kind, start, end, value) of one kind, ascending; ``end`` is exclusive."""
-    found = F.filter(positions(text, F.lit(PATTERNS[kind]), kind), lambda s: valid(kind, s["value"]))
-    return F.when(_may_hold(text, kind), found).otherwise(F.array().cast(_SPAN))
+    return F.when(_may_hold(text, kind), positions(text, F.lit(PATTERNS[kind]), kind)).otherwise(F.array().cast(_SPAN))
 
 
 def holds(text: Column, kind: str) -> Column:
@@ -97,9 +101,7 @@ def holds(text: Column, kind: str) -> Column:
 
 def _terms(text: Column) -> Column:
     """Distinct lower-case words of at least three letters outside the base patterns."""
-    plain = text
-    for kind in KINDS:
-        plain = F.when(_may_hold(plain, kind), F.regexp_replace(plain, F.lit(PATTERNS[kind]), F.lit(" "))).otherwise(plain)
+    plain = F.regexp_replace(text, F.lit("|".join(PATTERNS[k] for k in KINDS)), F.lit(" "))
     return F.filter(F.array_distinct(F.split(F.lower(plain), _WORD)), lambda w: F.length(w) >= 3)
 
 
