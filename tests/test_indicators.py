@@ -42,6 +42,17 @@ def test_long_series_crosses_blocks(spark):
         assert [p[name] for p in pts if p[name] is not None] == pytest.approx([w for w in want if w is not None], rel=1e-9)
 
 
+def test_long_period_over_a_long_series(spark):
+    rng = random.Random(2)
+    closes = [100 + rng.uniform(-5, 5) for _ in range(100_000)]
+    pts = _points(bars(spark, closes), Periods(20, 5000, 5000, 14))
+    want = _recursion(closes, 5000, 1 - 2 / 5001)
+    assert [p["ema_slow"] for p in pts[4999::997]] == pytest.approx(want[4999::997], rel=1e-9)
+    gains = _recursion([max(b - a, 0) for a, b in zip(closes, closes[1:])], 5000, 4999 / 5000)
+    losses = _recursion([max(a - b, 0) for a, b in zip(closes, closes[1:])], 5000, 4999 / 5000)
+    assert [p["rsi"] for p in pts[5000::997]] == pytest.approx([100 - 100 / (1 + g / lo) for g, lo in zip(gains[4999::997], losses[4999::997])], rel=1e-8)
+
+
 def test_flat_stretch_keeps_the_old_ratio(spark):
     closes = [1, 3, 2, 5, 4, 6] + [6] * 700
     last = _points(bars(spark, closes), Periods(3, 3, 3, 3))[-1]["rsi"]

@@ -43,5 +43,5 @@ def test_registry_loads_without_a_session():
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = "import __spark_entry__ as e; assert len(e.queries()) - len(e.oracle_sql()) == 1"
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 160"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

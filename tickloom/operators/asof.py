@@ -49,14 +49,18 @@ def latest_known(
     prefix: str = "q_",
 ) -> DataFrame:
     """For each left row, the right row with the greatest (time, available) whose time
-    and availability are both at or before ``left_at``."""
+    and availability are both at or before ``left_at``.
+
+    Every left row stays; one whose ``left_at`` is unknown has no right row.
+    """
     hit = F.struct(time, F.col(available).alias("_avail"), *right_id, *[v for v in values if v not in right_id])
     right_at = F.unix_micros(F.greatest(time, available))
     out = _scan(
         left, right, keys, F.unix_micros(left_at), right_at, left_id, hit, right_id, newest=True
     )
     picked = {f"{prefix}{v}": F.col(f"_best.{v}") for v in values}
-    return out.withColumns({**picked, f"{prefix}time": F.col(f"_best.{time}")}).drop("_best")
+    found = out.withColumns({**picked, f"{prefix}time": F.col(f"_best.{time}")}).drop("_best")
+    return found.unionByName(left.where(F.col(left_at).isNull()), allowMissingColumns=True)
 
 
 FORWARD = "first_observation_at_or_after"

@@ -2,8 +2,9 @@
 
 Every smoothing here is y_i = a·y_(i−1) + u_i. Inside a block of ``BLOCK`` bars it equals
 a^p · Σ u·a^(−p), a running sum of one sign, so no per-row Python is needed; blocks are
-linked by their last values, weighted with a^BLOCK per step. A series of any length is
-thus spread over its blocks.
+linked by their last values, weighted with a^BLOCK per step. ``GROUP`` blocks form a larger
+block that is linked in the same way, and so on for ``LEVELS``; the uppermost level looks back
+to the start of the segment. No block is left out, whatever the period.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from tickloom.functions.columns import finite
 from tickloom.operators.bars import BAR_KEYS, is_valid_bar, series
 
 BLOCK = 256
-# Earlier blocks that still weigh in; a^(BLOCK·LINKS) is below 1e-35 up to period 200.
-LINKS = 64
+GROUP = 64
+LEVELS = 2
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,33 @@ def _decay(n: int, wilder: bool) -> float:
     return (n - 1) / n if wilder else 1 - 2 / (n + 1)
 
 
+def _carried(ends: DataFrame, weights: dict[str, float], levels: int) -> DataFrame:
+    """What all blocks before a block carry into it: ``_c_<name>`` for rows (series, segment, _block, _end)."""
+    keys = [*BAR_KEYS, "segment"]
+
+    def fold(values: Column, k: str) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, e: acc * F.lit(weights[k]) + e[f"_l_{k}"])
+
+    if not levels:
+        back = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        rows = ends.withColumn("_ends", F.collect_list("_end").over(back))
+        return rows.select(*keys, "_block", *[fold(F.col("_ends"), k).alias(f"_c_{k}") for k in weights])
+    rows = ends.withColumn("_upper", F.floor(F.col("_block") / GROUP))
+    inside = Window.partitionBy(*keys, "_upper").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_ends", F.collect_list("_end").over(inside))  # fewer than GROUP
+    whole = rows.groupBy(*keys, "_upper").agg(F.max_by(F.struct("_ends", "_end"), "_block").alias("_all"))
+    tops = whole.select(
+        *keys, F.col("_upper").alias("_block"),
+        F.struct(*[fold(F.concat("_all._ends", F.array("_all._end")), k).alias(f"_l_{k}") for k in weights]).alias("_end"),
+    )
+    above = _carried(tops, {k: w**GROUP for k, w in weights.items()}, levels - 1).withColumnRenamed("_block", "_upper")
+    above = above.select(*keys, "_upper", *[F.col(f"_c_{k}").alias(f"_a_{k}") for k in weights])
+    pos = F.col("_block") - F.col("_upper") * GROUP
+    return rows.join(above, [*keys, "_upper"], "left").select(
+        *keys, "_block", *[(fold(F.col("_ends"), k) + F.pow(F.lit(w), pos) * F.col(f"_a_{k}")).alias(f"_c_{k}") for k, w in weights.items()]
+    )
+
+
 def _smooth(rows: DataFrame, specs: dict[str, tuple[str, int, int, float]]) -> DataFrame:
     """Add smoothed columns; ``specs`` maps name → (value, samples before, period, decay)."""
     run = Window.partitionBy(*BAR_KEYS, "segment").orderBy("start")
@@ -79,14 +107,8 @@ def _smooth(rows: DataFrame, specs: dict[str, tuple[str, int, int, float]]) -> D
     ends = rows.where("eligible").groupBy(*BAR_KEYS, "segment", "_block").agg(
         F.max_by(F.struct(*[F.col(f"_l_{k}") for k in specs]), "sample").alias("_end")
     )
-    back = Window.partitionBy(*BAR_KEYS, "segment").orderBy("_block").rowsBetween(-LINKS, -1)
-    links = ends.withColumn("_ends", F.collect_list("_end").over(back))
-
-    def linked(k: str, a: float) -> Column:
-        weight = F.lit(a**BLOCK)
-        return F.aggregate("_ends", F.lit(0.0), lambda acc, e: acc * weight + e[f"_l_{k}"])
-
-    links = links.select(*BAR_KEYS, "segment", "_block", *[linked(k, s[3]).alias(f"_y_{k}") for k, s in specs.items()])
+    carried = _carried(ends, {k: spec[3] ** BLOCK for k, spec in specs.items()}, LEVELS)
+    links = carried.select(*BAR_KEYS, "segment", "_block", *[F.col(f"_c_{k}").alias(f"_y_{k}") for k in specs])
     out = rows.join(links, [*BAR_KEYS, "segment", "_block"], "left")
     for k, (_, skip, n, a) in specs.items():
         y = F.col(f"_l_{k}") + F.lit(a) * F.pow(F.lit(a), F.col("_pos")) * F.col(f"_y_{k}") if a > 0 else F.col(f"_l_{k}")

@@ -33,10 +33,13 @@ def local_session(cores: str = "8", app: str = "tickloom") -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for pinned tables: the cluster's own setting when there is one.
 
-    A private folder is made only where the setting is absent (tests, laptops).
+    A private folder is made only on a local master without that setting (tests, laptops):
+    on a cluster executors could not see it, so a missing setting is an error there.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-tickloom-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")

@@ -35,15 +35,19 @@ def classify_write(existing: DataFrame, incoming: DataFrame, key: Sequence[str],
     return both.select(*key, *[F.col(f"_row.{c}").alias(c) for c in payload], state.alias("write_state"))
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def append_new(
     spark: SparkSession, path: str, incoming: DataFrame, key: Sequence[str], payload: Sequence[str],
     partition_by: Sequence[str] = (),
 ) -> None:
     """Append unseen keys; repeat writes are no-ops; a changed payload is an error."""
-    try:
-        existing = spark.read.schema(incoming.schema).parquet(path)
-    except Exception:
-        existing = spark.createDataFrame([], incoming.schema)
+    # Only a missing folder means that nothing is stored; any other error must stop the write.
+    stored = spark.read.schema(incoming.schema)
+    existing = stored.parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], incoming.schema)
     judged = classify_write(existing, incoming, key, payload)
     if not judged.where(F.col("write_state") == "conflict").isEmpty():
         raise WriteConflict(f"stored rows differ from incoming rows at {path}")
