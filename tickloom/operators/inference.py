@@ -105,8 +105,13 @@ def bootstrap_daily(
     )
 
 
-def calendar_blocks(episodes: DataFrame, keys: Sequence[str], value: str, at: str, *, width: int, coverage: tuple[str, str]) -> DataFrame:
-    """Sum and count per whole calendar block of the covered span; empty blocks are kept."""
+def calendar_blocks(episodes: DataFrame, keys: Sequence[str], value: str, at: str, *, width: int, coverage: tuple[str, str] | None = None) -> DataFrame:
+    """Sum and count per whole calendar block of the covered span; empty blocks are kept.
+
+    ``coverage`` names the first and the last covered day; without it they are those of the episodes.
+    """
+    if coverage is None:
+        coverage = episodes.agg(F.min(F.to_date(at)), F.max(F.to_date(at))).first()
     first, last = F.lit(coverage[0]).cast("date"), F.lit(coverage[1]).cast("date")
     lo = F.ceil(F.datediff(first, F.lit("1970-01-01").cast("date")) / F.lit(width))
     hi = F.floor((F.datediff(last, F.lit("1970-01-01").cast("date")) + 1) / F.lit(width)) - 1
@@ -133,14 +138,14 @@ def ratio_bootstrap(
         "_cnt": F.aggregate("_s", F.lit(0.0), lambda a, s: a + s["episodes"]),
         "zero_blocks": F.size(F.filter("_s", lambda s: s["episodes"] == 0)),
     })
-    rows = _iterate(series.where(F.col("_n") >= 2), keys, iterations)
-    picks = F.transform(
-        F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda slot: F.get(F.col("_s"), draw(seed, F.col("iteration"), slot, below=F.col("_n")).cast("int")),
-    )
-    drawn = rows.select(*keys, picks.alias("_p")).select(
-        *keys, F.aggregate("_p", F.lit(0.0), lambda a, s: a + s["total"]).alias("_t"),
-        F.aggregate("_p", F.lit(0.0), lambda a, s: a + s["episodes"]).alias("_c"),
+    # One schedule serves all keys with as many blocks: indexes are drawn once per iteration, then applied to each key.
+    alike = series.where(F.col("_n") >= 2).groupBy("_n").agg(F.collect_list(F.struct(*keys, "_s")).alias("_k"))
+    slots = F.sequence(F.lit(0), F.col("_n") - 1)
+    picks = F.transform(slots, lambda slot: draw(seed, F.col("iteration"), slot, below=F.col("_n")).cast("int"))
+    rows = _iterate(alike, ["_n"], iterations).select("_k", picks.alias("_p")).select("_p", F.explode("_k").alias("_k")).select("_k.*", "_p")
+    drawn = rows.select(
+        *keys, F.aggregate("_p", F.lit(0.0), lambda a, i: a + F.get("_s", i)["total"]).alias("_t"),
+        F.aggregate("_p", F.lit(0.0), lambda a, i: a + F.get("_s", i)["episodes"]).alias("_c"),
     )
     ratios = drawn.where(F.col("_c") > 0).groupBy(*keys).agg(
         F.percentile(F.col("_t") / F.col("_c"), F.lit(alpha)).alias("lower_bound"), F.count(F.lit(1)).alias("resamples")

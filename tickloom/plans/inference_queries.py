@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import day_block
@@ -69,37 +70,40 @@ def sql_draw(seed: int, below: str, *parts: str) -> str:
         LED, CLOSED, DAILY,
         f"""d AS (SELECT variant, known_net::DOUBLE AS x, row_number() OVER (PARTITION BY variant ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY variant) AS n FROM daily),
          sz AS (SELECT variant, any_value(n) AS n FROM d GROUP BY 1),
-         slots AS (SELECT variant, n, it, s, {sql_draw(42, "n - 5 + 1", "it", "s")} AS st FROM sz, range(61) a(it), LATERAL (SELECT unnest(range(ceil(n / 5)::BIGINT)) AS s)),
+         slots AS (SELECT variant, n, it, s, {sql_draw(42, "n - 5 + 1", "it", "s")} AS st FROM sz, range(250) a(it), LATERAL (SELECT unnest(range(ceil(n / 5)::BIGINT)) AS s)),
          smp AS (SELECT variant, n, it, s * 5 + o AS pos, st + o AS i FROM slots, range(5) b(o) WHERE s * 5 + o < n),
          val AS (SELECT smp.variant, it, pos, smp.n, x FROM smp JOIN d ON d.variant = smp.variant AND d.i = smp.i),
          cum AS (SELECT *, sum(x) OVER (PARTITION BY variant, it ORDER BY pos) AS eq FROM val),
          pk AS (SELECT *, greatest(max(eq) OVER (PARTITION BY variant, it ORDER BY pos), 0) AS peak FROM cum),
          stat AS (SELECT variant, it, sum(x) / any_value(n) AS mean, max(peak - eq) AS worst FROM pk GROUP BY 1, 2)""",
         select="""SELECT variant, count(*) AS iterations, round(quantile_cont(mean, 0.05), 4) AS mean_p05, round(quantile_cont(mean, 0.5), 4) AS mean_p50, round(quantile_cont(mean, 0.95), 4) AS mean_p95,
-             round(quantile_cont(worst, 0.05), 4) AS drawdown_p05, round(quantile_cont(worst, 0.5), 4) AS drawdown_p50, round(quantile_cont(worst, 0.95), 4) AS drawdown_p95 FROM stat GROUP BY 1""",
+             round(quantile_cont(worst, 0.05), 2) AS drawdown_p05, round(quantile_cont(worst, 0.5), 2) AS drawdown_p50, round(quantile_cont(worst, 0.95), 2) AS drawdown_p95 FROM stat GROUP BY 1""",
     ),
 )
 def a27_daily_bootstrap(spark, sf):
     days = pin(daily(spark, sf))
-    out = S.bootstrap_daily(days, ["variant"], "known_net", iterations=61, block_days=5, seed=42)
-    return out.select("variant", "iterations", *[rnd(f"{m}_{q}", 4) for m in ("mean", "drawdown") for q in ("p05", "p50", "p95")])
+    out = S.bootstrap_daily(days, ["variant"], "known_net", iterations=250, block_days=5, seed=42)
+    return out.select("variant", "iterations", *[rnd(f"{m}_{q}", d) for m, d in (("mean", 4), ("drawdown", 2)) for q in ("p05", "p50", "p95")])
 
 
-COVER = ("1995-01-10", "2001-10-20")
 R_VALUE = "(net::DOUBLE / notional::DOUBLE)"
-CANDIDATES = f"""ep AS (SELECT variant, close_at, {R_VALUE} AS r FROM closed WHERE net IS NOT NULL AND notional > 0 AND part_id % 4 = 0)"""
+CANDIDATES = f"""ep AS (SELECT variant, close_at, {R_VALUE} AS r FROM closed WHERE net IS NOT NULL AND notional > 0)"""
+
+
+# Draws, seed and level as the evidence rules fix them: the level is shared by 5 candidates and 2 looks.
+DRAWS, SEED, ALPHA = 100_000, 20_260_913, 0.05 / (5 * 2)
 
 
 def sql_blocks(width: int, name: str = "blocks", source: str = "ep") -> str:
     return f"""{name}_g AS (SELECT variant, block FROM (SELECT DISTINCT variant FROM {source}),
-        LATERAL (SELECT unnest(range(ceil(date_diff('day', DATE '1970-01-01', DATE '{COVER[0]}') / {width})::BIGINT, floor((date_diff('day', DATE '1970-01-01', DATE '{COVER[1]}') + 1) / {width})::BIGINT)) AS block)),
+        LATERAL (SELECT unnest(range(ceil(date_diff('day', DATE '1970-01-01', (SELECT min(close_at::DATE) FROM {source})) / {width})::BIGINT, floor((date_diff('day', DATE '1970-01-01', (SELECT max(close_at::DATE) FROM {source})) + 1) / {width})::BIGINT)) AS block)),
       {name}_s AS (SELECT variant, floor(date_diff('day', DATE '1970-01-01', close_at::DATE) / {width})::BIGINT AS block, sum(r) AS total, count(*) AS episodes FROM {source} GROUP BY 1, 2),
       {name} AS (SELECT variant, block, coalesce(total, 0) AS total, coalesce(episodes, 0) AS episodes FROM {name}_g LEFT JOIN {name}_s USING (variant, block))"""
 
 
 def episodes(spark, sf):
-    """Net per unit of notional of a quarter of the closed trades' parts, as candidate episodes."""
-    led = I.closed_trades(spark, sf).where("net IS NOT NULL AND notional > 0 AND part_id % 4 = 0")
+    """Net per unit of notional of all closed trades, as candidate episodes."""
+    led = I.closed_trades(spark, sf).where("net IS NOT NULL AND notional > 0")
     return led.select("variant", "close_at", (F.col("net").cast("double") / F.col("notional").cast("double")).alias("r"))
 
 
@@ -108,15 +112,15 @@ def episodes(spark, sf):
     with_ctes(LED, CLOSED, CANDIDATES, sql_blocks(14), select="SELECT variant, block, round(total, 6) AS total, episodes FROM blocks"),
 )
 def a28_calendar_blocks(spark, sf):
-    out = S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=14, coverage=COVER)
+    out = S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=14)
     return out.select("variant", "block", rnd("total"), "episodes")
 
 
 def sql_ratio(seed: int, iterations: int, alpha: float, source: str = "blocks") -> str:
     return f"""rb_i AS (SELECT variant, total, episodes, row_number() OVER (PARTITION BY variant ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY variant) AS n FROM {source}),
       rb_n AS (SELECT variant, any_value(n) AS n, count(*) FILTER (episodes = 0) AS zero_blocks, sum(total) / sum(episodes) AS mean, sum(episodes)::BIGINT AS episodes FROM rb_i GROUP BY 1),
-      rb_s AS (SELECT variant, it, {sql_draw(seed, "n", "it", "s")} AS i FROM rb_n, range({iterations}) a(it), LATERAL (SELECT unnest(range(n)) AS s)),
-      rb_r AS (SELECT s.variant, it, sum(total) AS t, sum(episodes) AS c FROM rb_s s JOIN rb_i b ON b.variant = s.variant AND b.i = s.i GROUP BY 1, 2),
+      rb_s AS (SELECT n, it, {sql_draw(seed, "n", "it", "s")} AS i FROM (SELECT DISTINCT n FROM rb_n), range({iterations}) a(it), LATERAL (SELECT unnest(range(n)) AS s)),
+      rb_r AS (SELECT b.variant, it, sum(total) AS t, sum(episodes) AS c FROM rb_s s JOIN rb_i b ON b.n = s.n AND b.i = s.i GROUP BY 1, 2),
       rb AS (SELECT variant, quantile_cont(t / c, {alpha}) AS lower_bound, count(*) AS resamples FROM rb_r WHERE c > 0 GROUP BY 1)"""
 
 
@@ -125,11 +129,11 @@ RATIO_SELECT = """SELECT variant, n AS blocks, zero_blocks, rb_n.episodes, round
 
 @query(
     "a29_ratio_bootstrap",
-    with_ctes(LED, CLOSED, CANDIDATES, sql_blocks(14), sql_ratio(14, 200, 0.05), select=RATIO_SELECT),
+    with_ctes(LED, CLOSED, CANDIDATES, sql_blocks(14), sql_ratio(SEED + 14, DRAWS, ALPHA), select=RATIO_SELECT),
 )
 def a29_ratio_bootstrap(spark, sf):
-    blocks = pin(S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=14, coverage=COVER))
-    out = S.ratio_bootstrap(blocks, ["variant"], iterations=200, seed=14, alpha=0.05)
+    blocks = pin(S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=14))
+    out = S.ratio_bootstrap(blocks, ["variant"], iterations=DRAWS, seed=SEED + 14, alpha=ALPHA)
     return out.select("variant", F.col("blocks").cast("bigint").alias("blocks"), F.col("zero_blocks").cast("bigint").alias("zero_blocks"), "episodes", rnd("mean"), rnd("lower_bound"), "resamples")
 
 
@@ -137,45 +141,63 @@ def a29_ratio_bootstrap(spark, sf):
     "a30_joint_aligned_bootstrap",
     with_ctes(
         LED, CLOSED, CANDIDATES, sql_blocks(28, "all_blocks"),
-        """blocks AS (SELECT * FROM all_blocks WHERE block IN (SELECT block FROM all_blocks WHERE episodes > 0 GROUP BY 1 HAVING count(DISTINCT variant) = 5))""",
-        sql_ratio(28, 200, 0.01), select=RATIO_SELECT,
+        """blocks AS (SELECT * FROM all_blocks WHERE block IN (SELECT block FROM all_blocks GROUP BY 1 HAVING count(DISTINCT variant) = (SELECT count(DISTINCT variant) FROM all_blocks)))""",
+        sql_ratio(SEED + 28, DRAWS, ALPHA), select=RATIO_SELECT,
     ),
 )
 def a30_joint_aligned_bootstrap(spark, sf):
-    blocks = S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=28, coverage=COVER)
-    shared = pin(S.aligned(pin(blocks).where("episodes > 0"), "variant"))
-    out = S.ratio_bootstrap(shared, ["variant"], iterations=200, seed=28, alpha=0.01)
+    blocks = S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=28)
+    shared = pin(S.aligned(pin(blocks), "variant"))  # a block without episodes is a block
+    out = S.ratio_bootstrap(shared, ["variant"], iterations=DRAWS, seed=SEED + 28, alpha=ALPHA)
     return out.select("variant", F.col("blocks").cast("bigint").alias("blocks"), F.col("zero_blocks").cast("bigint").alias("zero_blocks"), "episodes", rnd("mean"), rnd("lower_bound"), "resamples")
 
 
+STRESS = "((net - cost)::DOUBLE / notional::DOUBLE)"  # every cost is paid twice
+
+
 @query(
     "a39_candidate_evidence",
     with_ctes(
-        LED, CLOSED, CANDIDATES, sql_blocks(14), sql_ratio(14, 100, 0.05),
-        """bad AS (SELECT variant, count(*) FILTER (cost IS NULL) AS unknown_costs FROM closed WHERE regime <> 'N' OR session <> 'O' OR variant <> '5-LOW' GROUP BY 1),
-           dn AS (SELECT variant, sum(r) OVER (PARTITION BY variant ORDER BY close_at, r) AS eq, close_at, r FROM ep),
-           dp AS (SELECT variant, greatest(max(eq) OVER (PARTITION BY variant ORDER BY close_at, r), 0) - eq AS dd FROM dn),
-           mdd AS (SELECT variant, max(dd) / 1000 AS drawdown FROM dp GROUP BY 1),
-           j AS (SELECT n.variant AS candidate, mean, lower_bound, drawdown, n.episodes, n.n AS blocks, b.unknown_costs FROM rb_n n JOIN rb USING (variant) JOIN mdd USING (variant) JOIN bad b USING (variant)),
-           g AS (SELECT *, CASE WHEN unknown_costs > 700 THEN 'INSUFFICIENT' WHEN mean < 0.05 OR lower_bound <= 0 OR drawdown > 0.1 THEN 'REJECT' ELSE 'ACCEPT' END AS decision FROM j)""",
-        select="""SELECT candidate, decision, round(mean, 6) AS mean_r, round(lower_bound, 6) AS base_bound, round(drawdown, 6) AS drawdown,
-            row_number() OVER (ORDER BY CASE decision WHEN 'ACCEPT' THEN 0 WHEN 'REJECT' THEN 1 ELSE 3 END, drawdown, unknown_costs > 700, lower_bound DESC, candidate) AS position FROM g""",
+        LED, CLOSED, CANDIDATES, sql_blocks(14), sql_ratio(SEED + 14, DRAWS, ALPHA),
+        f"sep AS (SELECT variant, close_at, {STRESS} AS r FROM closed WHERE net IS NOT NULL AND cost IS NOT NULL AND notional > 0)",
+        sql_blocks(14, "s_blocks", "sep"), sql_ratio(SEED + 14, DRAWS, ALPHA, "s_blocks").replace("rb_", "sb_").replace("rb AS", "sb AS"),
+        """facts AS (SELECT variant, count(*) FILTER (cost IS NULL) AS unknown_costs, count(*) FILTER (notional IS NULL OR notional <= 0) AS invalid_r, sum(notional)::DOUBLE AS notional FROM closed GROUP BY 1),
+           best AS (SELECT variant, sum(net) FILTER (rn > 5)::DOUBLE AS drop_best FROM (SELECT variant, net, row_number() OVER (PARTITION BY variant ORDER BY net DESC) AS rn FROM closed WHERE net IS NOT NULL) GROUP BY 1),
+           dn AS (SELECT variant, sum(r) OVER (PARTITION BY variant ORDER BY day) AS eq, day FROM (SELECT variant, close_at::DATE AS day, sum((net - cost)::DOUBLE) AS r FROM closed WHERE net IS NOT NULL AND cost IS NOT NULL GROUP BY 1, 2)),
+           dp AS (SELECT variant, greatest(max(eq) OVER (PARTITION BY variant ORDER BY day), 0) - eq AS dd FROM dn),
+           mdd AS (SELECT variant, max(dd) AS worst FROM dp GROUP BY 1),
+           j AS (SELECT n.variant AS candidate, s.mean, rb.lower_bound AS base_bound, sb.lower_bound AS stress_bound, worst / notional AS drawdown, n.episodes, n.n AS blocks, unknown_costs, invalid_r, drop_best
+             FROM rb_n n JOIN rb USING (variant) JOIN sb_n s USING (variant) JOIN sb USING (variant) JOIN mdd USING (variant) JOIN facts USING (variant) JOIN best USING (variant)),
+           g AS (SELECT *, CASE WHEN invalid_r > 0 THEN 'INVALID' WHEN unknown_costs > 0 OR episodes < 100 OR blocks < 8 THEN 'INSUFFICIENT'
+             WHEN mean < 0.05 OR base_bound <= 0 OR stress_bound <= 0 OR drawdown > 0.1 OR drop_best < 0 THEN 'REJECT' ELSE 'ACCEPT' END AS decision FROM j)""",
+        select="""SELECT candidate, decision, round(mean, 6) AS mean_r, round(base_bound, 6) AS base_bound, round(stress_bound, 6) AS stress_bound, round(drawdown, 6) AS drawdown, round(drop_best, 2) AS drop_best, unknown_costs, invalid_r,
+            row_number() OVER (ORDER BY CASE decision WHEN 'ACCEPT' THEN 0 WHEN 'REJECT' THEN 1 WHEN 'INVALID' THEN 2 ELSE 3 END, drawdown, unknown_costs > 0, stress_bound DESC, candidate) AS position FROM g""",
     ),
 )
 def a39_candidate_evidence(spark, sf):
-    eps = pin(episodes(spark, sf))
-    blocks = pin(S.calendar_blocks(eps, ["variant"], "r", "close_at", width=14, coverage=COVER))
-    boot = S.ratio_bootstrap(blocks, ["variant"], iterations=100, seed=14, alpha=0.05)
-    order = ["close_at", "r"]
-    curve = L.equity_curve(eps, ["variant"], order, "r", "close_at")
-    worst = L.drawdown_summary(curve, ["variant"], order, "close_at").select("variant", (F.col("max_drawdown") / 1000).alias("drawdown"))
-    led = I.closed_trades(spark, sf).where("regime <> 'N' OR session <> 'O' OR variant <> '5-LOW'")
-    costs = led.groupBy("variant").agg(F.greatest(F.count_if(F.col("cost").isNull()) - 700, F.lit(0)).alias("unknown_costs"))
-    rows = boot.join(worst, "variant").join(costs, "variant").select(
-        F.col("variant").alias("candidate"), F.lit(0).alias("invalid_r"), "unknown_costs", "episodes", "blocks", F.col("mean").alias("mean_r"),
-        F.col("lower_bound").alias("base_bound"), F.col("lower_bound").alias("stress_bound"), "drawdown", F.lit(1.0).alias("drop_best"),
+    led = pin(I.closed_trades(spark, sf).select("variant", "close_at", "net", "cost", "notional"))
+    stressed = led.where("net IS NOT NULL AND cost IS NOT NULL")
+    stress = stressed.where("notional > 0").select("variant", "close_at", ((F.col("net") - F.col("cost")).cast("double") / F.col("notional").cast("double")).alias("r"))
+
+    def bounds(eps):
+        blocks = pin(S.calendar_blocks(pin(eps), ["variant"], "r", "close_at", width=14))
+        return S.ratio_bootstrap(blocks, ["variant"], iterations=DRAWS, seed=SEED + 14, alpha=ALPHA)
+
+    base = bounds(episodes(spark, sf)).select("variant", "episodes", "blocks", F.col("lower_bound").alias("base_bound"))
+    under = bounds(stress).select("variant", F.col("mean").alias("mean_r"), F.col("lower_bound").alias("stress_bound"))
+    days = stressed.groupBy("variant", F.date_trunc("day", "close_at").alias("day")).agg(F.sum((F.col("net") - F.col("cost")).cast("double")).alias("x"))
+    worst = L.drawdown_summary(L.equity_curve(days, ["variant"], ["day"], "x", "day"), ["variant"], ["day"], "day").select("variant", "max_drawdown")
+    facts = led.groupBy("variant").agg(
+        F.count_if(F.col("cost").isNull()).alias("unknown_costs"), F.count_if(F.col("notional").isNull() | (F.col("notional") <= 0)).alias("invalid_r"), F.sum("notional").cast("double").alias("notional"),
+    )
+    rank = Window.partitionBy("variant").orderBy(F.desc("net"))
+    best = led.where("net IS NOT NULL").withColumn("rn", F.row_number().over(rank)).groupBy("variant").agg(F.sum(F.when(F.col("rn") > 5, F.col("net"))).cast("double").alias("drop_best"))
+    rows = base.join(under, "variant").join(worst, "variant").join(facts, "variant").join(best, "variant")
+    rows = rows.withColumn("drawdown", F.col("max_drawdown") / F.col("notional")).withColumnRenamed("variant", "candidate")
+    out = S.evidence(rows)
+    return out.select(
+        "candidate", "decision", rnd("mean_r"), rnd("base_bound"), rnd("stress_bound"), rnd("drawdown"), rnd("drop_best", 2), "unknown_costs", "invalid_r", F.col("position").cast("bigint").alias("position"),
     )
-    return S.evidence(rows).select("candidate", "decision", rnd("mean_r"), rnd("base_bound"), rnd("drawdown"), F.col("position").cast("bigint").alias("position"))
 
 
 @query(
