@@ -369,13 +369,13 @@ def j10_open_quantity(spark, sf):
     "j11_common_blocks",
     with_ctes(
         SQL["ledger"],
-        """b AS (SELECT DISTINCT instrument, floor(date_diff('day', DATE '1970-01-01', close_at::DATE) / 14)::BIGINT AS block FROM ledger WHERE net IS NOT NULL AND regime = 'A' AND session = 'O'),
+        """b AS (SELECT DISTINCT instrument, floor(date_diff('day', DATE '1970-01-01', close_at::DATE) / 14)::BIGINT AS block FROM ledger WHERE net IS NOT NULL),
            n AS (SELECT count(DISTINCT instrument) AS n FROM b)""",
         select="SELECT block FROM b, n GROUP BY block, n HAVING count(*) = n",
     ),
 )
 def j11_common_blocks(spark, sf):
-    led = I.ledger(spark, sf).where("net IS NOT NULL AND regime = 'A' AND session = 'O'")
+    led = I.ledger(spark, sf).where("net IS NOT NULL")
     return reconcile.common_blocks(led, "instrument", "close_at", 14)
 
 
@@ -545,23 +545,23 @@ def w11_dependency_groups(spark, sf):
     "x13_position_book",
     with_ctes(
         *LABELLED,
-        """o4 AS (SELECT *, coalesce(entry_use_time, detected_at) AS st, row_number() OVER (PARTITION BY strategy ORDER BY coalesce(entry_use_time, detected_at), simulation_id) AS rn FROM outc WHERE horizon = 14400),
-           bk AS (SELECT strategy, 0::BIGINT AS rn, []::TIMESTAMP[] AS live, NULL::BOOLEAN AS accepted, NULL::VARCHAR AS simulation_id FROM (SELECT DISTINCT strategy FROM o4)
-             UNION ALL SELECT o.strategy, o.rn, CASE WHEN o.entry_price IS NOT NULL AND len(l.kept) < 2 THEN list_append(l.kept, o.expiry) ELSE l.kept END,
+        """o4 AS (SELECT *, coalesce(entry_use_time, detected_at) AS st, row_number() OVER (PARTITION BY strategy, horizon ORDER BY coalesce(entry_use_time, detected_at), simulation_id) AS rn FROM outc),
+           bk AS (SELECT strategy, horizon, 0::BIGINT AS rn, []::TIMESTAMP[] AS live, NULL::BOOLEAN AS accepted, NULL::VARCHAR AS simulation_id FROM (SELECT DISTINCT strategy, horizon FROM o4)
+             UNION ALL SELECT o.strategy, o.horizon, o.rn, CASE WHEN o.entry_price IS NOT NULL AND len(l.kept) < 2 THEN list_append(l.kept, o.expiry) ELSE l.kept END,
                o.entry_price IS NULL OR len(l.kept) < 2, o.simulation_id
-             FROM bk b JOIN o4 o ON o.strategy = b.strategy AND o.rn = b.rn + 1, LATERAL (SELECT list_filter(b.live, lambda e: e > o.st) AS kept) l),
-           tk AS (SELECT o4.strategy, o4.net, o4.simulation_id, o4.detected_at, coalesce(expiry, detected_at) AS due FROM o4 JOIN bk USING (strategy, simulation_id) WHERE accepted AND net IS NOT NULL),
-           cum AS (SELECT *, sum(net) OVER (PARTITION BY strategy ORDER BY due, detected_at, simulation_id) AS eq FROM tk),
-           pk AS (SELECT strategy, greatest(max(eq) OVER (PARTITION BY strategy ORDER BY due, detected_at, simulation_id), 0) - eq AS dd FROM cum),
-           mdd AS (SELECT strategy, max(dd) AS dd FROM pk GROUP BY 1)""",
-        select="""SELECT b.strategy, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS skipped, round(coalesce(sum(CASE WHEN accepted THEN o4.net END), 0), 6) AS balance,
-            round(any_value(mdd.dd), 6) AS max_drawdown FROM bk b JOIN o4 USING (strategy, simulation_id) LEFT JOIN mdd ON mdd.strategy = b.strategy GROUP BY 1""",
+             FROM bk b JOIN o4 o ON o.strategy = b.strategy AND o.horizon = b.horizon AND o.rn = b.rn + 1, LATERAL (SELECT list_filter(b.live, lambda e: e > o.st) AS kept) l),
+           tk AS (SELECT o4.strategy, o4.horizon, o4.net, o4.simulation_id, o4.detected_at, coalesce(expiry, detected_at) AS due FROM o4 JOIN bk USING (strategy, horizon, simulation_id) WHERE accepted AND net IS NOT NULL),
+           cum AS (SELECT *, sum(net) OVER (PARTITION BY strategy, horizon ORDER BY due, detected_at, simulation_id) AS eq FROM tk),
+           pk AS (SELECT strategy, horizon, greatest(max(eq) OVER (PARTITION BY strategy, horizon ORDER BY due, detected_at, simulation_id), 0) - eq AS dd FROM cum),
+           mdd AS (SELECT strategy, horizon, max(dd) AS dd FROM pk GROUP BY 1, 2)""",
+        select="""SELECT b.strategy, b.horizon, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS skipped, round(coalesce(sum(CASE WHEN accepted THEN o4.net END), 0), 6) AS balance,
+            round(any_value(mdd.dd), 6) AS max_drawdown FROM bk b JOIN o4 USING (strategy, horizon, simulation_id) LEFT JOIN mdd ON mdd.strategy = b.strategy AND mdd.horizon = b.horizon GROUP BY 1, 2""",
     ),
 )
 def x13_position_book(spark, sf):
-    booked = outcomes.position_book(labelled(spark, sf).where("horizon = 14400"), ["strategy"], max_positions=2)
-    out = outcomes.book_summary(pin(booked), ["strategy"])
-    return out.select("strategy", "accepted", "skipped", rnd("balance"), rnd("max_drawdown"))
+    booked = outcomes.position_book(labelled(spark, sf), ["strategy", "horizon"], max_positions=2)
+    out = outcomes.book_summary(pin(booked), ["strategy", "horizon"])
+    return out.select("strategy", "horizon", "accepted", "skipped", rnd("balance"), rnd("max_drawdown"))
 
 
 @query(
