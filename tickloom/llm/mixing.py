@@ -72,8 +72,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total: floa
     values = table.agg(F.coalesce(F.sum(F.size("__upto")), F.lit(0))).first()[0]
     side = table.withColumnRenamed("source", "__source")
     joined = docs.join(F.broadcast(side) if values <= BROADCAST_VALUES else side, F.col("source").eqNullSafe(F.col("__source")))
-    u = unit_hash(F.lit(seed), F.col("doc_id"))
-    counted = joined.withColumn("copies", F.aggregate("__upto", F.lit(0), lambda n, c: n + F.when(c <= u, 1).otherwise(0))).drop("__upto", "__source")
+    # The hash is the start value and so computed once, not for each probability.
+    start = F.struct(unit_hash(F.lit(seed), F.col("doc_id")).alias("u"), F.lit(0).alias("n"))
+    step = lambda a, c: F.struct(a["u"].alias("u"), (a["n"] + F.when(c <= a["u"], 1).otherwise(0)).alias("n"))
+    counted = joined.withColumn("copies", F.aggregate("__upto", start, step, lambda a: a["n"])).drop("__upto", "__source")
     spread = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.xxhash64(F.lit(seed), "doc_id", "copy")
     spread = spread.withColumn("__key", key).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key").sortWithinPartitions("__key")
