@@ -290,15 +290,35 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked_pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between components of a block: of the pairs that pass the bound, compared on whole sets.
+
+    Few pairs are compared one by one, and not at all once links found before join their components; where
+    most rows are alike the products of ``overlaps`` are cheaper. Both ways find the same components.
+    """
     shingler, sets = Shingler(), []
     for _, _, data, offs in slices(pa.array(rows["text"].tolist(), pa.large_string())):
         sets += shingler.sets(data, offs)
-    n = np.array([len(x) for x in sets])
-    both = overlaps(sets)
-    i, j = np.nonzero(np.triu(100 * both >= PERCENT * (n[:, None] + n[None, :] - both), 1))
-    keep = _met(rows, i, j) & (rows["comp"][i] != rows["comp"][j])
-    i, j = i[keep], j[keep]
-    return i, j, both[i, j] / np.maximum(1, n[i] + n[j] - both[i, j])
+    rows = {**rows, "vector": np.array([*(count_vector(x) for x in sets), None], object)[:-1]}
+    i, j, alike = _bounded_pairs(rows)
+    n = rows["n"]
+    if len(i) * 3e-5 > len(sets) ** 2 * n.sum() * 5e-11:
+        both = overlaps(sets)[i, j]
+        good = (100 * both >= PERCENT * (n[i] + n[j] - both)).nonzero()[0]
+        return i[good], j[good], both[good] / np.maximum(1, n[i] + n[j] - both)[good]
+    parent = {c: c for c in rows["comp"].tolist()}
+    found = []
+    for k in np.argsort(-alike, kind="stable").tolist():
+        x, y = _find(parent, int(rows["comp"][i[k]])), _find(parent, int(rows["comp"][j[k]]))
+        if x == y:
+            continue
+        a, b = sets[i[k]], sets[j[k]]
+        if len(a) > len(b):
+            a, b = b, a
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        if 100 * both >= PERCENT * (len(a) + len(b) - both):
+            parent[x] = y
+            found.append(k)
+    return i[found], j[found], alike[found]
 
 
 def _candidate_forest(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
