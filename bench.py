@@ -19,6 +19,7 @@ HEADLINE = [
     "w4_atr", "w6_donchian_breakout", "j1_latest_known_quote", "j9_quote_book", "j10_open_quantity", "x4_forward_outcomes", "a9_outcome_aggregate",
     "x10_first_touch_exit", "x15_mark_to_market", "a7_summary_with_unknowns", "a12_daily_net", "a14_cost_bridge", "w10_drawdown", "a36_window_statistics",
     "x11_trade_pnl", "a27_daily_bootstrap", "a29_ratio_bootstrap", "d1_first_copy_wins", "s1_csv_import", "t1_stream_bars",
+    "j2_price_selection", "w11_dependency_groups", "x1_trend_pullback", "x13_position_book",
 ]
 
 
