@@ -26,11 +26,13 @@ def test_latest_known_ignores_rows_not_yet_available(spark):
     rng = random.Random(5)
     quotes = _quotes(rng)
     marks = [("X" if rng.random() < 0.8 else "Y", at(rng.uniform(0, 20000)), i) for i in range(90)]
+    marks += [("X", None, 90), ("Y", None, 91)]  # an unknown instant sees nothing, but the row stays
     left = spark.createDataFrame(marks, "instrument string, available_at timestamp, n int")
     out = latest_known(left, spark.createDataFrame(quotes, SCHEMA), left_id=["n"], right_id=["seq"], values=["seq"])
     got = {r["n"]: r["q_seq"] for r in out.collect()}
+    assert len(got) == len(marks)
     for k, t, n in marks:
-        seen = [q for q in quotes if q[0] == k and q[1] <= t and q[2] <= t]
+        seen = [q for q in quotes if t is not None and q[0] == k and q[1] <= t and q[2] <= t]
         assert got[n] == (max(seen, key=lambda q: (q[1], q[2], q[3]))[3] if seen else None)
 
 
