@@ -3,8 +3,8 @@
 A document is the set of its distinct ``WIDTH``-word shingles; two documents link when 100 * overlap is at
 least ``PERCENT`` * union. Documents with equal sets are one node.
 
-* Count vectors: the shingles of a node are hashed into 16 to 1,024 groups (a power of two that follows the
-  set's size, so vectors fold into shorter ones) and the counts of the groups are the node's point. The
+* Count vectors: the shingles of a node are hashed into 16 to 4,096 groups (a power of two that follows the
+  set's size, so vectors fold into shorter ones; trees use a quarter of the groups, single pairs all) and the counts of the groups are the node's point. The
   overlap of two sets is at most the sum of the smaller of each two counts.
 * Buckets: shingles have a fixed total order, frequent ones last. Two linked nodes share one of the first
   n - ceil(PERCENT/100 n) + 1 shingles of either, so every pair to be looked at meets in the bucket of such a
@@ -80,23 +80,22 @@ def node_id(tokens: np.ndarray) -> int:
 
 
 def groups_of(n: int) -> int:
-    return min(1024, max(16, 1 << max(0, math.ceil(math.log2(max(1, n) / 5)))))
+    return min(4096, max(16, 1 << math.ceil(math.log2(max(1, n)))))
 
 
 def count_vector(tokens: np.ndarray) -> bytes:
     d = groups_of(len(tokens))
     counts = np.bincount((tokens & np.uint64(d - 1)).astype(np.int64), minlength=d)
-    return np.minimum(counts, 65535).astype("<u2").tobytes() if d == 1024 else np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def vectors(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """The points of some nodes, folded to the shortest of their lengths."""
     d = min(groups_of(int(n)) for n in sizes)
     out = np.zeros((len(packed), d), np.int32)
-    for i, (p, n) in enumerate(zip(packed, sizes.tolist(), strict=True)):
-        wide = groups_of(n) == 1024
-        v = np.frombuffer(p, "<u2" if wide else np.uint8).astype(np.int32)
-        v[v == (65535 if wide else 255)] = 1 << 20  # a full counter bounds nothing
+    for i, p in enumerate(packed):
+        v = np.frombuffer(p, np.uint8).astype(np.int32)
+        v[v == 255] = 1 << 20  # a full counter bounds nothing
         out[i] = v.reshape(-1, d).sum(axis=0)
     return out
 
@@ -219,6 +218,7 @@ def close_pairs(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tu
     Leaves hold ``LEAF`` points neighbouring in (size, group); a pair of leaves is opened only if the summed
     minima of the upper corners of their boxes reach the least overlap of their smallest sizes.
     """
+    fine, points = points, points.reshape(len(points), -1, 4).sum(axis=2)
     order = np.lexsort((groups, sizes))
     firsts = np.arange(0, len(order), LEAF)
     top = np.maximum.reduceat(points[order], firsts, axis=0)
@@ -234,8 +234,11 @@ def close_pairs(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tu
             if a == b:
                 good &= np.arange(len(mine))[:, None] < np.arange(len(other))[None, :]
             i, j = np.nonzero(good)
-            if len(i):
-                found.append((mine[i], other[j], bound[i, j]))
+            i, j = mine[i], other[j]
+            bound = np.minimum(fine[i], fine[j]).sum(axis=1)
+            close = bound >= least_overlap(sizes[i] + sizes[j])
+            if close.any():
+                found.append((i[close], j[close], bound[close]))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
