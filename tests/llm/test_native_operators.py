@@ -148,6 +148,18 @@ def test_method_blocks_what_looks_like_blocked(spark):
     assert got and all(r.verdict == ("block" if "/bad/" in r.path else "allow") for r in got)
 
 
+def test_verdicts_do_not_depend_on_the_number_of_siblings(spark):
+    """Small sections, and then larger ones that leave each labelled section under RARE, change no verdict."""
+    rules = [("block", f"h.com/bad/{d}") for d in "123456"] + [("allow", f"h.com/good/{d}") for d in "123456"]
+    own = [f"http://h.com/{section}/{i}" for section in ("bad", "good") for i in range(300)]
+    for sections, each in ((64, 5), (65, 5), (1000, 5), (1000, 40)):
+        urls = own + [f"http://h.com/s{k}/{i}" for k in range(sections - 2) for i in range(each)]
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        got = url_filter.judge(df, rules).where("rule is null and path rlike '^/(bad|good)/'").collect()
+        assert len(got) == 2 * 34
+        assert all(r.verdict == ("block" if "/bad/" in r.path else "allow") for r in got), (sections, each)
+
+
 def test_fingerprints(spark, odd, odd_rows, empty):
     rows = fingerprint.with_next(odd.where("doc_id is not null").dropDuplicates(["doc_id"]))
     got = {r.doc_id: r for r in rows.select("*", fingerprint.fingerprint(F.col("text")).alias("own"), fingerprint.fingerprint(F.col("edited")).alias("changed")).collect()}

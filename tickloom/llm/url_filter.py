@@ -1,8 +1,8 @@
 """URL filter: host and path rules first, then a path-template tree, in DataFrame operations only.
 
 URLs that a rule decides are the labelled ones. The paths of each host form a tree of segments. Level by level from
-the root, a segment that stands for less than ``RARE`` of its node's pages, or is one of more than ``FAN_OUT``, is
-variable and becomes ``*``. Branches whose labelled block rate does not differ from that of their siblings together
+the root, a segment that stands for less than ``RARE`` of its node's pages and has fewer than ``SUPPORT`` labelled
+ones is variable and becomes ``*``; how many siblings it has does not count. Branches whose labelled block rate does not differ from that of their siblings together
 (two-proportion z below ``SIMILAR``) are merged into ``*`` as well, from the leaves up. A template whose smoothed
 block rate, (blocked + STRENGTH * rate of all labelled) / (labelled + STRENGTH), is at least ``REJECT`` is blocked.
 
@@ -21,7 +21,7 @@ from tickloom.session import pin
 
 DEPTH = 6  # deeper segments are one tail segment; none is left out
 RARE = 0.02
-FAN_OUT = 64
+SUPPORT = 5  # labelled pages that a rare segment must have to be judged by its own
 SIMILAR = 2.5
 STRENGTH = 20.0
 REJECT = 0.5
@@ -63,15 +63,15 @@ def _depth(rows: DataFrame, path: str) -> int:
 
 
 def _generalised(paths: DataFrame) -> DataFrame:
-    """Add ``t``, the template as an array, to rows (host, s, pages, ...), level by level."""
+    """Add ``t``, the template as an array, to rows (host, s, pages, labelled, ...), level by level."""
     rows = paths.withColumn("t", F.array().cast("array<string>"))
     for level in range(_depth(paths, "s")):  # every level is written down, or plans would double with each
         rows = rows.withColumn("_seg", F.get("s", F.lit(level)))
-        children = rows.where("_seg is not null").groupBy("host", "t", "_seg").agg(F.sum("pages").alias("pages"))
+        children = rows.where("_seg is not null").groupBy("host", "t", "_seg").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("known"))
         children = pin(children)
-        # The node's own totals, and how many of its segments there are: one row per node.
-        nodes = children.groupBy("host", "t").agg(F.sum("pages").alias("total"), F.count(F.lit(1)).alias("many"), F.max("pages").alias("most"))
-        stable = children.join(nodes, ["host", "t"]).where((F.col("pages") >= RARE * F.col("total")) & (F.col("many") <= FAN_OUT) | (F.col("pages") >= 0.5 * F.col("total")))
+        # The node's own totals: one row per node.
+        nodes = children.groupBy("host", "t").agg(F.sum("pages").alias("total"))
+        stable = children.join(nodes, ["host", "t"]).where((F.col("pages") >= RARE * F.col("total")) | (F.col("known") >= SUPPORT))
         kept = stable.select("host", "t", "_seg", F.lit(True).alias("_kept"))
         rows = rows.join(kept, ["host", "t", "_seg"], "left")
         step = F.when(F.col("_seg").isNotNull(), F.array(F.when(F.col("_kept"), F.col("_seg")).otherwise("*"))).otherwise(F.array().cast("array<string>"))
