@@ -48,6 +48,19 @@ def test_odd_rows(odd, odd_rows):
     assert linked(odd) == brute([(r[0], r[1]) for r in odd_rows])
 
 
+def test_null_ids_link_and_bridge(spark, odd_rows):
+    """Near copies with null ids only: one links two documents that are not alike, two are alike with nobody else."""
+    def edited(prefix, *at):
+        return " ".join(f"edit{i}" if i in at else f"{prefix}{i}" for i in range(200))
+
+    near, far = edited("bridge", 20, 60, 100), edited("bridge", 20, 60, 100, 140, 160, 180)
+    rows = [(r[0], r[1]) for r in odd_rows]
+    rows += [(21, edited("bridge")), (None, near), (None, near), (22, far), (None, edited("lone")), (None, edited("lone", 7)), (None, None), (23, edited("lone2"))]
+    want = brute(rows)
+    assert (22, 196, 21) in want and want.count((None, 196, 21)) == 2 and want.count((None, 196, None)) == 2
+    assert linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == want
+
+
 def test_empty_table(empty):
     assert linked(empty) == []
     assert exact_dedup.with_groups(empty).count() == 0

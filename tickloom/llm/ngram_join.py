@@ -433,6 +433,27 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(good, pa.bool_()))
 
 
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) of rows (text), one per node that the task has met, as long as it can remember them."""
+    shingler, done = Shingler(), set()
+    for batch in batches:
+        for lo, hi, data, offs in slices(batch.column(0)):
+            nodes, fresh = [node_id(s) for s in shingler.sets(data, offs)], []
+            for node in nodes:
+                fresh.append(node not in done)
+                if len(done) < 500_000:
+                    done.add(node)
+            rows = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).slice(lo, hi - lo)], names=["node", "text"])
+            yield rows.filter(pa.array(fresh, pa.bool_()))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (node, text) of all nodes: by the node's doc_id, or by its set where all its rows have a null id."""
+    known = docs.join(nodes.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(_own_text, "node long, text string")
+    lone = docs.where("doc_id is null").select("text").mapInArrow(_with_node, "node long, text string")
+    return known.unionByName(lone.join(nodes.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -460,7 +481,7 @@ def link(docs: DataFrame) -> DataFrame:
 
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"))
     nodes = pin(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
-    texts = pin(docs.join(nodes.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(_own_text, "node long, text string"))
+    texts = pin(_texts(docs, nodes))
 
     candidates = _in_blocks(_blocks(_few_tokens(shared, nodes)), nodes, "vector", _candidate_forest, "a long, b long").distinct()
     edges = pin(_links(candidates, texts))
