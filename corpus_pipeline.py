@@ -30,11 +30,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one whose id names the component."""
+    """Of linked documents the one whose id names the component; of clashing ids just one row."""
     ship_package()
-    # Whatever copies of an id the input holds go the same way, so one decision per id is enough.
-    gone = ngram_join.link(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.one_of_each(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,22 @@ def test_stages(spark, small, tmp_path):
             assert not x or 100 * len(x & y) < 80 * len(x | y)
     assert {r.doc_id for r in left["mixing"]} <= kept
     assert {r.doc_id for r in left["packing"]} == {r.doc_id for r in left["mixing"]}
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    """Clashing and null ids: clean rows stay, and one row of each group of near copies."""
+    def text(prefix, *at):
+        return " ".join(f"edit{i}" if i in at else f"{prefix}{i}" for i in range(100))
+
+    rows = [
+        (1, text("a"), "a1"), (5, text("a", 50), "a2"), (5, text("clean"), "clean"),  # a near copy and a clean row share an id
+        (7, text("b"), "b1"), (7, text("b", 50), "b2"),  # two near copies share the smallest id
+        (1, text("c"), "c"),  # its id also names another component
+        (None, text("a", 20), "a3"), (None, text("d"), "d1"), (None, text("d", 30), "d2"), (None, text("alone"), "alone"),
+        (9, text("e"), "e1"), (9, text("e"), "e1"), (None, text("f"), "f1"), (None, text("f"), "f1"), (8, None, "null"), (8, None, "null"), (None, " ", "white"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(4)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted(r.key[:1] if r.key[:1] in "bd" and len(r.key) == 2 else r.key for r in out.collect())
+    assert kept == sorted(["a1", "clean", "b", "c", "d", "alone", "e1", "f1", "null", "null", "white"])

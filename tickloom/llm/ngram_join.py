@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
@@ -110,9 +110,9 @@ def prefix_length(n: int) -> int:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows (size, node, vector), and rows of (token, hits) for tokens of several documents of a task."""
+    """Document rows (key, size, node, vector), and rows of (token, hits) for tokens of several documents of a task."""
     shingler, kept, held = Shingler(), [], 0
-    names = ["doc_id", "n", "node", "vector", "token", "hits"]
+    names = ["doc_id", "key", "n", "node", "vector", "token", "hits"]
 
     def frequent() -> pa.RecordBatch:
         nonlocal held
@@ -122,7 +122,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = 0
         empty = [None] * len(tokens)
         return pa.RecordBatch.from_arrays(
-            [pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(empty, pa.binary()), pa.array(tokens.astype(np.int64)), pa.array(hits.astype(np.int64))],
+            [*[pa.array(empty, pa.int64())] * 4, pa.array(empty, pa.binary()), pa.array(tokens.astype(np.int64)), pa.array(hits.astype(np.int64))],
             names=names,
         )
 
@@ -133,7 +133,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = [None] * (hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_id(s) for s in sets], pa.int64()),
+                    ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_id(s) for s in sets], pa.int64()),
                     pa.array([count_vector(s) for s in sets], pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.int64()),
                 ],
                 names=names,
@@ -460,6 +460,11 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInArrow(_verified, "a long, b long").distinct()
 
 
+def row_key(text: Column) -> Column:
+    """With the doc_id, what tells rows apart; rows that share both are equal as far as links go."""
+    return F.xxhash64(text.cast("string"))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, ``n_shingles`` and ``component_id``.
 
@@ -467,10 +472,29 @@ def link(docs: DataFrame) -> DataFrame:
     (null, empty or white text) has no shingles and is a component by itself; rows that share a doc_id are
     separate rows; null ids are never the smallest. An empty table gives an empty table.
     """
+    return _linked(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Exactly one row of each component, all rows without words, with the columns of ``docs``.
+
+    The row with the smallest (doc_id, hash of the text) stays, null ids last, so which rows share a doc_id does not matter.
+    """
+    rows = pin(_linked(docs).where("n > 0").select("doc_id", "key", "first"))
+    gone = rows.groupBy("doc_id", "key").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("rows")).where("not first or rows > 1")
+    gone = pin(gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("first").alias("__first")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (row_key(F.col("text")) == F.col("__key"))
+    # Of equal rows that stand for their component one stays.
+    equal = docs.join(gone.where("__first"), same).dropDuplicates(["__id", "__key"])
+    return docs.join(gone, same, "left_anti").unionByName(equal.select(*docs.columns))
+
+
+def _linked(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, key, n, component_id, and whether the row is the ``first`` of its component."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = pin(docs.mapInArrow(_described, "doc_id long, n long, node long, vector binary, token long, hits long"))
-    rows = described.where("n is not null").select("doc_id", "n", "node", "vector")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(F.col("text")).alias("key"))
+    described = pin(docs.mapInArrow(_described, "doc_id long, key long, n long, node long, vector binary, token long, hits long"))
+    rows = described.where("n is not null").select("doc_id", "key", "n", "node", "vector")
     hits = described.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits"))
     top = hits.orderBy(F.desc("hits"), "token").limit(FREQUENT).select("token").toPandas()["token"]
     frequent = np.sort(top.to_numpy(np.int64).astype(np.uint64))
@@ -489,11 +513,13 @@ def link(docs: DataFrame) -> DataFrame:
     alike = pin(_in_blocks(open_, nodes, "vector", _with_partner, _BLOCK_SCHEMA))
     edges = edges.unionByName(_in_blocks(alike, texts, "text", _link_forest, "a long, b long"))
     roots = components(edges).withColumnRenamed("root", "found")
-    member = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("found", "node"))
-    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = member.join(smallest, "root").select("node", "component_id")
-    filled = rows.where("n > 0").select("doc_id", "n", "node").join(label, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return filled.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")
+    member = rows.groupBy("node").agg(F.min(order).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("found", "node"))
+    smallest = member.groupBy("root").agg(F.min("least").alias("least"))
+    label = member.drop("least").join(smallest, "root").select("node", "least")
+    filled = rows.where("n > 0").select("doc_id", "key", "n", "node").join(label, "node")
+    filled = filled.select("doc_id", "key", "n", F.col("least.doc_id").alias("component_id"), (order == F.col("least")).alias("first"))
+    return filled.unionByName(rows.where("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
 
 
 def _few_tokens(shared: DataFrame, nodes: DataFrame) -> DataFrame:
