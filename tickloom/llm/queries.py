@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, fingerprint, language_id, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
+from tickloom.llm import bpe_trie, exact_dedup, fingerprint, language_id, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 from tickloom.session import scratch_path
 
@@ -120,3 +120,13 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 @query("op4_url_filter")
 def op4_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op12_bpe")
+def op12_bpe(spark, sf_dir):
+    encoded = bpe_trie.encode(table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"])
+    decoded = bpe_trie.decode(encoded, vocabulary(), into="decoded")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
