@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe_trie, exact_dedup, fingerprint, language_id, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
+from tickloom.llm import bpe_trie, exact_dedup, fingerprint, language_id, lexical_search, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 from tickloom.session import scratch_path
 
@@ -130,3 +130,24 @@ def op12_bpe(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    c AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_words FROM d),
+    t AS (SELECT row_id, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+    f AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    w AS (SELECT term, floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term),
+    s AS (
+        SELECT item_id, row_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_words))))::BIGINT AS score
+        FROM q JOIN f USING (term) JOIN w USING (term), c GROUP BY ALL
+    ),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT * FROM r WHERE rank <= 10
+    """,
+)
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
