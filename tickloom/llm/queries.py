@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe_trie, exact_dedup, fingerprint, language_id, lexical_search, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
+from tickloom.llm import bpe_trie, collocations, exact_dedup, fingerprint, language_id, lexical_search, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 from tickloom.session import scratch_path
 
@@ -151,3 +151,34 @@ def op12_bpe(spark, sf_dir):
 )
 def op13_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op11_collocations",
+    r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+    i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    o AS (SELECT lang, array_to_string(ws[i : i + k - 1], ' ') AS phrase, k FROM i, range(1, 5) v(k) WHERE i + k - 1 <= len(ws)),
+    f AS (SELECT lang, phrase, k, count(*) AS a FROM o GROUP BY ALL),
+    t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, phrase, k AS size, a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND a >= 30),
+    k AS (SELECT *, unnest(range(1, size)) AS j FROM c),
+    s AS (
+        SELECT k.lang, k.phrase, k.a, x.a AS l, y.a AS r, ((2000000::HUGEINT * k.a) // (x.a + y.a))::BIGINT AS score, j
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1 : j], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[j + 1 : size], ' ')
+        QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, j) = 1
+    ),
+    m AS (SELECT lang, ws, size, a, unnest(range(2, size)) AS m FROM c WHERE size > 2),
+    h AS (SELECT lang, ws, a, m, unnest(range(1, size - m + 2)) AS i FROM m),
+    e AS (SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM h GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, s.a DESC, phrase) AS rank, phrase, s.a, l, r, n, score
+    FROM s LEFT JOIN e USING (lang, phrase) JOIN t USING (lang) WHERE longer IS NULL OR 100 * longer < 80 * s.a
+    QUALIFY rank <= 2000
+    """,
+)
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
