@@ -26,7 +26,7 @@ from tickloom.llm.text_bytes import Hasher, lower, slices, words
 
 CACHE_WORDS = 600_000
 TRIE_NODES = 300_000
-PAIRS = 2_000_000
+PAIRS = 500_000
 LONG_WORD = 4096  # bytes; a longer word shares no prefix worth keeping and is walked outside the trie
 END = "</w>"
 
@@ -308,31 +308,39 @@ class Strings:
         return pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data[keep])])
 
 
-def _replaced(batch: pa.RecordBatch, keep: Sequence[str], into: str, lo: int, hi: int, column: pa.Array) -> pa.RecordBatch:
+def _replaced(batch: pa.RecordBatch, keep: Sequence[str], lo: int, hi: int, new: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = [batch.column(batch.schema.get_field_index(k)).slice(lo, hi - lo) for k in keep]
-    return pa.RecordBatch.from_arrays([*kept, column], names=[*keep, into])
+    return pa.RecordBatch.from_arrays([*kept, *new.values()], names=[*keep, *new])
 
 
-def _schema(df: DataFrame, keep: Sequence[str] | None, into: str, kind) -> tuple[list[str], StructType]:
-    keep = [k for k in (df.columns if keep is None else keep) if k != into]
-    return keep, StructType([df.schema[k] for k in keep]).add(into, kind)
+def _schema(df: DataFrame, keep: Sequence[str] | None, new: dict) -> tuple[list[str], StructType]:
+    keep = [k for k in (df.columns if keep is None else keep) if k not in new]
+    schema = StructType([df.schema[k] for k in keep])
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
+    return keep, schema
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, text: str = "text", into: str = "ids", keep: Sequence[str] | None = None, decoded: str | None = None
+) -> DataFrame:
     """``docs`` with ``into``, the ids (array of int) of each whole text, as the vocabulary's library gives them without added tokens.
 
     ``vocabulary`` is the path of a file that every executor can read. ``keep`` names the columns that stay (all by default);
-    a column that is called ``into`` is replaced. A null or empty text has no ids. Rows stay as they are: repeated rows
+    a column that is called ``into`` is replaced. ``decoded`` names a further column with what ``decode`` makes of the ids, so that both
+    take one pass. A null or empty text has no ids. Rows stay as they are: repeated rows
     are encoded each, order and ties do not matter, an empty table gives an empty table.
     """
-    keep, schema = _schema(docs, keep, into, ArrayType(IntegerType()))
+    keep, schema = _schema(docs, keep, {into: ArrayType(IntegerType())} | ({decoded: StringType()} if decoded else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Words(vocabulary)
+        strings = Strings(encoder.rules) if decoded else None
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(batch.schema.get_field_index("__text"))):
                 ids, upto = encoder.encode(data, offs)
-                yield _replaced(batch, keep, into, lo, hi, pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids)))
+                new = {into: pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))}
+                yield _replaced(batch, keep, lo, hi, new | ({decoded: strings.decode(ids, upto).cast(pa.string())} if strings else {}))
 
     return docs.select(*keep, F.col(text).cast(StringType()).alias("__text")).mapInArrow(run, schema)
 
@@ -343,14 +351,14 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", into: str = "text
     ``keep`` and ``into`` are as in ``encode``. A null or empty array has the empty text; null ids and ids that the
     vocabulary does not have are left out.
     """
-    keep, schema = _schema(rows, keep, into, StringType())
+    keep, schema = _schema(rows, keep, {into: StringType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = Strings(MergeRules(vocabulary))
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("__ids")).cast(pa.large_list(pa.int64())).fill_null([])
+            column = batch.column(batch.schema.get_field_index("__ids")).fill_null([])
             for lo, hi, values, offs in _list_slices(column):
-                yield _replaced(batch, keep, into, lo, hi, strings.decode(values, offs).cast(pa.string()))
+                yield _replaced(batch, keep, lo, hi, {into: strings.decode(values, offs).cast(pa.string())})
 
     return rows.select(*keep, F.col(ids).cast(ArrayType(IntegerType())).alias("__ids")).mapInArrow(run, schema)
 

@@ -124,9 +124,8 @@ def op4_url_filter(spark, sf_dir):
 
 @query("op12_bpe")
 def op12_bpe(spark, sf_dir):
-    encoded = bpe_trie.encode(table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"])
-    decoded = bpe_trie.decode(encoded, vocabulary(), into="decoded")
-    return decoded.select(
+    encoded = bpe_trie.encode(table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"], decoded="decoded")
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
