@@ -71,7 +71,14 @@ def _market(rng, n=400):
     return out
 
 
-def test_extremes_over_intervals(spark):
+@pytest.fixture(params=[(256, 64), (4, 2), (1, 3)])
+def index_shape(request, monkeypatch):
+    """Trees of several heights."""
+    monkeypatch.setattr(V, "BLOCK", request.param[0])
+    monkeypatch.setattr(V, "FAN", request.param[1])
+
+
+def test_extremes_over_intervals(spark, index_shape):
     rng = random.Random(2)
     quotes = _market(rng)
     spans = []
@@ -88,7 +95,7 @@ def test_extremes_over_intervals(spark):
         assert (r["ask_max"], r["ask_min"]) == (max(x[4] for x in inside), min(x[4] for x in inside))
 
 
-def test_first_touch_matches_a_walk(spark):
+def test_first_touch_matches_a_walk(spark, index_shape):
     rng = random.Random(4)
     quotes = _market(rng)
     trades = []

@@ -1,136 +1,152 @@
 """Interval questions over a quote history without pairing trades with quotes.
 
-A ladder of time cells holds the extreme prices per cell: one microsecond, then eight
-times as long at each level. Any interval is the union of at most about two hundred
-whole cells, so extremes over a holding period are an equality join on cells. A first
-touch is found by taking the first covering cell that reaches the level and walking down
-its children. The work per trade does not depend on how many quotes its cells hold.
+A block index holds a key's quotes in time order: blocks of ``BLOCK`` instants with their extreme prices, and above
+them a tree whose nodes hold the extremes of ``FAN`` nodes each, one row per block and node. An interval is two edge
+blocks and a few runs of whole nodes, so extremes over a holding period are an equality join with that many rows.
+A first touch is the first of these pieces that reaches the level, followed down the tree to the instant. The rows
+per trade grow with the logarithm of the history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.scan import range_chunks, run_sum, running
+from tickloom.operators.scan import CHUNK, range_chunks, run_max, run_sum, running
 from tickloom.session import pin
 
-FACTOR = 8
-# Level 7 is about 2.1 seconds and level 14 about 51 days; fine levels are built on demand.
-COARSE, TOP = 7, 14
-# Levels walked down per round: 8**3 children of one touched cell.
-STEP = 3
+BLOCK, FAN = 256, 64
+# Nodes are read by many trades: they are repeated so often, and the trades spread over the copies.
+COPIES = 16
 SERIES = ("bid_up", "bid_down", "ask_up", "ask_down")
-
-
-def _width(level: int) -> int:
-    return FACTOR**level
+_PIECE = "array<struct<ord:int,level:int,node:bigint,lo:bigint,hi:bigint>>"
 
 
 def _signed(bid: str, ask: str) -> dict[str, Column]:
     return {"bid_up": F.col(bid), "bid_down": -F.col(bid), "ask_up": F.col(ask), "ask_down": -F.col(ask)}
 
 
-def _climb(cells: DataFrame, key: Sequence[str], lo: int, hi: int) -> DataFrame:
-    """Cells of level ``lo`` repeated at every level up to ``hi``, with their maxima."""
-    levels = F.array(*[
-        F.struct(F.lit(k).alias("level"), F.floor(F.col("cell") / _width(k - lo)).alias("cell")) for k in range(lo, hi + 1)
-    ])
-    return cells.withColumn("_lv", F.explode(levels)).groupBy(*key, "_lv.level", "_lv.cell").agg(
-        *[F.max(s).alias(s) for s in SERIES]
-    )
+class BlockIndex:
+    """Rows (key, level, node, copy, items): ``items`` are the instants of a block (level 0) or the children of a node.
 
+    An item is (at, extremes): ``at`` is an instant in microseconds, or a child's number. Quotes of one instant are one
+    item, so the order needs no tie-break; a missing price reaches nothing.
+    """
 
-def coarse_ladder(quotes: DataFrame, key: Sequence[str] = ("instrument",), *, at: str = "event_time", bid: str = "bid", ask: str = "ask") -> DataFrame:
-    """Cells of level 7 and above. Quotes are combined per cell before any level is derived."""
-    cell = F.floor(F.unix_micros(at) / _width(COARSE))
-    base = quotes.groupBy(*key, cell.alias("cell")).agg(*[F.max(c).alias(n) for n, c in _signed(bid, ask).items()])
-    return _climb(base, key, COARSE, TOP)
-
-
-def fine_ladder(quotes: DataFrame, needed: DataFrame, key: Sequence[str] = ("instrument",), *, at: str = "event_time", bid: str = "bid", ask: str = "ask") -> DataFrame:
-    """Cells below level 7, only inside the level-7 cells listed in ``needed`` (key, cell7)."""
-    us = F.unix_micros(at)
-    inside = quotes.withColumn("cell7", F.floor(us / _width(COARSE))).join(needed.distinct(), [*key, "cell7"], "left_semi")
-    base = inside.groupBy(*key, us.alias("cell")).agg(*[F.max(c).alias(n) for n, c in _signed(bid, ask).items()])
-    return _climb(base, key, 0, COARSE - 1)
-
-
-def _run(lo: Column, hi: Column, level: int) -> Column:
-    """Cells lo..hi-1 of a level as structs; empty when there are none."""
-    cells = F.transform(F.sequence(lo, hi - 1), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
-    return F.when(lo < hi, cells).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
-
-
-def covered(intervals: DataFrame, start_us: str, end_us: str) -> DataFrame:
-    """One row per whole cell of the closed interval [start_us, end_us] in microseconds."""
-    out = intervals.withColumns({"_lo0": F.col(start_us), "_hi0": F.col(end_us) + 1})
-    parts = []
-    for k in range(TOP):
-        lo, hi = F.col(f"_lo{k}"), F.col(f"_hi{k}")
-        up = F.ceil(lo / FACTOR) * FACTOR
-        down = F.floor(hi / FACTOR) * FACTOR
-        left = F.least(up, hi)
-        parts.append(_run(lo, left, k))
-        parts.append(_run(F.greatest(down, left), hi, k))
-        out = out.withColumns({f"_lo{k + 1}": (up / FACTOR).cast("bigint"), f"_hi{k + 1}": (down / FACTOR).cast("bigint")})
-    parts.append(_run(F.col(f"_lo{TOP}"), F.col(f"_hi{TOP}"), TOP))
-    exploded = out.withColumn("_c", F.explode(F.flatten(F.array(*parts))))
-    drop = [f"_{s}{k}" for s in ("lo", "hi") for k in range(TOP + 1)]
-    return exploded.select("*", "_c.level", "_c.cell").drop("_c", *drop)
-
-
-def _cell7() -> Column:
-    """Level-7 cell that contains a finer cell."""
-    down = reduce(
-        lambda acc, k: acc.when(F.col("level") == k, F.floor(F.col("cell") / _width(COARSE - k))),
-        range(1, COARSE), F.when(F.col("level") == 0, F.floor(F.col("cell") / _width(COARSE))),
-    )
-    return down
+    def __init__(self, quotes: DataFrame, key: Sequence[str] = ("instrument",), *, at: str = "event_time", bid: str = "bid", ask: str = "ask"):
+        self.key = key = list(key)
+        instants = quotes.groupBy(*key, F.unix_micros(at).alias("at")).agg(*[F.max(c).alias(n) for n, c in _signed(bid, ask).items()])
+        chunked = range_chunks(instants.where(F.col("at").isNotNull()), key, ["at"])
+        by = [*key, CHUNK]
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("at")) - 1
+        blocks = chunked.withColumn("_b", F.floor(place / BLOCK)).groupBy(*by, "_b").agg(F.array_sort(F.collect_list(F.struct("at", *SERIES))).alias("items"))
+        counts = chunked.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+        earlier = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        offset = counts.select(*by, F.coalesce(F.sum("_blocks").over(earlier), F.lit(0)).alias("_before"))
+        node = (F.col("_before") + F.col("_b")).cast("bigint")
+        levels = [pin(blocks.join(offset, by).select(*key, F.lit(0).alias("level"), node.alias("node"), "items"))]
+        self.starts = levels[0].select(*key, F.col("items")[0]["at"].alias("at"), "node")
+        last = self.starts.agg(F.max("node")).first()[0] or 0
+        while last > 0 or len(levels) == 1:
+            child = levels[-1].select(*key, F.col("node").alias("at"), *[F.array_max(F.col("items")[s]).alias(s) for s in SERIES])
+            up = child.groupBy(*key, F.floor(F.col("at") / FAN).cast("bigint").alias("node")).agg(F.array_sort(F.collect_list(F.struct("at", *SERIES))).alias("items"))
+            levels.append(pin(up.select(*key, F.lit(len(levels)).alias("level"), "node", "items")))
+            last //= FAN
+        self.height = len(levels) - 1
+        self.levels = levels
+
+    def rows(self, level: int) -> DataFrame:
+        copy = F.lit(0) if level == 0 else F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))
+        return self.levels[level].select(*self.key, "level", "node", copy.alias("copy"), "items")
+
+    def all_rows(self) -> DataFrame:
+        out = self.rows(0)
+        for level in range(1, self.height + 1):
+            out = out.unionByName(self.rows(level))
+        return out
+
+    def locate(self, spans: DataFrame) -> DataFrame:
+        """Spans (key, _s, _e) with the blocks _bs and _be that their ends fall in; those that end before all quotes drop out."""
+        ends = F.array(F.struct(F.col("_s").alias("at"), F.lit(1).alias("side")), F.struct(F.col("_e").alias("at"), F.lit(2).alias("side")))
+        probes = spans.select(*self.key, "_s", "_e", F.explode(ends).alias("_p")).select(*self.key, "_s", "_e", "_p.*")
+        both = self.starts.withColumn("side", F.lit(0)).unionByName(probes, allowMissingColumns=True)
+        order = ["at", "side", "_s", "_e"]
+        found = running(range_chunks(both, self.key, order), self.key, order, {"_node": run_max("node")}).where("side > 0")
+        by_side = [F.max(F.when(F.col("side") == k, F.col("_node"))).alias(n) for k, n in ((1, "_bs"), (2, "_be"))]
+        placed = found.groupBy(*self.key, "_s", "_e").agg(*by_side).where("_be is not null")
+        return placed.withColumn("_bs", F.coalesce("_bs", F.lit(0).cast("bigint")))
+
+    def pieces(self, placed: DataFrame) -> DataFrame:
+        """Each span once per block or node it needs: ord (in time), level, node and the items lo to hi that count."""
+        piece = lambda ord_, level, node, lo, hi: F.array(F.struct(F.lit(ord_).alias("ord"), F.lit(level).alias("level"), node.alias("node"), lo.alias("lo"), hi.alias("hi")))
+        none, s, e, bs, be = F.array().cast(_PIECE), F.col("_s"), F.col("_e"), F.col("_bs"), F.col("_be")
+        top = 2 * self.height + 2
+        parts = [piece(0, 0, bs, s, e), F.when(be > bs, piece(top, 0, be, s, e)).otherwise(none)]
+        out = placed.withColumns({"_lo1": bs + 1, "_hi1": be - 1})
+        for k in range(1, self.height + 1):
+            lo, hi = F.col(f"_lo{k}"), F.col(f"_hi{k}")
+            left, right = F.floor(lo / FAN).cast("bigint"), F.floor(hi / FAN).cast("bigint")
+            two = F.concat(piece(k, k, left, lo, (left + 1) * FAN - 1), piece(top - k, k, right, right * FAN, hi))
+            parts.append(F.when(lo > hi, none).when(left == right, piece(k, k, left, lo, hi)).otherwise(two))
+            out = out.withColumns({f"_lo{k + 1}": F.when(lo <= hi, left + 1).otherwise(1), f"_hi{k + 1}": F.when(lo <= hi, right - 1).otherwise(0)})
+        spread = out.withColumn("_c", F.explode(F.concat(*parts)))
+        return spread.select(*placed.columns, "_c.*").withColumn("copy", self._copy())
+
+    def _copy(self) -> Column:
+        return F.when(F.col("level") == 0, 0).otherwise(F.pmod(F.xxhash64("_s", "_e"), F.lit(COPIES)).cast("int"))
+
+
+def _inside(x: Column) -> Column:
+    return (x["at"] >= F.col("lo")) & (x["at"] <= F.col("hi"))
 
 
 def extremes(
     intervals: DataFrame, quotes: DataFrame, ident: Sequence[str], *, start: str, end: str,
     key: Sequence[str] = ("instrument",),
 ) -> DataFrame:
-    """Highest and lowest bid and ask of the quotes inside each closed interval."""
-    spans = intervals.select(*key, *ident, F.unix_micros(start).alias("_s"), F.unix_micros(end).alias("_e"))
-    cells = pin(covered(spans.where(F.col("_s") <= F.col("_e")), "_s", "_e").select(*key, *ident, "level", "cell"))
-    fine = cells.where(F.col("level") < COARSE)
-    needed = fine.select(*key, _cell7().alias("cell7"))
-    found = cells.where(F.col("level") >= COARSE).join(coarse_ladder(quotes, key), [*key, "level", "cell"]).unionByName(
-        fine.join(fine_ladder(quotes, needed, key), [*key, "level", "cell"])
-    )
-    out = found.groupBy(*ident).agg(*[F.max(s).alias(s) for s in SERIES])
+    """Highest and lowest bid and ask of the quotes inside each closed interval; an interval without a quote has no row."""
+    key, ident = list(key), list(ident)
+    index = BlockIndex(quotes, key)
+    spans = intervals.select(*key, *ident, F.unix_micros(start).alias("_s"), F.unix_micros(end).alias("_e")).where("_s <= _e")
+    pieces = index.pieces(index.locate(spans.select(*key, "_s", "_e").distinct()))
+    read = pieces.join(index.all_rows(), [*key, "level", "node", "copy"]).withColumn("items", F.filter("items", _inside)).where(F.size("items") > 0)
+    best = [F.max(F.array_max(F.col("items")[s])).alias(s) for s in SERIES]
+    out = spans.join(read.groupBy(*key, "_s", "_e").agg(*best), [*key, "_s", "_e"])
     return out.select(
         *ident, F.col("bid_up").alias("bid_max"), (-F.col("bid_down")).alias("bid_min"),
         F.col("ask_up").alias("ask_max"), (-F.col("ask_down")).alias("ask_min"),
     )
 
 
-def _reaches() -> Column:
-    value = reduce(lambda acc, s: acc.when(F.col("series") == s, F.col(s)), SERIES[1:], F.when(F.col("series") == SERIES[0], F.col(SERIES[0])))
-    return value >= F.col("threshold")
+def excursions(
+    trades: DataFrame, quotes: DataFrame, ident: str, *, entry: str = "entry_at", close: str = "close_at", entry_price: str = "entry_price",
+    start_mfe: str | None = None, start_mae: str | None = None,
+) -> DataFrame:
+    """Most favourable and most adverse move of each trade: ident, mfe, mae.
+
+    A long is valued at the bid, a short at the ask. ``start_mfe`` and ``start_mae`` name values known before (an earlier part of
+    the trade): quotes only widen them, and a trade without quotes keeps them. Without them such a trade has no row.
+    """
+    found = extremes(trades, quotes, [ident], start=entry, end=close)
+    rows = trades.join(found, ident, "left")
+    up, e = F.col("direction") == "UP", F.col(entry_price)
+    best, worst = F.when(up, F.col("bid_max") - e).otherwise(e - F.col("ask_min")), F.when(up, F.col("bid_min") - e).otherwise(e - F.col("ask_max"))
+    mfe = F.greatest(best, F.col(start_mfe)) if start_mfe else best
+    mae = F.least(worst, F.col(start_mae)) if start_mae else worst
+    return rows.select(ident, mfe.alias("mfe"), mae.alias("mae")).where("mfe is not null or mae is not null")
 
 
-def _walk_down(rows: DataFrame, ladder: DataFrame, ident: Sequence[str], key: Sequence[str], top: int, bottom: int) -> DataFrame:
-    """Replace each touched cell by its first touched descendant at level ``bottom``."""
-    carried = [*key, *ident, "series", "threshold"]
-    level = top
-    while level > bottom:
-        target = max(level - STEP, bottom)
-        moving = rows.where(F.col("level") > target)
-        width = F.pow(F.lit(FACTOR), F.col("level") - target).cast("bigint")
-        first_child = F.col("cell") * width
-        children = moving.withColumn("cell", F.explode(F.sequence(first_child, first_child + width - 1))).drop("level")
-        hit = children.join(ladder.where(F.col("level") == target).drop("level"), [*key, "cell"]).where(_reaches())
-        first = hit.groupBy(*carried).agg(F.min("cell").alias("cell")).withColumn("level", F.lit(target))
-        rows = pin(rows.where(F.col("level") <= target).unionByName(first.select(*rows.columns)))
-        level = target
-    return rows
+def _first_item() -> Column:
+    """The first item in lo..hi whose series reaches the threshold."""
+    def reaches(x: Column) -> Column:
+        value = F.when(F.col("series") == SERIES[0], x[SERIES[0]])
+        for s in SERIES[1:]:
+            value = value.when(F.col("series") == s, x[s])
+        return _inside(x) & (value >= F.col("threshold"))
+
+    return F.get(F.filter("items", reaches), F.lit(0))["at"]
 
 
 def first_reach(
@@ -142,25 +158,22 @@ def first_reach(
     ``barriers``: key columns, ident columns, series (one of ``SERIES``; a *_down series is
     the negated price), threshold, and the two bounds. Result: ident, series, touch_us.
     """
-    carried = [*key, *ident, "series", "threshold"]
-    cells = pin(covered(barriers.where(F.col(start_us) <= F.col(end_us)), start_us, end_us).select(*carried, "level", "cell"))
-    coarse = pin(coarse_ladder(quotes, key))
-    fine_cells = cells.where(F.col("level") < COARSE)
-    edges = fine_cells.select(*key, _cell7().alias("cell7"))
-    edge_ladder = fine_ladder(quotes, edges, key)
-    touched = cells.where(F.col("level") >= COARSE).join(coarse, [*key, "level", "cell"]).unionByName(
-        fine_cells.join(edge_ladder, [*key, "level", "cell"])
-    ).where(_reaches())
-    begin = F.col("cell") * reduce(
-        lambda acc, k: acc.when(F.col("level") == k, F.lit(_width(k))), range(1, TOP + 1), F.when(F.col("level") == 0, F.lit(1))
-    )
-    first = touched.groupBy(*carried).agg(F.min_by(F.struct("level", "cell"), begin).alias("_c"))
-    rows = pin(first.select(*carried, "_c.level", "_c.cell"))
-    rows = _walk_down(rows, coarse, ident, key, TOP, COARSE)
-    wanted = rows.select(*key, F.when(F.col("level") == COARSE, F.col("cell")).otherwise(_cell7()).alias("cell7"))
-    fine = pin(fine_ladder(quotes, wanted, key))
-    rows = _walk_down(rows, fine, ident, key, COARSE, 0)
-    return rows.select(*ident, "series", F.col("cell").alias("touch_us"))
+    key = list(key)
+    index = BlockIndex(quotes, key)
+    carried = [*key, *ident, "series", "threshold", "_s", "_e"]
+    wanted = barriers.withColumns({"_s": F.col(start_us), "_e": F.col(end_us)}).where("_s <= _e and threshold is not null").select(*carried)
+    placed = wanted.join(index.locate(wanted.select(*key, "_s", "_e").distinct()), [*key, "_s", "_e"])
+    at = [*key, "level", "node", "copy"]
+    touched = index.pieces(placed).join(index.all_rows(), at).withColumn("hit", _first_item()).where("hit is not null")
+    first = touched.groupBy(*carried).agg(F.min_by(F.struct("level", "hit"), "ord").alias("_f"))
+    rows = pin(first.select(*carried, "_f.level", "_f.hit"))
+    for level in range(index.height - 1, -1, -1):
+        open_ = rows.where(F.col("level") > level).select(*carried, F.lit(level).alias("level"), F.col("hit").alias("node"))
+        # The whole node lies inside the interval.
+        open_ = open_.withColumns({"copy": index._copy(), "lo": F.lit(-(1 << 63)).cast("bigint"), "hi": F.lit((1 << 63) - 1).cast("bigint")})
+        lower = open_.join(index.rows(level), at).withColumn("hit", _first_item()).select(*carried, "level", "hit")
+        rows = pin(rows.where(F.col("level") <= level).unionByName(lower))
+    return rows.select(*ident, "series", F.col("hit").alias("touch_us"))
 
 
 # ---- level at an instant --------------------------------------------------

@@ -183,14 +183,29 @@ def j5_quotes_within_trade(spark, sf):
     ),
 )
 def a31_mfe_mae(spark, sf):
-    trades = marked_trades(spark, sf)
-    ext = intervals.extremes(trades, I.quotes(spark, sf), ["trade_id"], start="entry_at", end="close_at")
-    rows = trades.join(ext, "trade_id")
-    up, e = F.col("direction") == "UP", F.col("entry_price")
-    return rows.select(
-        "trade_id", F.round(F.when(up, F.col("bid_max") - e).otherwise(e - F.col("ask_min")), 6).alias("mfe"),
-        F.round(F.when(up, F.col("bid_min") - e).otherwise(e - F.col("ask_max")), 6).alias("mae"),
-    )
+    out = intervals.excursions(marked_trades(spark, sf), I.quotes(spark, sf), "trade_id")
+    return out.select("trade_id", rnd("mfe"), rnd("mae"))
+
+
+@query(
+    "a31_mfe_mae_continued",
+    with_ctes(
+        *TRADES,
+        """h AS (SELECT *, (epoch_us(close_at) - epoch_us(entry_at)) // 2 AS half, epoch_us(entry_at) AS s, epoch_us(close_at) AS e FROM trades),
+           m AS (SELECT h.trade_id, q.event_time, epoch_us(q.event_time) AS us, h.s, h.e, h.half, CASE WHEN direction = 'UP' THEN q.bid - entry_price ELSE entry_price - q.ask END AS move
+              FROM h JOIN quotes q ON q.instrument = h.instrument AND epoch_us(q.event_time) BETWEEN h.s AND h.e)""",
+        select="SELECT trade_id, round(max(move), 6) AS mfe, round(min(move), 6) AS mae FROM m GROUP BY 1",
+    ),
+)
+def a31_mfe_mae_continued(spark, sf):
+    """Excursions in two parts: the first half's values are the explicit start of the second half."""
+    trades, q = marked_trades(spark, sf), I.quotes(spark, sf)
+    half = F.floor((F.unix_micros("close_at") - F.unix_micros("entry_at")) / 2)
+    trades = trades.withColumn("middle", F.timestamp_micros(F.unix_micros("entry_at") + half))
+    early = intervals.excursions(trades, q, "trade_id", close="middle").select("trade_id", F.col("mfe").alias("mfe_before"), F.col("mae").alias("mae_before"))
+    late = trades.join(early, "trade_id", "left").withColumn("after", F.timestamp_micros(F.unix_micros("middle") + 1))
+    out = intervals.excursions(late, q, "trade_id", entry="after", start_mfe="mfe_before", start_mae="mae_before")
+    return out.select("trade_id", rnd("mfe"), rnd("mae"))
 
 
 @query(
