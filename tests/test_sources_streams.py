@@ -147,7 +147,7 @@ def test_stream_bars_equal_batch_and_keep_late_rows_out(spark):
 def test_late_rows_are_recorded(spark):
     path, out = scratch_path(spark, "in"), scratch_path(spark, "out")
     parts = [ticks(spark, [("A", 0, 1.0), ("A", 200, 1.0)]), ticks(spark, [("A", 10, 5.0), ("A", 201, 6.0)])]
-    recorder = SB.LateRecorder(spark, out, 60, parts[0].schema)
+    recorder = SB.LateRecorder(spark, out, 60, parts[0].schema, ["available_at", "event_id"])
     for p in parts:
         p.coalesce(1).write.mode("append").parquet(path)
         run_available(spark.readStream.schema(p.schema).parquet(path), out + "-cp", each=recorder)

@@ -14,7 +14,7 @@ from tickloom.plans import inputs as I
 from tickloom.plans.indicator_queries import BASE, CROSS, H4, POINTS, SID, points, x2_rule_signals
 from tickloom.plans.inputs import SQL, sql_bars, sql_strict_bars, with_ctes
 from tickloom.plans.registry import query, rnd, text_list
-from tickloom.session import pin
+from tickloom.session import exists, pin, scratch_path
 
 HORIZONS = (3600.0, 14400.0)
 RULE = outcomes.Contract(latency_seconds=2, max_age_seconds=3600, stake=10.0, payout=0.85, loss=1.0, cost=0.1)
@@ -55,8 +55,18 @@ LABELLED = (
 
 
 def labelled(spark, sf):
-    pts = outcomes.points_from_ticks(I.quotes(spark, sf), F.col("bid"))
-    return pin(outcomes.label(x2_rule_signals(spark, sf), pts, HORIZONS, RULE))
+    """The labelled results; written once per application and input folder, and again when the pinned tables were dropped."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _LABELLED or not exists(spark, _LABELLED[key][0]):
+        pts = outcomes.points_from_ticks(I.quotes(spark, sf), F.col("bid"))
+        rows, path = outcomes.label(x2_rule_signals(spark, sf), pts, HORIZONS, RULE), scratch_path(spark, "labelled")
+        rows.write.parquet(path)
+        _LABELLED[key] = path, rows.schema
+    path, schema = _LABELLED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+_LABELLED: dict[tuple[str, str], tuple] = {}
 
 
 @query(

@@ -283,6 +283,42 @@ def s10_idempotent_write(spark, sf):
     return judged.groupBy("write_state").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "s10_append_idempotent",
+    "SELECT o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 2) AS total, true AS refused FROM orders GROUP BY 1",
+)
+def s10_append_idempotent(spark, sf):
+    """Overlapping writes, a repeated one, two writers at once, and a changed payload that is refused: every order is stored once."""
+    from tickloom.sources.commits import AppendTable, CommitLog
+
+    o = I.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path, key = scratch_path(spark, "appended"), F.col("o_orderkey") % 4
+
+    class Overtaken(CommitLog):
+        """Before its first commit another writer commits rows that overlap."""
+
+        other = AppendTable(spark, path, o.schema, ["o_orderkey"])
+
+        def commit(self, number, content):
+            if self.other is not None:
+                other, self.other = self.other, None
+                other.append(o.where(key.isin(1, 2)))
+            return super().commit(number, content)
+
+    table = AppendTable(spark, path, o.schema, ["o_orderkey"])
+    for part in (o.where(key == 0), o.where(key.isin(0, 1)), o.where(key == 0)):
+        table.append(part)
+    AppendTable(spark, path, o.schema, ["o_orderkey"], Overtaken(spark, path)).append(o)
+    try:
+        table.append(o.withColumn("o_totalprice", F.col("o_totalprice") + 1))
+        refused = False
+    except tables.WriteConflict:
+        refused = True
+    return table.rows().groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.lit(refused).alias("refused")
+    )
+
+
 @query(
     "s11_latest_bar_revision",
     with_ctes(

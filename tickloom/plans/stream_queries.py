@@ -1,4 +1,4 @@
-"""Streaming queries: each replays the whole shared table as four files, then stops."""
+"""Streaming queries: each replays the whole shared table in several micro-batches, then stops."""
 
 from __future__ import annotations
 
@@ -12,25 +12,32 @@ from tickloom.plans.inputs import SQL, sql_strict_bars, with_ctes
 from tickloom.plans.join_queries import HORIZONS, LABELLED, RULE, one_sided
 from tickloom.plans.registry import ORACLES, query, rnd
 from tickloom.plans.row_queries import repeated_ticks
-from tickloom.session import pin, scratch_path
+from tickloom.session import pin, scratch_path, shuffle_width
 from tickloom.streaming import bars as SB
 from tickloom.streaming import jobs, stateful
+from tickloom.streaming.pending import pending_outcomes
 from tickloom.streaming.support import guard_checkpoint, run_available
 
 T = SQL["ticks"]
 
 
 def replay(spark, rows, order: str, parts: int = 4):
-    """The rows as a stream of ``parts`` files, oldest first by ``order``."""
+    """The rows as a stream of ``parts`` micro-batches, oldest first by ``order``.
+
+    Every micro-batch is written by all tasks and read as as many files; only a micro-batch of fewer rows than files is one file, and so are all then.
+    """
     rows = pin(rows)
     micros = F.unix_micros(order) if dict(rows.dtypes)[order] == "timestamp" else F.col(order).cast("bigint")
     lo, hi = rows.agg(F.min(micros), F.max(micros)).first()
     step = max(1, -(-(hi - lo + 1) // parts))
+    dealt = rows.withColumn("_part", F.least(F.floor((micros - lo) / step), F.lit(parts - 1)).cast("int"))
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    files = shuffle_width(spark)
+    files = files if min(sizes.values()) >= 100 * files else 1
     path = scratch_path(spark, "stream")
-    for i in range(parts):
-        part = rows.where((micros >= lo + i * step) & (micros < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for i in sorted(sizes):
+        dealt.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def to_table(spark, stream):
@@ -61,25 +68,32 @@ def t2_close_on_watermark(spark, sf):
     return stream_bar_rows(spark, sf, 300)
 
 
-@query(
-    "t3_late_rows_recorded",
-    """WITH t AS (SELECT event_type AS instrument, event_id, ts, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start,
+LATE_SQL = """WITH t AS (SELECT event_type AS instrument, event_id, ts, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start,
           CASE WHEN event_id % 40 = 0 THEN event_id + 3000000000 ELSE event_id END AS arrival FROM events),
-        b AS (SELECT min(arrival) AS lo, (max(arrival) - min(arrival) + 1 + 3) // 4 AS step FROM t),
-        p AS (SELECT t.*, (arrival - lo) // step AS part FROM t, b),
-        m AS (SELECT instrument, part, max(start) AS newest FROM p GROUP BY 1, 2),
-        s AS (SELECT p.*, (SELECT max(newest) FROM m WHERE m.instrument = p.instrument AND m.part < p.part) AS seen FROM p)
-        SELECT instrument, event_id AS seq, start < seen AS late FROM s WHERE start < seen""",
-)
-def t3_late_rows_recorded(spark, sf):
+        s AS (SELECT *, max(start) OVER (PARTITION BY instrument ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM t)
+        SELECT instrument, event_id AS seq, start < seen AS late FROM s WHERE start < seen"""
+
+
+def late_rows(spark, sf, parts: int):
     t = I.ticks(spark, sf).select("instrument", "seq", "event_time", "price")
     t = t.withColumn("arrival", F.when(F.col("seq") % 40 == 0, F.col("seq") + 3000000000).otherwise(F.col("seq")))
-    stream = replay(spark, t, "arrival")
+    stream = replay(spark, t, "arrival", parts)
     recorder = SB.LateRecorder(spark, scratch_path(spark, "late"), 3600, stream.schema)
     run_available(stream, scratch_path(spark, "checkpoint"), each=recorder)
     return recorder.late.read().select("instrument", "seq", (F.col("issue") == "late_closed_interval").alias("late"))
 
 
+@query("t3_late_rows_recorded", LATE_SQL)
+def t3_late_rows_recorded(spark, sf):
+    return late_rows(spark, sf, 4)
+
+
+@query("t3_late_rows_one_batch", LATE_SQL)
+def t3_late_rows_one_batch(spark, sf):
+    """The same rows are late when everything arrives in one micro-batch."""
+    return late_rows(spark, sf, 1)
+
+
 @query("t4_stream_dedupe", with_ctes(T, select="SELECT event_id, price FROM ticks"))
 def t4_stream_dedupe(spark, sf):
     stream = replay(spark, repeated_ticks(spark, sf), "event_time")
@@ -108,14 +122,36 @@ def t6_stream_quote_book(spark, sf):
     with_ctes(*LABELLED, select="""SELECT simulation_id, horizon, entry_price, final_price, outcome, round(net, 6) AS net FROM outc"""),
 )
 def t7_pending_outcomes(spark, sf):
+    out = to_table(spark, pending_outcomes(replay(spark, capture(spark, sf), "at"), HORIZONS, RULE))
+    return out.select("simulation_id", "horizon", "entry_price", "final_price", "outcome", rnd("net"))
+
+
+def capture(spark, sf):
+    """Signals and points in the order in which they become known, and the row that closes the capture."""
     from tickloom.operators import outcomes
 
-    sig = x2_rule_signals(spark, sf).withColumns({"kind": F.lit("signal"), "at": F.col("detected_at")})
+    sig = x2_rule_signals(spark, sf).select("signal_id", "instrument", "direction", "detected_at", F.lit("signal").alias("kind"), F.col("detected_at").alias("at"))
     pts = outcomes.points_from_ticks(I.quotes(spark, sf), F.col("bid")).withColumns({"kind": F.lit("point"), "at": F.col("available_at")})
-    both = sig.unionByName(pts, allowMissingColumns=True)
-    job = jobs.OutcomeJob(spark, scratch_path(spark, "outcomes"), HORIZONS, RULE)
-    run_available(replay(spark, both, "at"), scratch_path(spark, "checkpoint"), each=job)
-    return job.finish(3).select("simulation_id", "horizon", "entry_price", "final_price", "outcome", rnd("net"))
+    both = pin(sig.unionByName(pts, allowMissingColumns=True))
+    end = both.groupBy(F.lit("close").alias("kind")).agg(F.max("at").alias("at")).select("kind", F.lit("").alias("instrument"), plus_seconds("at", 7 * 86400).alias("at"))
+    return both.unionByName(end, allowMissingColumns=True)
+
+
+@query(
+    "t7_pending_after_restart",
+    with_ctes(*LABELLED, select="""SELECT simulation_id, horizon, entry_price, final_price, outcome, round(net, 6) AS net FROM outc"""),
+)
+def t7_pending_after_restart(spark, sf):
+    """Three runs over one guarded checkpoint; what is pending when a run ends settles in a later one."""
+    rows = pin(capture(spark, sf))
+    lo, hi = rows.where("kind <> 'close'").agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    path, sink, root = scratch_path(spark, "stream"), scratch_path(spark, "sink"), scratch_path(spark, "guarded")
+    part = F.floor((F.unix_micros("at") - lo) * 2 / (hi - lo + 1))  # the closing row comes alone
+    for own in (part == 0, part == 1, part > 1):
+        rows.where(own).write.mode("append").parquet(path)
+        stream = pending_outcomes(spark.readStream.schema(rows.schema).parquet(path), HORIZONS, RULE)
+        run_available(stream, guard_checkpoint(spark, root, {"horizons": HORIZONS, "rule": str(RULE)}), sink=sink)
+    return spark.read.schema(stream.schema).parquet(sink).select("simulation_id", "horizon", "entry_price", "final_price", "outcome", rnd("net"))
 
 
 @query(
@@ -204,3 +240,43 @@ def t12_activity_sessions(spark, sf):
 )
 def t13_sliding_bars(spark, sf):
     return to_table(spark, SB.sliding_bars(replay(spark, I.ticks(spark, sf), "event_time"), 3 * 3600, 3600))
+
+
+class _Appending:
+    """A consumer that appends what it gets, so that a batch taken twice would show; one batch fails the first time."""
+
+    def __init__(self, path: str, fails_once_in: int | None = None):
+        self.path, self.fails_once_in = path, fails_once_in
+
+    def consume(self, signals, batch_id):
+        if batch_id == self.fails_once_in:
+            self.fails_once_in = None
+            raise RuntimeError("consumer not reachable")
+        signals.write.mode("append").parquet(self.path)
+
+
+@query(
+    "f3_consumers_replayed_alone",
+    """SELECT consumer, event_type AS instrument, count(*) AS rows, count(DISTINCT event_id) AS events, round(sum(value), 4) AS total
+       FROM events, (VALUES ('steady'), ('failing')) c(consumer) GROUP BY ALL""",
+)
+def f3_consumers_replayed_alone(spark, sf):
+    """Two consumers of one stream; one fails in the third micro-batch, and only it gets that batch again."""
+    from pyspark.errors import StreamingQueryException
+
+    from tickloom.plugins import fan_out_committed
+    from tickloom.sources.commits import CommitLog
+
+    root = scratch_path(spark, "consumers")
+    rows = I.table(spark, sf, "events").select(F.col("event_type").alias("instrument"), "event_id", "value", F.col("ts").cast("timestamp").alias("event_time"))
+    stream = replay(spark, rows, "event_time")
+    consumers = {"steady": _Appending(f"{root}/steady"), "failing": _Appending(f"{root}/failing", 2)}
+    each = fan_out_committed(consumers, {n: CommitLog(spark, f"{root}/log-{n}") for n in consumers})
+    try:
+        run_available(stream, f"{root}/checkpoint", each=each)
+    except StreamingQueryException:
+        run_available(stream, f"{root}/checkpoint", each=each)
+    taken = [spark.read.schema(rows.schema).parquet(c.path).withColumn("consumer", F.lit(n)) for n, c in consumers.items()]
+    return taken[0].unionByName(taken[1]).groupBy("consumer", "instrument").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("events"), F.round(F.sum("value"), 4).alias("total")
+    )

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.signals import as_signals
+from tickloom.sources.commits import CommitLog
+from tickloom.sources.tables import WriteConflict
 
 VariantFilter = Column | Callable[[DataFrame], DataFrame] | None
 
@@ -63,3 +65,31 @@ def fan_out(consumers: Sequence[SignalConsumer]) -> Callable[[DataFrame, int], N
             batch.unpersist()
 
     return each
+
+
+def fan_out_committed(consumers: Mapping[str, SignalConsumer], logs: Mapping[str, CommitLog]) -> Callable[[DataFrame, int], None]:
+    """As ``fan_out``, with a commit log per consumer: after a failure the batch is handed again only to those that did not take it.
+
+    Every consumer gets its turn even when one before it fails; the first error is raised at the end, so that the stream
+    stops and runs the batch again. A consumer that fails after part of its work sees the whole batch again.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        open_ = [name for name in consumers if (last := logs[name].latest()) < 0 or logs[name].read(last)["batch"] < batch_id]
+        failed: list[Exception] = []
+        batch.persist()
+        try:
+            for name in open_:
+                try:
+                    consumers[name].consume(batch, batch_id)
+                except Exception as error:
+                    failed.append(error)
+                    continue
+                if not logs[name].commit(logs[name].latest() + 1, {"batch": batch_id}):
+                    raise WriteConflict(f"two streams feed the consumer {name}")
+        finally:
+            batch.unpersist()
+        if failed:
+            raise failed[0]
+
+    return each

@@ -50,6 +50,11 @@ def job_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/tickloom-{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def drop_pinned(spark: SparkSession) -> None:
     """Remove what this application pinned, once its results are written elsewhere."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(job_folder(spark))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.columns import effective_available, interval_start, selected_price
 from tickloom.functions.quality import merged_flags, tick_issues
 from tickloom.operators.bars import order_key
+from tickloom.operators.scan import range_chunks, run_max, running
+from tickloom.sources.commits import SnapshotTable
 from tickloom.streaming.support import BatchTable
 
 
@@ -53,16 +58,15 @@ def first_seen(ticks: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 class LateRecorder:
-    """Per-batch split into rows for open intervals and rows that came too late.
+    """Split of the arriving rows into those for open intervals and those that came too late.
 
-    An interval is closed once a later batch has opened a newer one. Late rows are kept
-    with an issue code and never merged.
+    An interval is closed for a series once a row of a newer one has arrived before, in the order of ``arrival``. So a row's fate depends on the
+    rows before it and not on how they fall into micro-batches. Late rows are kept with an issue code and never merged.
+    Between micro-batches one row per series, its newest interval, is carried; inside one the rows are scanned by ranges.
     """
 
-    def __init__(self, spark, path: str, tf: int, schema):
-        from pyspark.sql import types as T
-
-        self.tf = tf
+    def __init__(self, spark, path: str, tf: int, schema, arrival: Sequence[str] = ("arrival",)):
+        self.tf, self.arrival = tf, list(arrival)
         progress = T.StructType([T.StructField("instrument", T.StringType()), T.StructField("newest", T.TimestampType())])
         late = T.StructType([*schema.fields, T.StructField("issue", T.StringType())])
         self.progress = BatchTable(spark, f"{path}/progress", progress)
@@ -70,29 +74,29 @@ class LateRecorder:
         self.late = BatchTable(spark, f"{path}/late", late)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        start = interval_start("event_time", self.tf)
-        seen = self.progress.read(before=batch_id).groupBy("instrument").agg(F.max("newest").alias("_newest"))
-        rows = batch.withColumn("_start", start).join(seen, "instrument", "left")
-        late = F.coalesce(F.col("_start") < F.col("_newest"), F.lit(False))
+        carried = self.progress.read(only=batch_id - 1)
+        order = range_chunks(batch.withColumn("_start", interval_start("event_time", self.tf)), ["instrument"], self.arrival)
+        rows = running(order, ["instrument"], self.arrival, {"_seen": run_max("_start")}, inclusive=False).join(carried, "instrument", "left")
+        late = F.coalesce(F.col("_start") < F.greatest("_seen", "newest"), F.lit(False))
         self.on_time.write(rows.where(~late), batch_id)
         self.late.write(rows.where(late).withColumn("issue", F.lit("late_closed_interval")), batch_id)
-        self.progress.write(rows.where(~late).groupBy("instrument").agg(F.max("_start").alias("newest")), batch_id)
+        newest = order.select("instrument", F.col("_start").alias("newest")).unionByName(carried)
+        self.progress.write(newest.groupBy("instrument").agg(F.max("newest").alias("newest")), batch_id)
 
 
 class NativePreferred:
-    """Per-batch merge of bars from two origins: native above derived, copies ignored."""
+    """Per-batch merge of bars from two origins: native above derived, copies ignored.
+
+    Bars lie in one partition per month of their start; a delivery rewrites the months it has bars of, and a commit
+    then switches readers over. A delivery that comes again changes nothing.
+    """
 
     def __init__(self, spark, path: str, schema):
-        self.table = BatchTable(spark, path, schema)
+        rank = F.struct((F.col("origin") == "native").cast("int"), "available_at", "close")
+        self.table = SnapshotTable(spark, path, schema, ["instrument", "tf_seconds", "start"], F.date_format("start", "yyyy-MM"), rank)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self.table.write(batch, batch_id)
+        self.table.merge(batch, batch_id)
 
     def current(self) -> DataFrame:
-        keys = ["instrument", "tf_seconds", "start"]
-        rows = self.table.read()
-        rest = [c for c in rows.columns if c not in keys]
-        rank = F.struct((F.col("origin") == "native").cast("int"), "available_at", "close")
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_r"))
-        return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-
+        return self.table.read()

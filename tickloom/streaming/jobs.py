@@ -1,19 +1,14 @@
-"""Per-batch jobs over tables: signals on closed bars, and outcomes that wait for prices."""
+"""Per-batch jobs over tables: signals on closed bars, and the quote book."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.columns import plus_seconds
 from tickloom.functions.quality import freshness
-from tickloom.operators import outcomes
 from tickloom.operators.book import quote_book
 from tickloom.operators.signals import as_signals, donchian
-from tickloom.session import pin
 from tickloom.streaming.support import BatchTable
 
 SIGNAL = T.StructType([
@@ -21,12 +16,6 @@ SIGNAL = T.StructType([
     T.StructField("direction", T.StringType()), T.StructField("detected_at", T.TimestampType()),
     T.StructField("strategy", T.StringType()),
 ])
-POINT = T.StructType([
-    T.StructField("instrument", T.StringType()), T.StructField("event_time", T.TimestampType()),
-    T.StructField("available_at", T.TimestampType()), T.StructField("price", T.DoubleType()),
-    T.StructField("ordinal", T.LongType()), T.StructField("point_id", T.StringType()),
-])
-
 
 class SignalJob:
     """Channel-breakout signals for the bars of each micro-batch.
@@ -87,55 +76,6 @@ class BookJob:
         self.held.write(self._newest(rows), batch_id)
 
 
-class OutcomeJob:
-    """Outcomes that settle once every price that could matter has been seen.
-
-    A pending item is settled when the newest availability seen passes its expiry plus the
-    allowed age. While the capture is open, a missing price never becomes final; ``finish``
-    closes the capture and labels the rest.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, horizons: Sequence[float], rule: outcomes.Contract):
-        self.spark, self.horizons, self.rule = spark, list(horizons), rule
-        self.points = BatchTable(spark, f"{path}/points", POINT)
-        self.signals = BatchTable(spark, f"{path}/signals", SIGNAL)
-        self.path = path
-        self.settled: BatchTable | None = None
-
-    def _label(self, upto: int, complete: bool) -> DataFrame:
-        signals = self.signals.read(before=upto)
-        done = self.settled.read(before=upto - 1) if self.settled is not None else None
-        if done is not None:
-            counts = done.groupBy("signal_id").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= len(self.horizons))
-            signals = signals.join(counts.select("signal_id"), "signal_id", "left_anti")
-        oldest = signals.agg(F.min("detected_at")).scalar()
-        points = self.points.read(before=upto).where(F.col("event_time") >= oldest)
-        rows = outcomes.label(signals, points, self.horizons, self.rule, complete=complete)
-        rows = rows.select(
-            "simulation_id", "signal_id", "instrument", "direction", "horizon", "entry_price", "final_price", "entry_use_time", "expiry",
-            "outcome", "net", "reason",
-        )
-        return rows if done is None else rows.join(done.select("simulation_id"), "simulation_id", "left_anti")
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self.points.write(batch.where(F.col("kind") == "point"), batch_id)
-        self.signals.write(batch.where(F.col("kind") == "signal"), batch_id)
-        seen = self.points.read(before=batch_id + 1).agg(F.max("available_at")).scalar()
-        rows = self._label(batch_id + 1, complete=False)
-        due = rows.where(F.col("final_price").isNotNull() & (plus_seconds("expiry", self.rule.max_age_seconds) <= seen))
-        if self.settled is None:
-            self.settled = BatchTable(self.spark, f"{self.path}/settled", rows.schema)
-        self.settled.write(due, batch_id)
-
-    def pending(self, upto: int) -> DataFrame:
-        return self._label(upto, complete=False)
-
-    def finish(self, last_batch: int) -> DataFrame:
-        """Everything settled so far plus the final word on the rest."""
-        rest = self._label(last_batch + 2, complete=True)
-        return self.settled.read().unionByName(pin(rest))
-
-
 def status_snapshot(bars: DataFrame, now, *, max_feed_age: float, max_bar_age: float) -> DataFrame:
     """Freshness per instrument over the latest stored rows."""
     return freshness(

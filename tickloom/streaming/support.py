@@ -34,14 +34,16 @@ class BatchTable:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """All batches, or those before a batch number; empty when nothing is there."""
+    def read(self, before: int | None = None, only: int | None = None) -> DataFrame:
+        """All batches, those before a batch number, or one; empty when nothing is there."""
         if not self.exists():
             return self.spark.createDataFrame([], self.schema)
         full = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
         rows = self.spark.read.schema(full).parquet(self.path)
         if before is not None:
             rows = rows.where(F.col("batch_id") < before)
+        if only is not None:
+            rows = rows.where(F.col("batch_id") == only)
         return rows.drop("batch_id")
 
 
@@ -64,12 +66,14 @@ def guard_checkpoint(spark: SparkSession, path: str, config: dict) -> str:
     return f"{path}/checkpoint"
 
 
-def run_available(stream: DataFrame, checkpoint: str, *, sink: str | None = None, each=None, mode: str = "append", timeout: int = 600) -> None:
-    """Process what is there now and stop; to a Parquet sink or a per-batch function."""
+def run_available(stream: DataFrame, checkpoint: str, *, sink: str | None = None, each=None, mode: str = "append", timeout: int | None = None) -> None:
+    """Process what is there now and stop; to a Parquet sink or a per-batch function. ``timeout`` (seconds) is for tests."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.foreachBatch(each).start() if each is not None else writer.format("parquet").start(sink)
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError("the stream did not finish in time")
     finally:
         query.stop()
