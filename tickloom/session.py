@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SCOPE: ContextVar[str] = ContextVar("tickloom_pins", default="main")
 
 
 def local_session(cores: str = "8", app: str = "tickloom") -> SparkSession:
@@ -55,12 +59,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def drop_pinned(spark: SparkSession) -> None:
-    """Remove what this application pinned, once its results are written elsewhere."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(job_folder(spark))
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def drop_pinned(spark: SparkSession, scope: str | None = None) -> None:
+    """Remove what this application pinned, or pinned in one scope, once its results are stored elsewhere."""
+    drop_folder(spark, job_folder(spark) if scope is None else f"{job_folder(spark)}/pinned/{scope}")
+
+
+@contextmanager
+def pins(scope: str) -> Iterator[None]:
+    """Tables pinned inside belong to ``scope``, so that they can be dropped without the others."""
+    before = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -69,7 +87,7 @@ def pin(df: DataFrame) -> DataFrame:
     Parquet rather than RDD checkpointing keeps column pruning on the way back.
     """
     spark = df.sparkSession
-    path = f"{job_folder(spark)}/pinned/{uuid.uuid4().hex}"
+    path = f"{job_folder(spark)}/pinned/{_SCOPE.get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
