@@ -36,7 +36,8 @@ from tickloom.session import pin, shuffle_width
 
 WIDTH = 5
 PERCENT = 80
-FREQUENT = 65_536  # length of the list of frequent shingles; it orders them, nothing is left out by it
+FREQUENT = 1 << 20  # length of the list of frequent shingles; it orders them, nothing is left out by it
+SALTED = 65_536  # of the list: the rows of so many shingles are spread by salt
 LEAF = 16
 BLOCK_SHINGLES = 400_000  # of all sets of a block together
 FIRST_TOKENS = 4
@@ -146,35 +147,49 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def in_order(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Tokens of a set in the total order: frequent ones last, else by value."""
-    if not len(frequent):
-        return tokens
-    late = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-    return np.concatenate((tokens[~late], tokens[late]))
+class Frequent:
+    """The list of frequent shingles, and the place of each in it, 0 for the most frequent."""
 
+    def __init__(self, most_first: np.ndarray) -> None:
+        order = np.argsort(most_first, kind="stable")
+        self.tokens, self.place = most_first[order], order.astype(np.int32)
 
-def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """-1 for a shingle that is not in the list."""
+        if not len(self.tokens):
+            return np.full(len(tokens), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.place[at], -1)
+
+    def in_order(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of a set in the total order, and their places: those that are not in the list by value, then the others, the most frequent last."""
+        place = self.places(tokens)
+        early = place < 0
+        late = np.flatnonzero(~early)
+        order = np.concatenate((np.flatnonzero(early), late[np.argsort(-place[late])]))
+        return tokens[order], place[order]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa.RecordBatch]:
     """Rows (token, node, salt) of the prefixes; the rows of a frequent token are spread by salt (1 to 64)."""
     shingler, done = Shingler(), set()
     for batch in batches:
         for _, _, data, offs in slices(batch.column(0)):
-            tokens, nodes = [], []
+            tokens, nodes, places = [], [], []
             for s in shingler.sets(data, offs):
                 if not len(s) or (node := node_id(s)) in done:
                     continue
                 if len(done) < 500_000:  # copies met again in this task need no second set of rows
                     done.add(node)
-                first = in_order(s, frequent)[: prefix_length(len(s))]
+                first, place = (x[: prefix_length(len(s))] for x in frequent.in_order(s))
                 tokens.append(first)
+                places.append(place)
                 nodes.append(np.full(len(first), node, np.int64))
             if not tokens:
                 continue
             token, node = np.concatenate(tokens), np.concatenate(nodes)
-            late = np.zeros(len(token), bool)
-            if len(frequent):
-                late = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
-            salt = np.where(late, 1 + (node & 63), 0).astype(np.int8)
+            place = np.concatenate(places)
+            salt = np.where((place >= 0) & (place < SALTED), 1 + (node & 63), 0).astype(np.int8)
             yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(node), pa.array(salt)], names=["token", "node", "salt"])
 
 
@@ -497,8 +512,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     rows = described.where("n is not null").select("doc_id", "key", "n", "node", "vector")
     hits = described.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits"))
     top = hits.orderBy(F.desc("hits"), "token").limit(FREQUENT).select("token").toPandas()["token"]
-    frequent = np.sort(top.to_numpy(np.int64).astype(np.uint64))
-    shared_list = spark.sparkContext.broadcast(frequent)
+    shared_list = spark.sparkContext.broadcast(Frequent(top.to_numpy(np.int64).astype(np.uint64)))
     prefixes = docs.select("text").mapInArrow(lambda b: _prefixes(b, shared_list.value), "token long, node long, salt byte")
     ordered = prefixes.repartition(shuffle_width(spark), "token", "salt").sortWithinPartitions("token", "node")
     shared = pin(ordered.mapInArrow(_shared, "token long, node long"))
