@@ -19,7 +19,7 @@ def test_one_query_per_operator():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert "pipeline" in names and set(QUERIES) <= set(names)
 
 
