@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import codes, day_block
 from tickloom.functions.statistics import draw, expected_max_normal, normal_cdf, psr_statistic
-from tickloom.session import shuffle_width
+from tickloom.session import pin, shuffle_width
 
 
 def moments(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -49,6 +49,9 @@ def deflated_sharpe(rows: DataFrame, trial: str, value: str, *, registered: int
     return out.withColumn("dsr", normal_cdf("statistic"))
 
 
+TILE_VALUES = 50_000  # numbers of all the keys that are resampled together
+
+
 def _series(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
     """One row per key with its daily or block values as an array in order."""
     packed = F.array_sort(F.collect_list(F.struct(order, *[F.col(f).cast("double").alias(f) for f in fields])))
@@ -130,7 +133,8 @@ def ratio_bootstrap(
     """Resample whole blocks; mean Σ value / Σ episodes and its one-sided lower bound.
 
     The drawn indexes depend on seed, iteration and slot only, so keys with the same
-    blocks share one schedule and their bounds are comparable.
+    blocks share one schedule and their bounds are comparable. ``status`` is NOT_ASSESSED, without a bound, for a key
+    with fewer than two blocks or without an episode in any resample.
     """
     series = _series(blocks, keys, "block", ["total", "episodes"])
     point = series.withColumns({
@@ -138,21 +142,30 @@ def ratio_bootstrap(
         "_cnt": F.aggregate("_s", F.lit(0.0), lambda a, s: a + s["episodes"]),
         "zero_blocks": F.size(F.filter("_s", lambda s: s["episodes"] == 0)),
     })
-    # One schedule serves all keys with as many blocks: indexes are drawn once per iteration, then applied to each key.
-    alike = series.where(F.col("_n") >= 2).groupBy("_n").agg(F.collect_list(F.struct(*keys, "_s")).alias("_k"))
+    # One schedule serves all keys with as many blocks: its indexes are drawn once, written down, and applied to tiles of keys.
+    many = series.where(F.col("_n") >= 2)
+    alike = many.groupBy("_n").agg(F.ceil(F.count(F.lit(1)) * F.col("_n") / TILE_VALUES).alias("_tiles"))
+    tile = F.pmod(F.xxhash64(*keys), F.col("_tiles"))
+    tiles = many.join(alike, "_n").withColumn("_tile", tile).groupBy("_n", "_tile").agg(F.collect_list(F.struct(*keys, "_s")).alias("_k"))
     slots = F.sequence(F.lit(0), F.col("_n") - 1)
     picks = F.transform(slots, lambda slot: draw(seed, F.col("iteration"), slot, below=F.col("_n")).cast("int"))
-    rows = _iterate(alike, ["_n"], iterations).select("_k", picks.alias("_p")).select("_p", F.explode("_k").alias("_k")).select("_k.*", "_p")
-    drawn = rows.select(
+    drawn = pin(_iterate(alike.select("_n"), ["_n"], iterations).select("_n", "iteration", picks.alias("_p")))
+    copies = 4 * shuffle_width(series.sparkSession)
+    spread = tiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    # The rows are few bytes but much work: a given number of partitions is not merged into fewer.
+    dealt = drawn.withColumn("_salt", F.pmod(F.col("iteration"), F.lit(copies)).cast("int")).repartition(copies, "_n", "_salt")
+    rows = dealt.join(spread, ["_n", "_salt"])
+    applied = rows.select("_p", F.explode("_k").alias("_k")).select("_k.*", "_p").select(
         *keys, F.aggregate("_p", F.lit(0.0), lambda a, i: a + F.get("_s", i)["total"]).alias("_t"),
         F.aggregate("_p", F.lit(0.0), lambda a, i: a + F.get("_s", i)["episodes"]).alias("_c"),
     )
-    ratios = drawn.where(F.col("_c") > 0).groupBy(*keys).agg(
+    ratios = applied.where(F.col("_c") > 0).groupBy(*keys).agg(
         F.percentile(F.col("_t") / F.col("_c"), F.lit(alpha)).alias("lower_bound"), F.count(F.lit(1)).alias("resamples")
     )
-    return point.select(
+    out = point.select(
         *keys, "blocks", "zero_blocks", F.col("_cnt").cast("bigint").alias("episodes"), F.try_divide("_tot", "_cnt").alias("mean"),
-    ).join(ratios, list(keys), "left")
+    ).join(ratios, list(keys), "left").withColumn("resamples", F.coalesce("resamples", F.lit(0).cast("bigint")))
+    return out.withColumn("status", F.when(F.col("lower_bound").isNotNull(), "ASSESSED").otherwise("NOT_ASSESSED"))
 
 
 def aligned(blocks: DataFrame, candidate: str) -> DataFrame:

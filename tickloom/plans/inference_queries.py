@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import day_block
@@ -124,7 +123,8 @@ def sql_ratio(seed: int, iterations: int, alpha: float, source: str = "blocks")
       rb AS (SELECT variant, quantile_cont(t / c, {alpha}) AS lower_bound, count(*) AS resamples FROM rb_r WHERE c > 0 GROUP BY 1)"""
 
 
-RATIO_SELECT = """SELECT variant, n AS blocks, zero_blocks, rb_n.episodes, round(mean, 6) AS mean, round(lower_bound, 6) AS lower_bound, resamples FROM rb_n JOIN rb USING (variant)"""
+RATIO_SELECT = """SELECT variant, n AS blocks, zero_blocks, rb_n.episodes, round(mean, 6) AS mean, round(lower_bound, 6) AS lower_bound, coalesce(resamples, 0) AS resamples,
+    CASE WHEN lower_bound IS NULL THEN 'NOT_ASSESSED' ELSE 'ASSESSED' END AS status FROM rb_n LEFT JOIN rb USING (variant)"""
 
 
 @query(
@@ -134,7 +134,7 @@ RATIO_SELECT = """SELECT variant, n AS blocks, zero_blocks, rb_n.episodes, round
 def a29_ratio_bootstrap(spark, sf):
     blocks = pin(S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=14))
     out = S.ratio_bootstrap(blocks, ["variant"], iterations=DRAWS, seed=SEED + 14, alpha=ALPHA)
-    return out.select("variant", F.col("blocks").cast("bigint").alias("blocks"), F.col("zero_blocks").cast("bigint").alias("zero_blocks"), "episodes", rnd("mean"), rnd("lower_bound"), "resamples")
+    return out.select("variant", F.col("blocks").cast("bigint").alias("blocks"), F.col("zero_blocks").cast("bigint").alias("zero_blocks"), "episodes", rnd("mean"), rnd("lower_bound"), "resamples", "status")
 
 
 @query(
@@ -149,7 +149,7 @@ def a30_joint_aligned_bootstrap(spark, sf):
     blocks = S.calendar_blocks(episodes(spark, sf), ["variant"], "r", "close_at", width=28)
     shared = pin(S.aligned(pin(blocks), "variant"))  # a block without episodes is a block
     out = S.ratio_bootstrap(shared, ["variant"], iterations=DRAWS, seed=SEED + 28, alpha=ALPHA)
-    return out.select("variant", F.col("blocks").cast("bigint").alias("blocks"), F.col("zero_blocks").cast("bigint").alias("zero_blocks"), "episodes", rnd("mean"), rnd("lower_bound"), "resamples")
+    return out.select("variant", F.col("blocks").cast("bigint").alias("blocks"), F.col("zero_blocks").cast("bigint").alias("zero_blocks"), "episodes", rnd("mean"), rnd("lower_bound"), "resamples", "status")
 
 
 STRESS = "((net - cost)::DOUBLE / notional::DOUBLE)"  # every cost is paid twice
@@ -175,7 +175,7 @@ STRESS = "((net - cost)::DOUBLE / notional::DOUBLE)"  # every cost is paid twice
     ),
 )
 def a39_candidate_evidence(spark, sf):
-    led = pin(I.closed_trades(spark, sf).select("variant", "close_at", "net", "cost", "notional"))
+    led = pin(I.closed_trades(spark, sf).select("trade_id", "variant", "close_at", "net", "cost", "notional"))
     stressed = led.where("net IS NOT NULL AND cost IS NOT NULL")
     stress = stressed.where("notional > 0").select("variant", "close_at", ((F.col("net") - F.col("cost")).cast("double") / F.col("notional").cast("double")).alias("r"))
 
@@ -190,8 +190,7 @@ def a39_candidate_evidence(spark, sf):
     facts = led.groupBy("variant").agg(
         F.count_if(F.col("cost").isNull()).alias("unknown_costs"), F.count_if(F.col("notional").isNull() | (F.col("notional") <= 0)).alias("invalid_r"), F.sum("notional").cast("double").alias("notional"),
     )
-    rank = Window.partitionBy("variant").orderBy(F.desc("net"))
-    best = led.where("net IS NOT NULL").withColumn("rn", F.row_number().over(rank)).groupBy("variant").agg(F.sum(F.when(F.col("rn") > 5, F.col("net"))).cast("double").alias("drop_best"))
+    best = L.drop_best(led, ["variant"], "net", "trade_id", 5).select("variant", F.col("without_best").cast("double").alias("drop_best"))
     rows = base.join(under, "variant").join(worst, "variant").join(facts, "variant").join(best, "variant")
     rows = rows.withColumn("drawdown", F.col("max_drawdown") / F.col("notional")).withColumnRenamed("variant", "candidate")
     out = S.evidence(rows)

@@ -431,6 +431,40 @@ def j13_comparable_experiments(spark, sf):
     return runs.join(full.select("variant"), "variant", "left_semi")
 
 
+IDENTITY = ("product", "instrument", "data_hash", "execution_model")
+
+
+@query(
+    "j13_identity_check",
+    with_ctes(
+        *LABELLED,
+        """r AS (SELECT instrument, strategy, horizon, count(*) AS trials, round(sum(net) * 100)::BIGINT AS cents FROM outc GROUP BY ALL),
+           h AS (SELECT instrument, count(*) || ':' || max(seq) AS data_hash FROM quotes GROUP BY 1),
+           x AS (SELECT *, 'fixed' AS product, CASE strategy WHEN 'ema_cross' THEN 'touch' ELSE 'close' END AS execution_model FROM r LEFT JOIN h USING (instrument)),
+           c AS (SELECT 'instrument ' || instrument AS comparison, * FROM x UNION ALL SELECT 'strategy ' || strategy, * FROM x UNION ALL SELECT 'pair ' || instrument || ' ' || strategy, * FROM x),
+           g AS (SELECT comparison, count(*) AS runs, count(DISTINCT instrument) AS i, count(DISTINCT data_hash) AS d, count(DISTINCT execution_model) AS e,
+              string_agg(strategy || '/' || instrument || '/' || horizon::BIGINT || '=' || cents, ',' ORDER BY strategy, instrument, horizon) AS results FROM c GROUP BY 1)""",
+        select="""SELECT comparison, CASE WHEN i = 1 AND d = 1 AND e = 1 THEN 'COMPARED' ELSE 'INCOMPATIBLE' END AS state,
+             concat_ws(',', CASE WHEN i > 1 THEN 'instrument' END, CASE WHEN d > 1 THEN 'data_hash' END, CASE WHEN e > 1 THEN 'execution_model' END) AS mismatches, runs,
+             CASE WHEN i = 1 AND d = 1 AND e = 1 THEN results END AS results FROM g""",
+    ),
+)
+def j13_identity_check(spark, sf):
+    """Trials compared within an instrument, within a strategy, and within both: only the last share data and execution model."""
+    from tickloom.operators.comparisons import compare
+
+    trials = labelled(spark, sf).groupBy("instrument", "strategy", "horizon").agg(F.count(F.lit(1)).alias("trials"), F.round(F.sum("net") * 100).cast("bigint").alias("cents"))
+    data = I.quotes(spark, sf).groupBy("instrument").agg(F.concat_ws(":", F.count(F.lit(1)), F.max("seq")).alias("data_hash"))
+    runs = trials.join(data, "instrument", "left").withColumns({
+        "product": F.lit("fixed"), "execution_model": F.when(F.col("strategy") == "ema_cross", "touch").otherwise("close"),
+        "variant": F.struct("strategy", "instrument", F.col("horizon").cast("bigint").alias("horizon")),
+    })
+    names = F.array(F.concat_ws(" ", F.lit("instrument"), "instrument"), F.concat_ws(" ", F.lit("strategy"), "strategy"), F.concat_ws(" ", F.lit("pair"), "instrument", "strategy"))
+    out = compare(runs.withColumn("comparison", F.explode(names)), ["comparison"], IDENTITY, "variant", ["cents"])
+    shown = F.transform("side_by_side", lambda r: F.concat(F.concat_ws("/", r["variant"]["strategy"], r["variant"]["instrument"], r["variant"]["horizon"].cast("string")), F.lit("="), r["cents"].cast("string")))
+    return out.select("comparison", "state", text_list("mismatches"), "runs", F.array_join(shown, ",").alias("results"))
+
+
 @query(
     "x4_forward_outcomes",
     with_ctes(*LABELLED, select="""SELECT simulation_id, instrument, direction, horizon, entry_price, final_price, entry_use_time, expiry, outcome, round(net, 6) AS net,
