@@ -39,6 +39,7 @@ PERCENT = 80
 FREQUENT = 1 << 20  # length of the list of frequent shingles; it orders them, nothing is left out by it
 SALTED = 65_536  # of the list: the rows of so many shingles are spread by salt
 LEAF = 16
+FILTER_BITS = 1 << 27  # of the filter that keeps the texts of nodes without a partner out of a shuffle
 BLOCK_SHINGLES = 400_000  # of all sets of a block together
 FIRST_TOKENS = 4
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -469,6 +470,24 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.unionByName(lone.join(nodes.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose node may be in ``wanted``: a bit filter of fixed size, whose false hits a join drops later."""
+    place = F.shiftrightunsigned(F.xxhash64("node"), 64 - (FILTER_BITS - 1).bit_length()) + 1  # Spark's bitmaps count from 1
+    parts = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.collect():  # FILTER_BITS / 8 bytes at most
+        bits[4096 * (r["part"] - 1) : 4096 * r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False) - 1
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hit)) for i in (0, 1)], names=["node", "text"])
+
+    return texts.select("node", "text", place.alias("place")).mapInArrow(keep, "node long, text string")
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -525,7 +544,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     edges = pin(_links(candidates, texts))
     open_ = _blocks(_open_buckets(shared, nodes, components(edges)))
     alike = pin(_in_blocks(open_, nodes, "vector", _with_partner, _BLOCK_SCHEMA))
-    edges = edges.unionByName(_in_blocks(alike, texts, "text", _link_forest, "a long, b long"))
+    edges = edges.unionByName(_in_blocks(alike, _only(texts, alike), "text", _link_forest, "a long, b long"))
     roots = components(edges).withColumnRenamed("root", "found")
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")
     member = rows.groupBy("node").agg(F.min(order).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("found", "node"))
