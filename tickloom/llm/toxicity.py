@@ -49,25 +49,28 @@ def token_hashes(hasher: Hasher, small: np.ndarray, starts: np.ndarray, ends: np
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring runs (first, after the last, sum) of a list of scores, in linear time."""
-    found: list[list[float]] = []  # first, end, sum before, sum after
+    """All maximal scoring runs (first, after the last, sum) of a list of scores, in linear time.
+
+    Each candidate keeps the place of the last one before it with a smaller sum before; only these links are followed,
+    and the candidates a link skips are not looked at again.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, link
     total = 0.0
     for i, s in enumerate(scores):
         if s <= 0:
             total += s
             continue
-        run = [i, i + 1, total, total + s]
-        total += s
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= run[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= run[3]:
-                found.append(run)
-                break
-            run = [found[j][0], run[1], found[j][2], run[3]]
-            del found[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in found]
+        first, end, before, after = i, i + 1, total, total + s
+        total = after
+        link = len(found) - 1
+        while link >= 0 and found[link][2] >= before:
+            link = found[link][4]
+        while link >= 0 and found[link][3] < after:
+            place = link
+            first, _, before, _, link = found[place]
+            del found[place:]
+        found.append((first, end, before, after, link))
+    return [(int(a), int(b), after - before) for a, b, before, after, _ in found]
 
 
 @dataclass
@@ -206,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     rows = labels.where(~held_out(labels) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     total = rows.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    # The list of drawn rows is bounded by ``train_rows`` and may be broadcast.
-    drawn = rows.where(draw < min(1.0, 0.95 * train_rows / max(1, total)) * 1_000_000).limit(train_rows)
+    # The list of drawn rows is bounded by ``train_rows`` and may be broadcast; beyond that bound the lowest hashes stay, not any rows.
+    drawn = rows.where(draw < min(1.0, 1.05 * train_rows / max(1, total)) * 1_000_000).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(train_rows)
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
     counts = sample.where(~calibrates).select("toxic", "text").mapInArrow(_counted, "word long, toxic long, clean long")
@@ -250,7 +253,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``segments`` holds the toxic passages: code points from ``start`` to before ``end``, their score and
     the natural log of how often clean text of that length has such a passage. Null and empty texts have
-    none and the lowest score. Columns of these names are replaced; nothing is shuffled.
+    none and the lowest score. Repeated rows are scored alike, an empty table gives an empty one. Columns of these
+    names are replaced; nothing is shuffled.
     """
     names = [c for c in docs.columns if c not in ADDED]
     place = names.index("text")
