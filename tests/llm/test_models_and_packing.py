@@ -35,6 +35,14 @@ def test_maximal_segments(s):
     assert toxicity.maximal_segments(s) == brute_segments(s)
 
 
+@pytest.mark.parametrize("gap", [-3.0, -0.25])
+def test_maximal_segments_of_very_many_hits(gap):
+    """Isolated hits with a falling, and joined hits with a rising sum: a scan that looks back at all of them would not end."""
+    n = 300_000
+    found = toxicity.maximal_segments([1.0, gap] * n)
+    assert found == ([(2 * i, 2 * i + 1, 1.0) for i in range(n)] if gap < -1 else [(0, 2 * n - 1, 1.0 + 0.75 * (n - 1))])
+
+
 def labelled_docs(spark):
     rows, labels = [], []
     for i in range(600):
@@ -189,6 +197,23 @@ def test_packed_ids_equal_the_tokenizer(spark, odd, odd_rows, empty):
     assert packing.pack(empty, vocabulary).count() == 0
 
 
+def test_groups_end_by_tokens_too(spark):
+    """A group of few tokens is packed by itself: sequences of one group only, every id once."""
+    vocabulary = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, "ab cd " * (5 + i % 7)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    whole = packing.pack(docs, vocabulary).collect()
+    parts = packing.pack(docs, vocabulary, group_tokens=100).collect()
+    for rows in (whole, parts):  # a document may be cut, and each of its ids is in one piece
+        for i in range(60):
+            mine = sorted((r.start, r.length, r.doc_tokens) for r in rows if r.doc_id == i)
+            assert [s for s, *_ in mine] == [sum(n for _, n, _ in mine[:k]) for k in range(len(mine))] and sum(n for _, n, _ in mine) == mine[0][2]
+    tokens = {}
+    for r in parts:
+        tokens[r.sequence_id] = tokens.get(r.sequence_id, 0) + r.length
+    longest = max(r.doc_tokens for r in parts)
+    assert max(tokens.values()) <= 100 + longest < sum(tokens.values())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab,.é <|\n\u00a0Z'1", max_size=30), min_size=1, max_size=6))
 def test_words_are_encoded_as_whole_texts(texts):

@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences of at most ``SEQUENCE`` tokens.
 
-Documents are dealt evenly to tasks, taken there in groups of ``GROUP`` and packed group by
-group: whole sequences are cut from a long document first, its rest and all shorter
+Documents are dealt evenly to tasks, taken there in groups of ``GROUP`` documents, or fewer that
+make ``GROUP_TOKENS`` tokens, and packed group by group: whole sequences are cut from a long document first, its rest and all shorter
 documents are placed by first-fit decreasing. A tournament tree over the bins holds the
 largest free capacity below each node, so the first bin that fits is found from the root in
 logarithmic time. A group never sees another group's bins; what a task holds is bounded by
@@ -23,6 +23,7 @@ from tickloom.llm.text_bytes import LOWER, NOT_LETTER, Hasher, slices, words
 SEQUENCE = 4096
 END_OF_TEXT = 2
 GROUP = 2048
+GROUP_TOKENS = 1 << 22
 CACHE_WORDS = 1_000_000
 _BETWEEN, _BETWEEN_ID = b"<|endoftext|>", 49407
 
@@ -174,14 +175,15 @@ def _stop_after_letter(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, group: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, group: int, group_tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     tokenizer, base, sequence = WordTokenizer(vocabulary), TaskContext.get().partitionId() << 40, 0
     docs: list[tuple[int | None, np.ndarray]] = []
+    held = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal sequence
+        nonlocal sequence, held
         rows = pack_group([len(ids) for _, ids in docs], capacity)
         crcs = [zlib.crc32(docs[d][1][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in rows]
         out = pa.RecordBatch.from_arrays(
@@ -195,6 +197,7 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, g
         )
         sequence += max((r[3] for r in rows), default=-1) + 1
         docs.clear()
+        held = 0
         return out
 
     for batch in batches:
@@ -202,22 +205,24 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, g
         for lo, _, data, offs in slices(batch.column(1)):
             for i, ids in enumerate(tokenizer.encode(data, offs)):
                 docs.append((doc_ids[lo + i], ids))
-                if len(docs) >= group:
+                held += len(ids)
+                if len(docs) >= group or held >= group_tokens:
                     yield flush()
     if docs:
         yield flush()
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE, group: int = GROUP, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row per piece of a document in a packed sequence (``PIECE_SCHEMA``).
 
     ``vocabulary`` is the path of a tokenizer file that every executor can read. Rows are dealt
     round robin, so a repeated row or a hot source spreads evenly; Spark orders them before
     dealing, so that a retried task deals alike. A null or empty text is the end mark alone. A
-    repeated row is packed each time. Sequence ids are unique, not dense. Other columns are
-    ignored.
+    repeated row is packed each time, an empty table gives an empty one. A group ends with
+    ``group`` documents or ``group_tokens`` tokens, whichever comes first. Sequence ids are
+    unique, not dense. Other columns are ignored.
     """
     spark = docs.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(width)
-    return dealt.mapInArrow(lambda batches: _packed(batches, vocabulary, capacity, group), PIECE_SCHEMA)
+    return dealt.mapInArrow(lambda batches: _packed(batches, vocabulary, capacity, group, group_tokens), PIECE_SCHEMA)
