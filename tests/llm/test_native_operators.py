@@ -1,5 +1,8 @@
 """PII, WARC, URL filter, fingerprints, mixing: brute force and defined results for odd tables."""
 
+import math
+from collections import Counter
+
 import base64
 import hashlib
 import random
@@ -160,6 +163,88 @@ def test_verdicts_do_not_depend_on_the_number_of_siblings(spark):
         assert all(r.verdict == ("block" if "/bad/" in r.path else "allow") for r in got), (sections, each)
 
 
+def plain_judgement(urls, rules):
+    """The method of url_filter written as loops over all levels: (host, path) to (labelled verdict or None, template, purity)."""
+    pages, label = Counter(urls), {}
+    for host, path in pages:
+        fits = [(len(t), v) for v, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith(t[t.index("/") :])]
+        label[host, path] = max(fits)[1] if fits else None
+    segs = {k: k[1].removeprefix("/").split("/") for k in pages}
+    t = {k: () for k in pages}
+    known = {k: pages[k] if label[k] else 0 for k in pages}
+    bad = {k: pages[k] if label[k] == "block" else 0 for k in pages}
+    for level in range(max(map(len, segs.values()))):
+        total, child, told = Counter(), Counter(), Counter()
+        for k in pages:
+            if len(segs[k]) > level:
+                total[k[0], t[k]] += pages[k]
+                child[k[0], t[k], segs[k][level]] += pages[k]
+                told[k[0], t[k], segs[k][level]] += known[k]
+        for k in pages:
+            if len(segs[k]) > level:
+                c = (k[0], t[k], segs[k][level])
+                t[k] += (c[2] if child[c] >= url_filter.RARE * total[c[:2]] or told[c] >= url_filter.SUPPORT else "*",)
+    m = dict(t)
+    for level in reversed(range(max(map(len, segs.values())))):
+        n, b, pn, pb = Counter(), Counter(), Counter(), Counter()
+        place = {k: (k[0], (*m[k][:level], "*", *m[k][level + 1 :])) for k in pages if len(m[k]) > level}
+        for k, q in place.items():
+            n[q, m[k][level]] += known[k]
+            b[q, m[k][level]] += bad[k]
+            pn[q] += known[k]
+            pb[q] += bad[k]
+        for k, q in place.items():
+            x, y = n[q, m[k][level]], b[q, m[k][level]]
+            p = (pb[q] + 1) / (pn[q] + 2)
+            z = abs((y + p) / (x + 1) - (pb[q] - y + p) / (pn[q] - x + 1)) / math.sqrt(p * (1 - p) * (1 / (x + 1) + 1 / (pn[q] - x + 1)))
+            if z < url_filter.SIMILAR:
+                m[k] = q[1]
+    n, b = Counter(), Counter()
+    for k in pages:
+        n[k[0], m[k]] += known[k]
+        b[k[0], m[k]] += bad[k]
+    rate = sum(bad.values()) / max(1, sum(known.values()))
+    return {k: (label[k], "/".join(m[k]), (b[k[0], m[k]] + url_filter.STRENGTH * rate) / (n[k[0], m[k]] + url_filter.STRENGTH)) for k in pages}
+
+
+def test_url_method_equals_plain_version(spark):
+    rules = [("allow", "org/ok/"), ("block", "org/bad/"), ("block", "x.org/s/ads/"), ("allow", "x.org/s/")]
+    urls = [(f"{h}.org", f"/{s}/{w}/{i % k}" + "/deep" * (i % 2 * 6)) for h in "xy" for s, w, k in (("ok", "a", 3), ("bad", "b", 40), ("s", "ads", 2), ("s", "t", 90), ("u", "ads", 60)) for i in range(120)]
+    urls += [("z.org", "/" + "/".join(f"s{j}" for j in range(n))) for n in (1, 9, 30)] + [("y.org", p) for p in ("", "/", "//", "/u")]
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(urls)], "page_id long, url string")
+    want = plain_judgement(urls, rules)
+    got = url_filter.judge(df, rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        says, template, purity = want[r.host, r.path]
+        assert (r.template, round(r.purity, 9)) == (template, round(purity, 9))
+        assert r.verdict == (says or ("block" if purity >= url_filter.REJECT else "allow"))
+
+
+def test_verdicts_do_not_depend_on_the_depth(spark):
+    """Two branches, mostly decided by rules, right below the host and under six segments."""
+    seen = []
+    for above in ("", "/a/b/c/d/e/f"):
+        rules = [("block", f"org{above}/bad/1"), ("allow", f"org{above}/good/1")]
+        rows = [(i, f"http://x.org{above}/{b}/{i % 9}{i}") for b in ("bad", "good") for i in range(300)]
+        got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+        seen.append(sorted((r.path.removeprefix(above), r.verdict) for r in got))
+    assert seen[0] == seen[1] and {p.split("/")[1] + v for p, v in seen[0]} == {"badblock", "goodallow"}
+
+
+def test_warc_headers(spark, tmp_path):
+    rows = [(1, "http://a.org/x y\r\nX: 1/\u00fc", "p" * 10), (2, None, "q"), (None, "", None), (4, "http://b.org/", "q")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), chunk=4)
+    text = "".join(r.value for r in spark.read.option("lineSep", "\r\n\r\n").text(str(tmp_path / "w")).collect())
+    for line in ("http://a.org/x%20y%0D%0AX:%201/%C3%BC", "urn:page:2", "urn:page:", "http://b.org/"):
+        assert f"WARC-Target-URI: {line}\r\n" in text
+    assert text.count("Content-Type: text/html; charset=utf-8\r\n") == 3 and text.count("WARC-Type: revisit") == 1
+    assert text.count("WARC-Target-URI: http://a.org") == text.count("WARC-Segment-Number") == 3
+    assert {(r.page_id, r.payload_bytes, r.record_type) for r in warc.read_records(spark, str(tmp_path / "w")).collect()} == {
+        (1, 10, "response"), (2, 1, "response"), (None, 0, "response"), (4, 1, "revisit"),
+    }
+
+
 def test_fingerprints(spark, odd, odd_rows, empty):
     rows = fingerprint.with_next(odd.where("doc_id is not null").dropDuplicates(["doc_id"]))
     got = {r.doc_id: r for r in rows.select("*", fingerprint.fingerprint(F.col("text")).alias("own"), fingerprint.fingerprint(F.col("edited")).alias("changed")).collect()}

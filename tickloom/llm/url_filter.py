@@ -13,13 +13,13 @@ combine before the shuffle, so a hot host adds rows to no task beyond one per ta
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.session import pin
 
-DEPTH = 6  # deeper segments are one tail segment; none is left out
 RARE = 0.02
 SUPPORT = 5  # labelled pages that a rare segment must have to be judged by its own
 SIMILAR = 2.5
@@ -54,35 +54,45 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def segments(path: Column) -> Column:
-    """The segments of a path, ``DEPTH`` at most: what is deeper is one last segment."""
-    return F.split(F.regexp_replace(path, "^/", ""), "/", DEPTH)
+    """All segments of a path."""
+    return F.split(F.regexp_replace(path, "^/", ""), "/")
 
 
-def _depth(rows: DataFrame, path: str) -> int:
-    return rows.agg(F.coalesce(F.max(F.size(path)), F.lit(0))).first()[0]
+def _generalised(paths: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (host, path, t, labelled, blocked) with ``t``, the template as an array, and the number of levels walked.
 
-
-def _generalised(paths: DataFrame) -> DataFrame:
-    """Add ``t``, the template as an array, to rows (host, s, pages, labelled, ...), level by level."""
-    rows = paths.withColumn("t", F.array().cast("array<string>"))
-    for level in range(_depth(paths, "s")):  # every level is written down, or plans would double with each
-        rows = rows.withColumn("_seg", F.get("s", F.lit(level)))
-        children = rows.where("_seg is not null").groupBy("host", "t", "_seg").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("known"))
-        children = pin(children)
+    A path that is alone below its node leaves the walk: nothing can make its other segments variable, and as only
+    branches of their nodes they would all merge into ``*``, so they are written as ``*`` at once. The walk ends when
+    no path is left, so it takes as many levels as the longest template that several paths share, and one more.
+    """
+    none = F.array().cast("array<string>")
+    active, done, level = paths.withColumn("t", none), [], 0
+
+    def leave(rows: DataFrame, tail: Column) -> None:
+        done.append(rows.select("host", "path", F.concat("t", F.array_repeat(F.lit("*"), tail)).alias("t"), "labelled", "blocked"))
+
+    while True:  # every level is written down, or plans would double with each
+        leave(active.where(F.size("s") <= level), F.lit(0))
+        active = active.where(F.size("s") > level).withColumn("_seg", F.get("s", F.lit(level)))
+        children = pin(active.groupBy("host", "t", "_seg").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("known"), F.count(F.lit(1)).alias("paths")))
+        if children.isEmpty():
+            break
         # The node's own totals: one row per node.
-        nodes = children.groupBy("host", "t").agg(F.sum("pages").alias("total"))
+        nodes = children.groupBy("host", "t").agg(F.sum("pages").alias("total"), (F.sum("paths") == 1).alias("_alone"))
         stable = children.join(nodes, ["host", "t"]).where((F.col("pages") >= RARE * F.col("total")) | (F.col("known") >= SUPPORT))
-        kept = stable.select("host", "t", "_seg", F.lit(True).alias("_kept"))
-        rows = rows.join(kept, ["host", "t", "_seg"], "left")
-        step = F.when(F.col("_seg").isNotNull(), F.array(F.when(F.col("_kept"), F.col("_seg")).otherwise("*"))).otherwise(F.array().cast("array<string>"))
-        rows = pin(rows.withColumn("t", F.concat("t", step)).drop("_seg", "_kept"))
-    return rows
+        kept = stable.select("host", "t", "_seg", F.lit(True).alias("_kept"), "_alone")
+        rows = pin(active.join(kept, ["host", "t", "_seg"], "left"))
+        alone = F.coalesce(F.col("_alone"), F.lit(False))
+        leave(rows.where(alone), F.size("s") - level)
+        step = F.array(F.when(F.col("_kept"), F.col("_seg")).otherwise("*"))
+        active, level = rows.where(~alone).withColumn("t", F.concat("t", step)).drop("_seg", "_kept", "_alone"), level + 1
+    return reduce(DataFrame.unionAll, done), level
 
 
-def _merged(templates: DataFrame) -> DataFrame:
-    """Add ``m``: the template with statistically similar branches merged, from the leaves up."""
+def _merged(templates: DataFrame, levels: int) -> DataFrame:
+    """Add ``m``: the template with statistically similar branches merged, from the leaves up; below ``levels`` all is merged."""
     rows = templates.withColumn("m", F.col("t"))
-    for level in range(_depth(templates, "t"), 0, -1):
+    for level in range(levels, 0, -1):
         at = F.get("m", F.lit(level - 1))
         around = F.transform("m", lambda x, i: F.when(i == level - 1, F.lit("*")).otherwise(x))
         rows = rows.withColumn("_parent", around).withColumn("_branch", at)
@@ -103,7 +113,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
     The rule's verdict stands; else the template's. Null urls and urls without ``://`` have an empty host and path,
     no rule, and form the template of the empty host. Without any labelled url everything is allowed. Repeated rows
-    are rows of their own; other columns are ignored.
+    are rows of their own; an empty table gives an empty one; other columns are ignored.
     """
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -112,9 +122,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     paths = pin(rows.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("pages"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"),
     ))
-    tree = _generalised(paths.select("host", "path", segments(F.col("path")).alias("s"), "pages", "labelled", "blocked")).select("host", "path", "t", "labelled", "blocked")
+    tree, levels = _generalised(paths.select("host", "path", segments(F.col("path")).alias("s"), "pages", "labelled", "blocked"))
+    tree = pin(tree)
     templates = pin(tree.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")))
-    merged = _merged(templates).select("host", "t", "m", "labelled", "blocked")
+    merged = _merged(templates, levels).select("host", "t", "m", "labelled", "blocked")
     whole = merged.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
     rate = whole["b"] / whole["n"] if whole["n"] else 0.0
     purity = (F.sum("blocked") + F.lit(STRENGTH * rate)) / (F.sum("labelled") + F.lit(STRENGTH))
