@@ -6,7 +6,8 @@ SHA-1 state is carried from row to row, so neither writer nor reader ever builds
 Archives are gzip files made by Spark's text writer, one line per segment: they lie wherever the
 given path lies, local or not, and are read by Spark's text reader, cut at the record mark. A payload
 that holds the record mark itself is cut there too; the reader joins such parts again by
-``Content-Length``.
+``Content-Length``. An archive is one gzip member (Spark's codec writes no other), so it is read as a
+stream from its beginning; a record cannot be opened by its offset.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 18
 MARK = "WARC/1.1\r\n"
+_VISIBLE = "".join(map(chr, range(0x21, 0x7F)))
 CHUNK_SCHEMA = "page_id long, chunk_no int, chunk binary, payload_bytes long, payload_digest string, is_last boolean, record_type string, refers_to long"
 
 
@@ -38,13 +41,14 @@ def sha1_base32(data: Column) -> Column:
 
 
 def with_decisions(pages: DataFrame) -> DataFrame:
-    """Per page ``page_id``, ``payload``, its digest, and whether it is a response or a revisit.
+    """Per page ``page_id``, ``url`` (null without such a column), ``payload``, its digest, and whether it is a response or a revisit.
 
     Of equal payloads (length and SHA-1) the smallest page_id is the response; rows that share that
     page_id and payload are responses too. The digest groups are counted from digests alone; the
     payload then moves at most once, to the decision about its own page.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), payload("html").alias("payload"))
+    url = F.col("url") if "url" in pages.columns else F.lit(None)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.cast("string").alias("url"), payload("html").alias("payload"))
     rows = rows.withColumns({"payload_digest": sha1_base32(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
     keys = ["payload_digest", "payload_bytes"]
     ids = rows.select("page_id", *keys)
@@ -77,15 +81,20 @@ def _urn(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
+def _target(url: str | None, page_id: int | None) -> str:
+    """The url in visible ASCII, so that it stays one header line; a page without one is named by its id."""
+    return quote(url, safe=_VISIBLE) if url else f"urn:page:{'' if page_id is None else page_id}"
+
+
 def _segments(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (page_id, payload, payload_digest, payload_bytes, record_type, refers_to) as WARC segments."""
+    """Rows of (page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to) as WARC segments."""
     for batch in batches:
         out, size = [], 0
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for i in range(batch.num_rows):
-            page_id, data, digest, total, kind, refers = (c[i] for c in columns)
+            page_id, url, data, digest, total, kind, refers = (c[i] for c in columns)
             page_id, digest, total, kind, refers = page_id.as_py(), digest.as_py(), total.as_py(), kind.as_py(), refers.as_py()
-            common = f"X-Page-Id: {'' if page_id is None else page_id}\r\nWARC-Payload-Digest: sha1:{digest}\r\nX-Payload-Bytes: {total}\r\n"
+            common = f"WARC-Target-URI: {_target(url.as_py(), page_id)}\r\nX-Page-Id: {'' if page_id is None else page_id}\r\nWARC-Payload-Digest: sha1:{digest}\r\nX-Payload-Bytes: {total}\r\n"
             name = _urn(page_id, digest)
             if kind == "revisit":
                 parts = [(1, b"", digest, True)]
@@ -94,6 +103,8 @@ def _segments(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Reco
                 parts = chunk_rows(i, memoryview(data.as_buffer()), chunk)
             for n, part, so_far, last in parts:
                 head = f"WARC-Type: {kind if n == 1 else 'continuation'}\r\nWARC-Record-ID: {name if n == 1 else _urn(page_id, f'{digest}:{n}')}\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n{common}"
+                if n == 1 and kind != "revisit":
+                    head += "Content-Type: text/html; charset=utf-8\r\n"
                 if n > 1 or not last:
                     head += f"WARC-Segment-Number: {n}\r\n"
                 if n > 1:
@@ -111,8 +122,12 @@ def _segments(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Reco
 
 
 def write(pages: DataFrame, path: str, chunk: int = CHUNK) -> None:
-    """Write the archives of ``pages`` (page_id, html, ...) to ``path`` as ``*.txt.gz`` WARC files."""
-    lines = with_decisions(pages).select("page_id", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to").mapInArrow(lambda b: _segments(b, chunk), "segment binary")
+    """Write the archives of ``pages`` (page_id, html and, where there is one, url) to ``path`` as ``*.txt.gz`` WARC files.
+
+    A null html is an empty payload, a null id an empty ``X-Page-Id``, a null or empty url the name ``urn:page:`` and the id.
+    A repeated row is a record each time. Other columns are ignored; an empty table gives archives without records.
+    """
+    lines = with_decisions(pages).select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to").mapInArrow(lambda b: _segments(b, chunk), "segment binary")
     # The writer ends every line by the separator: it is the last of the record's two line ends.
     lines.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
