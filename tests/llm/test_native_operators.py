@@ -9,6 +9,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tickloom.llm import fingerprint, mixing, pii, url_filter, warc
@@ -270,6 +271,51 @@ def test_likeness_and_changed_paragraphs(spark):
     assert got.same == 1 and 0.9 < got.near < 1 and got["where"] == [8]
 
 
+def plain_print(text):
+    """The tree built upwards from its stored children."""
+    def h(s, digits=11):
+        return base64.b64encode(xxhash.xxh64(s.encode(), seed=42).digest()).decode()[:digits]
+
+    sections, paragraphs, leaves = [], [], []
+    for section in re.split(r"(?<=\n\n)(?=[^\n])", text or ""):
+        rows = [re.findall(r"(?:[^ \n.!?]{1,24} *){1,3}[ \n.!?]*|[ \n.!?]+", p) for p in re.split(r"(?<=\n)(?=[^\n])", section)]
+        assert "".join(sum(rows, [])) == section
+        leaves.append(",".join("".join(h(x, 6) for x in r) for r in rows))
+        paragraphs.append(",".join(h(x) for x in leaves[-1].split(",")))
+        sections.append(h(paragraphs[-1]))
+    return ":".join([h(",".join(sections)), ",".join(sections), ";".join(paragraphs), ";".join(leaves)])
+
+
+def plain_likeness(a, b):
+    x, y = (set(re.findall("[^,;]{6}", p.split(":")[3])) for p in (a, b))
+    return 1.0 if a.split(":")[0] == b.split(":")[0] else 2 * len(x & y) / max(len(x) + len(y), 1)
+
+
+def test_fingerprint_is_one_tree_at_every_length(spark):
+    words = random.Random(5)
+    base = " ".join("".join(words.choices("abcdefgh", k=words.randint(2, 9))) + words.choice(["", "", "", "."]) for _ in range(400))
+    texts = ["", None, "\n", "\n\n\nx", "a\n\nb\n", "a\n\n\nb", "a\nb", "é😀 " * 30, "x" * 500, "One. Two!  Three?\n\n", "a. " * 5000, *[base[:n] for n in (20, 500, 508, 516, 520, 2000)]]
+    edited = [(t or "")[:-20] + "here it ends anew on" for t in texts]
+    rows = spark.createDataFrame(list(zip(texts, edited)), "a string, b string").select("a", "b", fingerprint.fingerprint(F.col("a")).alias("pa"), fingerprint.fingerprint(F.col("b")).alias("pb"))
+    got = rows.select("*", fingerprint.likeness(F.col("pa"), F.col("pb")).alias("near")).collect()
+    for r in got:
+        assert r.pa == plain_print(r.a) and r.pb == plain_print(r.b)
+        assert r.near == pytest.approx(plain_likeness(r.pa, r.pb))
+    near = {len(r.a or ""): r.near for r in got if r.a and base.startswith(r.a)}
+    assert min(near[n] for n in (500, 508, 516, 520)) > 0.8 and max(near[n] for n in (500, 508, 516, 520)) - min(near[n] for n in (500, 508, 516, 520)) < 0.05
+    assert len({r.pa.split(":")[0] for r in got}) == len(texts) - 1  # null is empty
+
+
+def test_moved_paragraphs_are_located(spark):
+    lines = [f"Line {i} says something of its own.\n" for i in range(30)]
+    swapped = lines[:]
+    swapped[4], swapped[20] = lines[20], lines[4]
+    cases = [("".join(lines), "".join(swapped), [5, 21]), ("".join(lines), "".join(lines[:9] + ["new\n"] + lines[9:]), []), ("".join(lines), "".join(lines[:9] + lines[11:]), [10, 11]), ("a\n\nb\nc", "a\n\nB\nc", [2]), ("same", "same", []), ("", "x", [1]), ("a\na\na\n", "a\na\n", [3])]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = rows.select("i", fingerprint.changed_paragraphs(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))).alias("at")).orderBy("i").collect()
+    assert [r["at"] for r in got] == [c[2] for c in cases]
+
+
 def test_mixing_reaches_its_weights(spark, odd, empty):
     rows = [(i, "x" * 50, "big" if i % 3 else "small") for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

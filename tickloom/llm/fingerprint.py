@@ -1,13 +1,14 @@
 """Merkle fingerprints of documents, in DataFrame operations only.
 
-A text is a tree: sections (parted by blank lines) of paragraphs (lines) of leaves (sentences, at most
-``LEAF`` characters). A node's hash is the hash of its children's hashes, so equal roots mean equal texts,
-and where roots differ the differing branches show the place. The fingerprint is the text
+A text is a tree: sections (which end with a blank line) of paragraphs (which end with a line) of leaves (at most
+``WORDS`` words of at most ``LETTERS`` characters, which end with a sentence). The leaves joined are the text. A node's
+hash is the hash of its stored children joined, so equal roots mean equal texts, and where roots differ the differing
+branches show the place. The rule is the same for texts of any length. The fingerprint is the text
 
-    root:sections:paragraphs:leaves:fine
+    root:sections:paragraphs:leaves
 
-with the hashes of each level comma-joined. ``fine`` holds pairs of words of texts of at most ``SHORT``
-characters, so that short texts, which are a leaf or two, can be compared as well.
+with sections and paragraphs comma-joined, the leaves of a paragraph joined (``DIGITS`` characters each), and a semicolon
+between the children of two sections.
 """
 
 from __future__ import annotations
@@ -17,67 +18,87 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.scan import neighbour, range_chunks
 
-LEAF = 200
-SHORT = 512
+WORDS, LETTERS = 3, 24
+DIGITS = 6
 _FIRST = -(1 << 63)
 
 
-def _hex(h: Column, digits: int) -> Column:
-    return F.substring(F.lower(F.lpad(F.hex(h), 16, "0")), 1, digits)
+def _hash(value: Column, digits: int = 11) -> Column:
+    return F.substring(F.base64(F.unhex(F.lpad(F.hex(F.xxhash64(value)), 16, "0"))), 1, digits)
 
 
 def leaves(text: Column) -> Column:
-    """All of a text in pieces that end with a sentence, a line or after ``LEAF`` characters."""
-    return F.regexp_extract_all(text, F.lit(r"[^\n.!?]{1,%d}[\n.!?\x20]*+|[\n.!?\x20]++" % LEAF), F.lit(0))
+    """All of a text in pieces of a few words that end with a sentence or a line."""
+    stop = r"[\x20\n.!?]"
+    word = r"[^\x20\n.!?]{1,%d}+\x20*+" % LETTERS
+    return F.regexp_extract_all(text, F.lit(r"(?:%s){1,%d}+%s*+|%s++" % (word, WORDS, stop, stop)), F.lit(0))
 
 
-def word_pairs(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\S++\s*+(?:\S++\s*+)?+|\s++"), F.lit(0))
+def fingerprint(text: Column) -> Column:
+    """Fingerprint of a text; null counts as empty, whose tree is one section of one paragraph without leaves."""
+    sections = F.split(F.coalesce(text, F.lit("")), r"(?<=\n\n)(?=[^\n])")
 
+    def paragraphs(section: Column) -> Column:
+        return F.transform(F.split(section, r"(?<=\n)(?=[^\n])"), lambda p: F.array_join(F.transform(leaves(p), lambda x: _hash(x, DIGITS)), ""))
 
-def fingerprint(text: Column) -> Column:
-    """Fingerprint of a text; null counts as empty, whose tree has no leaves."""
-    text = F.coalesce(text, F.lit(""))
-
-    def hashes(parts: Column, digits: int) -> Column:
-        return F.concat_ws(",", F.transform(parts, lambda x: _hex(F.xxhash64(x), digits)))
-
-    leaf = F.transform(leaves(text), lambda x: F.xxhash64(x))
-    paragraphs = F.transform(F.split(text, "\n"), lambda p: F.xxhash64(F.transform(leaves(p), lambda x: F.xxhash64(x))))
-    sections = F.transform(F.split(text, "\n\n+"), lambda s: F.xxhash64(F.transform(F.split(s, "\n"), lambda p: F.xxhash64(p))))
-    fine = F.when(F.length(text) <= SHORT, hashes(word_pairs(text), 6)).otherwise("")
-    return F.concat_ws(
-        ":", _hex(F.xxhash64(leaf, sections), 16), F.concat_ws(",", F.transform(sections, lambda h: _hex(h, 8))),
-        F.concat_ws(",", F.transform(paragraphs, lambda h: _hex(h, 8))), F.concat_ws(",", F.transform(leaf, lambda h: _hex(h, 10))), fine,
-    )
+    # level by level from the leaves, each bound once as the argument of a lambda
+    def node(section: Column) -> Column:
+        def named(leaf: Column) -> Column:
+            return F.struct(F.array_join(F.transform(leaf, lambda x: _hash(x)), ",").alias("paragraphs"), F.array_join(leaf, ",").alias("leaves"))
 
+        return F.element_at(F.transform(F.array(paragraphs(section)), named), 1)
 
-def _level(print_: Column, n: int) -> Column:
-    part = F.element_at(F.split(print_, ":"), n)
-    return F.when(part == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(part, ",")))
+    def whole(nodes: Column) -> Column:
+        inner = F.array_join(F.transform(nodes, lambda n: _hash(n["paragraphs"])), ",")
+        return F.struct(inner.alias("sections"), F.array_join(F.transform(nodes, lambda n: n["paragraphs"]), ";").alias("paragraphs"), F.array_join(F.transform(nodes, lambda n: n["leaves"]), ";").alias("leaves"))
 
+    def joined(tree: Column) -> Column:
+        return F.concat_ws(":", _hash(tree["sections"]), tree["sections"], tree["paragraphs"], tree["leaves"])
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two fingerprints' distinct leaves, 1 for equal roots.
+    trees = F.transform(F.array(F.transform(sections, node)), whole)
+    return F.element_at(F.transform(trees, joined), 1)
 
-    Word pairs are compared where both texts are short, leaves otherwise.
-    """
-    def dice(x: Column, y: Column) -> Column:
-        return 2.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(x) + F.size(y), F.lit(1))
 
-    both_short = (_fine(a) != "") & (_fine(b) != "")
-    value = F.when(both_short, dice(_level(a, 5), _level(b, 5))).otherwise(dice(_level(a, 4), _level(b, 4)))
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(value)
+def _leaves(print_: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.element_at(F.split(print_, ":"), 4), F.lit("[^,;]{%d}" % DIGITS), F.lit(0)))
 
 
-def _fine(print_: Column) -> Column:
-    return F.substring_index(print_, ":", -1)
+def likeness(a: Column, b: Column) -> Column:
+    """Dice coefficient of two fingerprints' distinct leaves; 1 for equal roots, whose branches need no look.
+
+    Equal branches have equal leaves, so each counts with all its leaves wherever it stands.
+    """
+    value = F.element_at(
+        F.transform(
+            F.array(F.struct(_leaves(a).alias("x"), _leaves(b).alias("y"))),
+            lambda s: 2.0 * F.size(F.array_intersect(s["x"], s["y"])) / F.greatest(F.size(s["x"]) + F.size(s["y"]), F.lit(1)),
+        ), 1,
+    )
+    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(value)
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
-    """Numbers (from 1) of the paragraphs of ``a`` whose branch is not in ``b``."""
-    mine, theirs = F.split(F.element_at(F.split(a, ":"), 3), ","), F.split(F.element_at(F.split(b, ":"), 3), ",")
-    return F.filter(F.transform(mine, lambda h, i: F.when(~F.array_contains(theirs, h), i + 1)), lambda i: i.isNotNull())
+    """Numbers (from 1) of the paragraphs of ``a`` that differ from those of ``b``, by their places in the trees.
+
+    Equal branches at both ends are left out. Between them, as many paragraphs on both sides are compared one by one
+    (so moved and swapped ones are found); of unequal numbers all of ``a`` count as changed.
+    """
+    def level(print_: Column) -> Column:
+        return F.split(F.element_at(F.split(print_, ":"), 3), "[,;]")
+
+    def equal_ends(x: Column, y: Column) -> Column:
+        differ = F.filter(F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda s, i: F.when(~s["x"].eqNullSafe(s["y"]), i)), lambda i: i.isNotNull())
+        return F.coalesce(F.array_min(differ), F.size(x))
+
+    def places(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        before = equal_ends(x, y)
+        after = F.least(equal_ends(F.reverse(x), F.reverse(y)), F.least(F.size(x), F.size(y)) - before)
+        middle = F.sequence(before + 1, F.greatest(F.size(x) - after, before + 1))
+        inside = F.filter(middle, lambda i: i <= F.size(x) - after)
+        return F.filter(inside, lambda i: (F.size(x) != F.size(y)) | (F.get(x, i - 1) != F.get(y, i - 1)))
+
+    return F.element_at(F.transform(F.array(F.struct(level(a).alias("x"), level(b).alias("y"))), places), 1)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
