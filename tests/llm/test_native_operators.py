@@ -273,21 +273,21 @@ def test_likeness_and_changed_paragraphs(spark):
 
 def plain_print(text):
     """The tree built upwards from its stored children."""
-    def h(s, digits=11):
-        return base64.b64encode(xxhash.xxh64(s.encode(), seed=42).digest()).decode()[:digits]
+    def h(s, digits=16):
+        return xxhash.xxh64(s.encode(), seed=42).hexdigest().upper()[:digits]
 
     sections, paragraphs, leaves = [], [], []
     for section in re.split(r"(?<=\n\n)(?=[^\n])", text or ""):
-        rows = [re.findall(r"(?:[^ \n.!?]{1,24} *){1,3}[ \n.!?]*|[ \n.!?]+", p) for p in re.split(r"(?<=\n)(?=[^\n])", section)]
+        rows = [re.findall(r"(?:[^ \n.!?]{1,24} *){1,4}[ \n.!?]*|[ \n.!?]+", p) for p in re.split(r"(?<=\n)(?=[^\n])", section)]
         assert "".join(sum(rows, [])) == section
-        leaves.append(",".join("".join(h(x, 6) for x in r) for r in rows))
+        leaves.append(",".join("".join(h(x, 8) for x in r) for r in rows))
         paragraphs.append(",".join(h(x) for x in leaves[-1].split(",")))
         sections.append(h(paragraphs[-1]))
     return ":".join([h(",".join(sections)), ",".join(sections), ";".join(paragraphs), ";".join(leaves)])
 
 
 def plain_likeness(a, b):
-    x, y = (set(re.findall("[^,;]{6}", p.split(":")[3])) for p in (a, b))
+    x, y = (set(re.findall("[^,;]{8}", p.split(":")[3])) for p in (a, b))
     return 1.0 if a.split(":")[0] == b.split(":")[0] else 2 * len(x & y) / max(len(x) + len(y), 1)
 
 

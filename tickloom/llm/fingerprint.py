@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.scan import neighbour, range_chunks
 
-WORDS, LETTERS = 3, 24
-DIGITS = 6
+WORDS, LETTERS = 4, 24
+DIGITS = 8
 _FIRST = -(1 << 63)
 
 
-def _hash(value: Column, digits: int = 11) -> Column:
-    return F.substring(F.base64(F.unhex(F.lpad(F.hex(F.xxhash64(value)), 16, "0"))), 1, digits)
+def _hash(value: Column) -> Column:
+    return F.lpad(F.hex(F.xxhash64(value)), 16, "0")
+
+
+def _leaf_hash(value: Column) -> Column:
+    """The first ``DIGITS`` digits of the hash; the added bit keeps leading zeros, which costs less than padding."""
+    return F.substring(F.hex(F.shiftrightunsigned(F.xxhash64(value), 32) + F.lit(1 << 32)), 2, DIGITS)
 
 
 def leaves(text: Column) -> Column:
@@ -39,7 +44,7 @@ def fingerprint(text: Column) -> Column:
     sections = F.split(F.coalesce(text, F.lit("")), r"(?<=\n\n)(?=[^\n])")
 
     def paragraphs(section: Column) -> Column:
-        return F.transform(F.split(section, r"(?<=\n)(?=[^\n])"), lambda p: F.array_join(F.transform(leaves(p), lambda x: _hash(x, DIGITS)), ""))
+        return F.transform(F.split(section, r"(?<=\n)(?=[^\n])"), lambda p: F.array_join(F.transform(leaves(p), lambda x: _leaf_hash(x)), ""))
 
     # level by level from the leaves, each bound once as the argument of a lambda
     def node(section: Column) -> Column:
