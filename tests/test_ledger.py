@@ -1,7 +1,9 @@
 """Ledger figures: unknown is not zero, drawdown and recovery."""
 
+import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import at
@@ -75,3 +77,26 @@ def test_position_book_skips_overlaps(spark):
     assert taken == {"s0": True, "s1": False, "s2": True, "s3": True}
     both = O.position_book(df, ["variant"], max_positions=2)
     assert both.where(~F.col("accepted")).count() == 0
+
+
+@pytest.mark.parametrize("block, window", [(3, 10), (16, 0), (8192, 10)])
+def test_dependency_groups_without_a_quiet_point(spark, block, window):
+    draw = random.Random(block)
+    data, n = [], 0
+    for variant, size in (("dense", 900), ("b", 40), ("one", 1)):
+        second = 0
+        for _ in range(size):
+            second += draw.choice([0, 0, 1, 2, 7])
+            data.append((variant, at(second), f"{n:05}"))
+            n += 1
+    draw.shuffle(data)
+    df = spark.createDataFrame(data, "variant string, at timestamp, ident string")
+    want, anchor, current = {}, None, None
+    for variant, moment, ident in sorted(data):
+        new = variant != current or (moment - anchor).total_seconds() > window
+        anchor, current = moment if new else anchor, variant
+        want[ident] = new
+    got = O.dependency_groups(df, ["variant"], at="at", ident="ident", window=window, block=block).collect()
+    assert len(got) == len(data) and {r.ident: r.group_start for r in got} == want
+    if block == 3:
+        assert O.dependency_groups(df.limit(0), ["variant"], at="at", ident="ident", window=5).count() == 0

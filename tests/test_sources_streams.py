@@ -163,3 +163,24 @@ def test_calendar_closure_joins_bars_over_a_weekend(spark):
     df = friday.unionByName(sunday)
     assert [r["eligible"] for r in warmup_segments(df).orderBy("start").collect()] == [True, False]
     assert [r["eligible"] for r in warmup_segments(df, use_calendar=True).orderBy("start").collect()] == [True, True]
+
+
+def test_line_numbers_of_splittable_text(spark, tmp_path):
+    lines = {f"f{k}.txt": [f"20240102 0304050{i % 10:02},1.1,1.2,{'-1' if i == 5 else 0}" for i in range(n)] for k, n in enumerate((400, 1, 57))}
+    lines["f1.txt"] = ["20240102 030405000,1.1,1.2"]
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = delimited.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        want = [(f, i + 1, v) for f in sorted(lines) for i, v in enumerate(lines[f])]
+        assert [(r.file, r.line, r.value) for r in got.orderBy("sequence").collect()] == want
+        assert [r.sequence for r in got.orderBy("file", "line").collect()] == list(range(1, len(want) + 1))
+        read = delimited.read_fixed_ticks(spark, str(tmp_path), "X")
+        ids = [r.source_event_id for r in read.rows.collect()]
+        assert len(ids) == len(set(ids)) == len(want) - 3
+        assert {(r.code, r._file, r.line) for r in read.issues.collect()} >= {("volume_invalid", "f0.txt", 6), ("volume_invalid", "f2.txt", 6), ("fields_invalid", "f1.txt", 1)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

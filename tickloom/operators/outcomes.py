@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import break_even, plus_seconds
 from tickloom.operators.asof import BACKWARD, FORWARD, select_price
 from tickloom.operators.ledger import drawdown_summary, equity_curve
-from tickloom.operators.scan import fold_sorted, range_chunks, run_max, running
+from tickloom.operators.scan import fold_sorted, range_chunks, run_count, run_last, run_max, running
+from tickloom.session import pin
 
 OUTCOMES = ("WIN", "LOSS", "TIE", "INDETERMINATE", "PENDING")
 
@@ -140,34 +142,69 @@ def _islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], starts:
     return running(chunked, keys, order, {"_island": run_sum("_new")}).drop("_new", "_chunk")
 
 
-def dependency_groups(signals: DataFrame, keys: Sequence[str], *, at: str, ident: str, window: float) -> DataFrame:
+def dependency_groups(
+    signals: DataFrame, keys: Sequence[str], *, at: str, ident: str, window: float, block: int = 8192,
+) -> DataFrame:
     """Group signals: a new group starts when a signal is more than ``window`` seconds
     after the *first* one of the current group.
 
-    A quiet time longer than the window always starts a group, so the anchored fold runs
-    separately inside the stretches between quiet times.
+    The chain of first rows is ranked in parallel. Blocks of ``block`` rows of a key find, for each of their rows, the last
+    first row that a chain entering there has in the block; one ordered scan gives the row where that chain enters a later
+    block; doubling these jumps marks the true entry of each block in log2(blocks) small joins; and the blocks then
+    walk from their entries. No step needs a quiet time, so a hot key without one is spread like any other.
     """
-    from tickloom.operators.scan import neighbour
-
-    order = [at, ident]
-    rows = signals.select(*keys, at, ident)
-    prev = neighbour(range_chunks(rows, keys, order), keys, order, {"_prev": at}).drop("_chunk")
-    gap_us = round(window * 1_000_000)
-    fresh = F.col("_prev").isNull() | (F.unix_micros(at) - F.unix_micros("_prev") > gap_us)
-    stretched = _islands(prev, keys, order, fresh).drop("_prev").withColumn("_us", F.unix_micros(at))
-    names = [*keys, ident]
-
-    def step(state, batch: pd.DataFrame):
-        anchor, starts = state, []
-        for us in batch["_us"]:
-            new = anchor is None or us - anchor > gap_us
-            anchor = us if new else anchor
-            starts.append(new)
-        return anchor, batch[names].assign(group_start=starts)
-
-    kinds = dict(stretched.dtypes)
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", group_start boolean"
-    return fold_sorted(stretched, [*keys, "_island"], order, step, schema)
+    gap_us, keys = round(window * 1_000_000), list(keys)
+    placed = running(range_chunks(signals.select(*keys, at, ident), keys, [at, ident]), keys, [at, ident], {"_nth": run_count(F.lit(1))})
+    placed = pin(placed.select(
+        *keys, ident, F.unix_micros(at).alias("_us"), (F.col("_nth") - 1).alias("_pos"), F.floor((F.col("_nth") - 1) / block).alias("_block"),
+    ))
+    kinds = dict(placed.dtypes)
+    named = ", ".join(f"`{n}` {kinds[n]}" for n in keys)
+    comma = ", " if keys else ""
+
+    def exits(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_pos")
+        us = rows["_us"].to_numpy()
+        ahead = np.searchsorted(us, us + gap_us, side="right")
+        last = np.where(ahead < len(us), ahead, np.arange(len(us)))
+        while (last[last] != last).any():
+            last = last[last]
+        return rows[[*keys, "_pos"]].assign(_exit=us[last])
+
+    def starts(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_pos")
+        us, entry = rows["_us"].to_numpy(), rows["_entry"].iloc[0]
+        flags = np.zeros(len(us), dtype=bool)
+        here = len(us) if pd.isna(entry) else int(entry) - int(rows["_pos"].iloc[0])
+        while here < len(us):
+            flags[here] = True
+            here = int(np.searchsorted(us, us[here] + gap_us, side="right"))
+        return rows[[*keys, ident]].assign(group_start=flags)
+
+    ends = pin(placed.groupBy(*keys, "_block").applyInPandas(exits, f"{named}{comma}_pos bigint, _exit bigint"))
+    # From late to early, the last row seen before an exit's limit is the first one beyond it; of equal times the lowest place.
+    none = F.lit(None).cast("bigint")
+    seen = placed.select(*keys, (-F.col("_us")).alias("_back"), F.lit(1).alias("_kind"), (-F.col("_pos")).alias("_tie"), F.col("_pos").alias("_row"), none.alias("_exit"))
+    asked = ends.select(*keys, "_exit").distinct().select(
+        *keys, (-F.col("_exit") - gap_us).alias("_back"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_tie"), none.alias("_row"), "_exit",
+    )
+    order = ["_back", "_kind", "_tie"]
+    scanned = running(range_chunks(seen.unionByName(asked), keys, order), keys, order, {"_to": run_last("_row")})
+    beyond = pin(scanned.where((F.col("_kind") == 0) & F.col("_to").isNotNull()).select(*keys, "_exit", "_to"))
+    entries = beyond.select(*keys, F.col("_to").alias("_pos")).distinct()
+    first = placed.where("_pos = 0").select(*keys, "_pos")
+    jumps = pin(ends.join(entries.union(first), [*keys, "_pos"], "left_semi").join(beyond, [*keys, "_exit"]).select(*keys, "_pos", "_to"))
+    marked = pin(first)
+    while True:
+        reached = pin(marked.join(jumps, [*keys, "_pos"]).select(*keys, F.col("_to").alias("_pos")))
+        if reached.isEmpty():
+            break
+        marked = pin(marked.unionByName(reached))
+        onward = jumps.select(*keys, F.col("_pos").alias("_to"), F.col("_to").alias("_then"))
+        jumps = pin(jumps.join(onward, [*keys, "_to"]).select(*keys, "_pos", F.col("_then").alias("_to")))
+    entered = marked.select(*keys, F.floor(F.col("_pos") / block).alias("_block"), F.col("_pos").alias("_entry"))
+    walked = placed.join(entered, [*keys, "_block"], "left").groupBy(*keys, "_block")
+    return walked.applyInPandas(starts, f"{named}{comma}`{ident}` {kinds[ident]}, group_start boolean")
 
 
 def position_book(outcomes: DataFrame, keys: Sequence[str], *, max_positions: int = 1) -> DataFrame:

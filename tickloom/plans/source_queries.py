@@ -10,7 +10,7 @@ from tickloom.operators.scan import range_chunks, run_count, run_sum, running, n
 from tickloom.plans import inputs as I
 from tickloom.plans.inputs import SQL, sql_bars, sql_strict_bars, with_ctes
 from tickloom.plans.registry import query, rnd, text_list
-from tickloom.session import pin, scratch_path
+from tickloom.session import pin, scratch_path, shuffle_width
 from tickloom.sources import decoders, delimited, tables
 
 # Every 97th event gets an unreadable price, every 89th a bad time, every 83rd a second copy.
@@ -120,6 +120,30 @@ def s4_fixed_layout_ticks(spark, sf):
     return got.select("event_time", F.col("bid").cast("double").alias("bid"), F.col("ask").cast("double").alias("ask"), "month")
 
 
+@query(
+    "s4_line_locators",
+    with_ctes(
+        SQL["quotes"],
+        select="""SELECT date_trunc('millisecond', event_time) AS event_time, bid, round(ask, 2) AS ask,
+                  row_number() OVER (ORDER BY event_time, instrument, seq) AS sequence, 1::BIGINT AS rows_with_id FROM quotes""",
+    ),
+)
+def s4_line_locators(spark, sf):
+    """Ticks written in time order as files of plain lines: the line numbers of the read give that order back, and each id is one row."""
+    local = F.col("event_time") - F.expr("INTERVAL 5 HOURS")
+    order = ["event_time", "instrument", "seq"]
+    lines = I.quotes(spark, sf).repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).select(
+        F.concat_ws(",", F.date_format(local, "yyyyMMdd HHmmssSSS"), F.format_string("%.2f", "bid"), F.format_string("%.2f", "ask"), F.lit("0"))
+    )
+    path = scratch_path(spark, "lines")
+    lines.write.text(path)
+    got = delimited.read_fixed_ticks(spark, path, "ALL").rows
+    ids = got.groupBy("source_event_id").agg(F.count(F.lit(1)).alias("rows_with_id"))
+    return got.join(ids, "source_event_id").select(
+        "event_time", F.col("bid").cast("double").alias("bid"), F.col("ask").cast("double").alias("ask"), "sequence", "rows_with_id"
+    )
+
+
 def delta_rows(spark, sf, unit: int = 3600, size: int = 500):
     """Quotes as (instrument, hour, part) groups of at most ``size`` with integer deltas."""
     q = I.quotes(spark, sf).withColumns({

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,33 +139,56 @@ def import_jsonl(spark: SparkSession, path: str, policy: ImportPolicy) -> Import
     return _convert(raw.withColumn("_file", F.col("_metadata.file_name")), policy)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files as ``value`` with ``file`` (name), ``line`` (its number in the file, from 1) and ``sequence``
+    (its number in all files, by path).
+
+    The splits of a file are read in parallel. A line's place in its split is its place among the rows of the task that reads the
+    split; the splits before it are known from their line counts, one row a split, which is all that is joined back.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_from"),
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("_row"), "value",
+    )
+    splits = raw.groupBy("_path", "_from").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    files = splits.groupBy("_path").agg(F.sum("_lines").alias("_size"))
+    upto = (Window.unboundedPreceding, -1)
+    files = files.select("_path", F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_path").rowsBetween(*upto)), F.lit(0)).alias("_earlier"))
+    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("_path").orderBy("_from").rowsBetween(*upto)), F.lit(0))
+    splits = splits.withColumn("_before", before).join(files, "_path").drop("_lines")
+    line = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return raw.join(splits, ["_path", "_from"]).select("file", line.alias("line"), (F.col("_earlier") + line).alias("sequence"), "value")
+
+
 def read_fixed_ticks(spark: SparkSession, path: str, instrument: str) -> Imported:
     """Lines ``yyyyMMdd HHmmssSSS,bid,ask,volume`` on a fixed UTC-5 clock (no DST).
 
-    The volume is checked but is not a traded volume, so it is not kept.
+    A line is identified by its file's name and its number there, so equal lines stay apart; ``sequence`` grows through
+    the files in path order. The volume is checked but is not a traded volume, so it is not kept.
     """
-    schema = "stamp string, bid string, ask string, volume string"
-    raw = spark.read.schema(schema).csv(path).withColumn("_file", F.col("_metadata.file_name"))
+    parts = F.transform(F.split(F.trim("value"), ","), lambda x: F.trim(x))
+    fields = {n: F.get(F.col("_parts"), i) for i, n in enumerate(("stamp", "bid", "ask", "volume"))}
+    raw = numbered_lines(spark, path).withColumn("_parts", parts).withColumns(fields)
     wall = F.try_to_timestamp("stamp", F.lit("yyyyMMdd HHmmssSSS"))
     bid, ask, vol = (F.col(c).try_cast("decimal(20,10)") for c in ("bid", "ask", "volume"))
     rows = raw.withColumns({
         "event_time": wall + F.expr("INTERVAL 5 HOURS"), "_bid": bid, "_ask": ask, "_vol": vol,
     })
     issues = codes([
+        ("fields_invalid", (F.size("_parts") != 4) | F.exists("_parts", lambda x: x == "")),
         ("timestamp_invalid", F.col("event_time").isNull()),
         ("price_invalid", F.col("_bid").isNull() | F.col("_ask").isNull() | (F.col("_bid") <= 0) | (F.col("_ask") <= 0)),
         ("crossed", F.col("_ask") < F.col("_bid")),
         ("volume_invalid", F.col("_vol").isNull() | (F.col("_vol") < 0)),
     ])
-    line = F.concat_ws(",", "stamp", "bid", "ask", "volume")
     rows = rows.withColumn("issues", issues)
     good = rows.where(F.size("issues") == 0).select(
         F.lit(instrument).alias("instrument"), "event_time", F.col("event_time").alias("available_at"),
         F.col("_bid").alias("bid"), F.col("_ask").alias("ask"),
-        F.concat(F.substring(F.sha2("_file", 256), 1, 16), F.lit(":"), F.substring(F.sha2(line, 256), 1, 16)).alias("source_event_id"),
+        F.concat(F.substring(F.sha2("file", 256), 1, 16), F.lit(":"), F.col("line").cast("string")).alias("source_event_id"), "sequence",
         F.date_format("event_time", "yyyy-MM").alias("month"),
     )
-    bad = rows.where(F.size("issues") > 0).select(F.explode("issues").alias("code"), line.alias("raw_row"), "_file")
+    bad = rows.where(F.size("issues") > 0).select(F.explode("issues").alias("code"), F.col("value").alias("raw_row"), F.col("file").alias("_file"), "line")
     provenance = rows.agg(
         F.count(F.lit(1)).alias("rows_read"), F.count_if(F.size("issues") == 0).alias("rows_accepted"),
         F.count_if(F.size("issues") > 0).alias("rows_rejected"),
