@@ -143,7 +143,7 @@ def _islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], starts:
 
 
 def dependency_groups(
-    signals: DataFrame, keys: Sequence[str], *, at: str, ident: str, window: float, block: int = 8192,
+    signals: DataFrame, keys: Sequence[str], *, at: str, ident: str, window: float, block: int = 65536,
 ) -> DataFrame:
     """Group signals: a new group starts when a signal is more than ``window`` seconds
     after the *first* one of the current group.
