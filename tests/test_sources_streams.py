@@ -184,3 +184,12 @@ def test_line_numbers_of_splittable_text(spark, tmp_path):
         assert {(r.code, r._file, r.line) for r in read.issues.collect()} >= {("volume_invalid", "f0.txt", 6), ("volume_invalid", "f2.txt", 6), ("fields_invalid", "f1.txt", 1)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_price_of_zero_is_refused_unless_it_is_a_quote(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("20240102 030405000,0.00,0.01,0\n20240102 030405001,-0.01,0.01,0\n20240102 030405002,1.1,1.2,0\n")
+    plain = delimited.read_fixed_ticks(spark, str(tmp_path), "X")
+    assert sorted(float(r.bid) for r in plain.rows.collect()) == [1.1]
+    kept = delimited.read_fixed_ticks(spark, str(tmp_path), "X", zero_prices=True)
+    assert sorted((float(r.bid), r.sequence) for r in kept.rows.collect()) == [(0.0, 1), (1.1, 3)]
+    assert [(r.code, r.line) for r in kept.issues.collect()] == [("price_invalid", 2)]

@@ -160,24 +160,26 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(splits, ["_path", "_from"]).select("file", line.alias("line"), (F.col("_earlier") + line).alias("sequence"), "value")
 
 
-def read_fixed_ticks(spark: SparkSession, path: str, instrument: str) -> Imported:
+def read_fixed_ticks(spark: SparkSession, path: str, instrument: str, *, zero_prices: bool = False) -> Imported:
     """Lines ``yyyyMMdd HHmmssSSS,bid,ask,volume`` on a fixed UTC-5 clock (no DST).
 
     A line is identified by its file's name and its number there, so equal lines stay apart; ``sequence`` grows through
-    the files in path order. The volume is checked but is not a traded volume, so it is not kept.
+    the files in path order. The volume is checked but is not a traded volume, so it is not kept. Prices must be positive;
+    with ``zero_prices`` a price of zero is a quote too, and only negative ones are refused.
     """
     parts = F.transform(F.split(F.trim("value"), ","), lambda x: F.trim(x))
     fields = {n: F.get(F.col("_parts"), i) for i, n in enumerate(("stamp", "bid", "ask", "volume"))}
     raw = numbered_lines(spark, path).withColumn("_parts", parts).withColumns(fields)
     wall = F.try_to_timestamp("stamp", F.lit("yyyyMMdd HHmmssSSS"))
     bid, ask, vol = (F.col(c).try_cast("decimal(20,10)") for c in ("bid", "ask", "volume"))
+    refused = lambda c: F.col(c).isNull() | ((F.col(c) < 0) if zero_prices else (F.col(c) <= 0))
     rows = raw.withColumns({
         "event_time": wall + F.expr("INTERVAL 5 HOURS"), "_bid": bid, "_ask": ask, "_vol": vol,
     })
     issues = codes([
         ("fields_invalid", (F.size("_parts") != 4) | F.exists("_parts", lambda x: x == "")),
         ("timestamp_invalid", F.col("event_time").isNull()),
-        ("price_invalid", F.col("_bid").isNull() | F.col("_ask").isNull() | (F.col("_bid") <= 0) | (F.col("_ask") <= 0)),
+        ("price_invalid", refused("_bid") | refused("_ask")),
         ("crossed", F.col("_ask") < F.col("_bid")),
         ("volume_invalid", F.col("_vol").isNull() | (F.col("_vol") < 0)),
     ])
