@@ -108,3 +108,25 @@ def test_pinned_rows_live_in_the_configured_folder(spark):
     pinned = session.pin(spark.range(10))
     assert all(f.split("://")[-1].lstrip("/").startswith(root.split("://")[-1].lstrip("/")) or root in f for f in pinned.inputFiles())
     assert pinned.count() == 10
+
+
+def test_shuffles_widen_with_the_stored_input_and_come_back(spark, tmp_path, monkeypatch):
+    from tickloom import session
+
+    path = str(tmp_path / "t")
+    spark.range(1000).write.parquet(path)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(session, "BYTES_PER_TASK", max(1, session.stored_bytes(spark, path) // 40))
+    try:
+        session.fit_input(spark)
+        session.fit_input(spark, path)
+        session.fit_input(spark, path)  # read twice, counted once
+        assert 40 <= session.shuffle_width(spark) <= 42
+        session.fit_input(spark)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == own
+        spark.conf.set("spark.sql.shuffle.partitions", "90")  # a wider setting of the user stays
+        session.fit_input(spark, path)
+        assert session.shuffle_width(spark) == 90
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+        session.fit_input(spark)

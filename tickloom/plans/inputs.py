@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import plus_seconds
 from tickloom.operators.bars import quote_bars, tick_bars
-from tickloom.session import pin, use_utc
+from tickloom.session import fit_input, pin, use_utc
 
 # Largest quiet time between two ticks of one instrument that still counts as continuous.
 CONTINUITY_SECONDS = 3 * 3600
@@ -19,7 +19,9 @@ CONTINUITY_SECONDS = 3 * 3600
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    fit_input(spark, path)
+    return spark.read.parquet(path)
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.session import fit_local, ship_package, use_utc
+from tickloom.session import fit_input, fit_local, ship_package, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             use_utc(spark)
             fit_local(spark)
+            fit_input(spark)
             ship_package()
             return plain(fn(spark, sf_dir))
 

@@ -123,6 +123,37 @@ def fit_local(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(max(2, spark.sparkContext.defaultParallelism)))
 
 
+# A task of a shuffle gets about this much of the stored input, whatever its size.
+BYTES_PER_TASK = 16 << 20
+ADVISORY_KEY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_WIDTHS: dict[str, tuple[int, int, dict[str, int]]] = {}
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
+def fit_input(spark: SparkSession, path: str | None = None) -> None:
+    """Widen shuffles with the input, so that a task's share does not grow with the tables.
+
+    Without ``path`` a new query begins and the session's own number of partitions holds again; each table it then reads
+    raises the number to its bytes over ``BYTES_PER_TASK``, all tables together. The session's number is never lowered.
+    Adaptive execution joins small partitions up to the same size, where the session names none: its own 64 MB of compressed
+    rows were 1.4 GB of one task's memory.
+    """
+    if spark.conf.get(ADVISORY_KEY, None) is None:
+        spark.conf.set(ADVISORY_KEY, str(BYTES_PER_TASK))
+    app, now = spark.sparkContext.applicationId, shuffle_width(spark)
+    own, ours, read = _WIDTHS.get(app, (now, now, {}))
+    own = own if now == ours else now
+    read = {} if path is None else {**read, path: stored_bytes(spark, path)}
+    want = max(own, -(-sum(read.values()) // BYTES_PER_TASK))
+    if want != now:
+        spark.conf.set("spark.sql.shuffle.partitions", str(want))
+    _WIDTHS[app] = own, want, read
+
+
 def use_utc(spark: SparkSession) -> None:
     """All calendar arithmetic here is UTC; the casts of naive columns depend on it."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
