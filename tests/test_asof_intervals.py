@@ -118,3 +118,27 @@ def test_first_touch_matches_a_walk(spark, index_shape):
                 want = ("STOP" if stopped else "TARGET", when)
                 break
         assert got[tid] == want
+
+
+@pytest.mark.parametrize("rule", [FORWARD, BACKWARD])
+def test_stretches_without_a_target_send_only_rows_that_can_be_chosen(spark, rule):
+    import random
+    from datetime import datetime, timedelta
+
+    from tickloom.operators import asof
+
+    rng, base = random.Random(5), datetime(2024, 1, 1)
+    times = [base + timedelta(seconds=rng.choice([0, 1, 400, 899, 900, 901]) + 900 * rng.randrange(200)) for _ in range(3000)]
+    pts = [("A", t, t + timedelta(seconds=rng.choice([0, 5, 2000])), rng.random(), i, f"p{i}") for i, t in enumerate(times)]
+    goals = [("A", n, base + timedelta(seconds=rng.randrange(-900, 900 * 201))) for n in range(12)]
+    p = spark.createDataFrame(pts, "instrument string, event_time timestamp, available_at timestamp, price double, ordinal long, point_id string")
+    g = spark.createDataFrame(goals, "instrument string, n long, goal timestamp")
+    got = {r.n: r.point_id for r in select_price(g, p, target="goal", target_id=["n"], rule=rule, max_age=1e6).collect()}
+    late = timedelta(seconds=1e6)
+    for _, n, goal in goals:
+        fit = [x for x in pts if (x[1] >= goal if rule == FORWARD else x[1] <= goal and x[2] <= goal + late)]
+        best = (min if rule == FORWARD else max)(fit, key=lambda x: (x[1], x[2], x[4]), default=None)
+        assert got[n] == (best and best[5])
+    side = lambda df, at: df.select("instrument", F.unix_micros(at).alias("_t"), F.struct(at).alias("_hit"))
+    kept = asof._can_win(side(p, "event_time"), side(g, "goal"), ["instrument"], "event_time", newest=rule == BACKWARD).count()
+    assert kept < 1200

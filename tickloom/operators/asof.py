@@ -3,7 +3,8 @@
 Both sides are put in one stream, ordered by the instant at which a row counts, and each
 left row reads a running maximum (or minimum) of the right rows before it. The scan works
 on ranges of equal size, so neither a hot key nor a burst gathers in one task, and a left
-row never meets more than one right row.
+row never meets more than one right row. Of the stretches of time without a left row only the
+rows that can be the answer take part.
 """
 
 from __future__ import annotations
@@ -16,19 +17,38 @@ from pyspark.sql import functions as F
 from tickloom.operators.scan import range_chunks, run_max, run_min, running
 
 
+CELL_US = 900 * 1_000_000
+
+
+def _can_win(rows_r: DataFrame, rows_l: DataFrame, keys: Sequence[str], first: str, *, newest: bool) -> DataFrame:
+    """The right rows that some left row can choose.
+
+    Time is cut into cells. All left rows see a cell without left rows whole or not at all, so of such a cell only the rows
+    with its best value of the hit's ``first`` field (the one hits are compared by) can be chosen. Other cells stay whole.
+    """
+    at = [*keys, "_cell"]
+    cell = F.floor(F.col("_t") / CELL_US).alias("_cell")
+    value = F.col("_hit").getField(first)
+    best = rows_r.groupBy(*keys, cell).agg((F.max(value) if newest else F.min(value)).alias("_top"))
+    asked = rows_l.select(*keys, cell).distinct().withColumn("_asked", F.lit(True))
+    cells = best.join(asked, at, "left")
+    kept = F.col("_asked").isNotNull() | value.isNull() | (value == F.col("_top"))
+    return rows_r.select("*", cell).join(cells, at).where(kept).select(*rows_r.columns)
+
+
 def _scan(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column, right_at: Column,
-    left_id: Sequence[str], right_row: Column, right_id: Sequence[str], *, newest: bool,
+    left_id: Sequence[str], right_row: Column, right_id: Sequence[str], *, first: str, newest: bool,
 ) -> DataFrame:
     ident = lambda cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
     rows_r = right.select(
         *keys, right_at.alias("_t"), F.lit(0).alias("_side"), ident(right_id).alias("_tie"), right_row.alias("_hit")
-    )
+    ).where(F.col("_t").isNotNull())
     rows_l = left.select(
         *keys, left_at.alias("_t"), F.lit(1).alias("_side"), ident(left_id).alias("_tie"),
         F.struct(*left.columns).alias("_left"),
-    )
-    both = rows_r.unionByName(rows_l, allowMissingColumns=True).where(F.col("_t").isNotNull())
+    ).where(F.col("_t").isNotNull())
+    both = _can_win(rows_r, rows_l, keys, first, newest=newest).unionByName(rows_l, allowMissingColumns=True)
     order = ["_t", "_side", "_tie"]
     chunked = range_chunks(both, keys, order)
     found = running(chunked, keys, order, {"_best": run_max("_hit") if newest else run_min("_hit")})
@@ -56,7 +76,7 @@ def latest_known(
     hit = F.struct(time, F.col(available).alias("_avail"), *right_id, *[v for v in values if v not in right_id])
     right_at = F.unix_micros(F.greatest(time, available))
     out = _scan(
-        left, right, keys, F.unix_micros(left_at), right_at, left_id, hit, right_id, newest=True
+        left, right, keys, F.unix_micros(left_at), right_at, left_id, hit, right_id, first=time, newest=True
     )
     picked = {f"{prefix}{v}": F.col(f"_best.{v}") for v in values}
     found = out.withColumns({**picked, f"{prefix}time": F.col(f"_best.{time}")}).drop("_best")
@@ -95,10 +115,10 @@ def select_price(
         bound = us(target)
         if after is not None:
             bound = F.greatest(bound, us(after) + 1)
-        found = _scan(known, points, keys, -bound, -us("event_time"), target_id, hit, ["point_id"], newest=False)
+        found = _scan(known, points, keys, -bound, -us("event_time"), target_id, hit, ["point_id"], first="event_time", newest=False)
     elif rule == BACKWARD:
         usable_from = F.greatest(us("event_time"), us("available_at") - F.lit(age_us))
-        found = _scan(known, points, keys, us(target), usable_from, target_id, hit, ["point_id"], newest=True)
+        found = _scan(known, points, keys, us(target), usable_from, target_id, hit, ["point_id"], first="event_time", newest=True)
         if after is not None:
             found = found.withColumn("_best", F.when(F.col("_best.event_time") > F.col(after), F.col("_best")))
     else:

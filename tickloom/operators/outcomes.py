@@ -57,12 +57,12 @@ def label(
 ) -> DataFrame:
     """One row per signal and horizon with entry, final price, outcome and net.
 
-    The entry does not depend on the horizon, so it is looked up once per signal.
+    The entry does not depend on the horizon, so it is looked up once per signal, and pinned, as the second search reads it often.
     """
     base = signals.withColumn("_target", plus_seconds("detected_at", rule.latency_seconds))
-    entered = select_price(
+    entered = pin(select_price(
         base, points, target="_target", target_id=["signal_id"], rule=FORWARD, max_age=rule.max_age_seconds, prefix="entry_"
-    )
+    ))
     per_h = entered.withColumn("horizon", F.explode(F.array(*[F.lit(float(h)) for h in horizons])))
     origin = F.col("entry_use_time") if rule.horizon_from == "entry" else F.col("detected_at")
     per_h = per_h.withColumn("expiry", F.when(F.col("entry_price").isNotNull(), plus_seconds(origin, F.col("horizon"))))
