@@ -100,3 +100,21 @@ def test_dependency_groups_without_a_quiet_point(spark, block, window):
     assert len(got) == len(data) and {r.ident: r.group_start for r in got} == want
     if block == 3:
         assert O.dependency_groups(df.limit(0), ["variant"], at="at", ident="ident", window=5).count() == 0
+
+
+@pytest.mark.parametrize("name", ["a26_deflated_sharpe"])
+def test_the_ledger_is_joined_once_a_query(spark, small, name):
+    """What a query reads again is written down once; its plan joins lines and orders no second time."""
+    from tickloom.plans import all_queries
+
+    plan = all_queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_ledger_amounts_are_made_before_the_join(spark, small):
+    from tickloom.plans import inputs
+
+    plan = inputs.ledger(spark, small).select("net")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert plan.children().head().output().size() == 2

@@ -54,7 +54,7 @@ def a25_probabilistic_sharpe(spark, sf):
 )
 def a26_deflated_sharpe(spark, sf):
     led = I.closed_trades(spark, sf).where("net IS NOT NULL")
-    days = led.groupBy("instrument", F.to_date("close_at").alias("day")).agg(F.sum("net").alias("net"))
+    days = pin(led.groupBy("instrument", F.to_date("close_at").alias("day")).agg(F.sum("net").alias("net")))
     out = S.deflated_sharpe(days, "instrument", "net")
     return out.select("instrument", rnd("threshold"), rnd("statistic"), rnd("dsr"))
 

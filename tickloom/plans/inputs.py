@@ -65,38 +65,43 @@ def bars(spark: SparkSession, sf_dir: str, tf: int | tuple[int, ...] = 4 * 3600)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trade per order line; cost is unknown for a tenth of the open lines."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = li.join(o, li.l_orderkey == o.o_orderkey)
+    """One trade per order line; cost is unknown for a tenth of the open lines.
+
+    Amounts are worked out before the join, so that a query that needs the net alone shuffles one number a line for it.
+    """
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     gross = (F.when(F.col("l_returnflag") == "R", -price).otherwise(price)).cast("decimal(18,4)")
     cost = F.when(
         ~((F.col("l_linestatus") == "O") & (F.col("l_partkey") % 10 == 0)),
         (price * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)"),
     )
-    a, b = F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp")
-    out = rows.select(
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag",
+        F.col("l_quantity").cast("decimal(18,2)").alias("units"), gross.alias("gross"), cost.alias("cost"),
+        (gross - cost).cast("decimal(18,4)").alias("net"), F.col("l_tax").cast("decimal(4,2)").alias("tax_rate"),
+        F.col("l_discount").cast("decimal(4,2)").alias("discount_rate"), price.alias("notional"),
+        F.col("l_shipdate").cast("timestamp").alias("_shipped"),
+    )
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", F.col("o_orderdate").cast("timestamp").alias("_ordered")
+    )
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_id"),
         F.col("o_orderpriority").alias("variant"),
         F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("instrument"),
         F.when(F.col("l_linenumber") % 2 == 0, "DOWN").otherwise("UP").alias("direction"),
-        F.col("l_quantity").cast("decimal(18,2)").alias("units"),
-        F.least(a, b).alias("entry_at"),
-        F.greatest(a, b).alias("close_at"),
-        gross.alias("gross"),
-        cost.alias("cost"),
-        (gross - cost).cast("decimal(18,4)").alias("net"),
+        "units",
+        F.least("_ordered", "_shipped").alias("entry_at"),
+        F.greatest("_ordered", "_shipped").alias("close_at"),
+        "gross", "cost", "net",
         F.when(F.col("o_orderstatus") == "P", "OPEN").otherwise("CLOSED").alias("state"),
         F.col("l_linestatus").alias("session"),
         F.col("l_returnflag").alias("regime"),
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("episode_id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("part_id"),
-        F.col("l_tax").cast("decimal(4,2)").alias("tax_rate"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount_rate"),
-        price.alias("notional"),
+        "tax_rate", "discount_rate", "notional",
     )
-    return out
 
 
 def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
