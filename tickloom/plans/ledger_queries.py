@@ -13,6 +13,7 @@ from tickloom.plans import inputs as I
 from tickloom.plans.indicator_queries import POINTS, points
 from tickloom.plans.inputs import SQL, sql_strict_bars, with_ctes
 from tickloom.plans.registry import query, rnd, text_list
+from tickloom.session import pin
 
 LED = SQL["ledger"]
 CLOSED = "closed AS (SELECT * FROM ledger WHERE state = 'CLOSED')"
@@ -38,8 +39,13 @@ DAILY = """days AS (SELECT variant, entry_at::DATE AS day FROM closed UNION SELE
     CASE WHEN coalesce(unknown, 0) = 0 THEN coalesce(known_net, 0)::DECIMAL(28,4) END AS net FROM days d LEFT JOIN per USING (variant, day))"""
 
 
-def daily(spark, sf):
-    led = I.closed_trades(spark, sf)
+def closed_amounts(spark, sf):
+    """What the daily figures need of the closed trades; written once, since trades and days read it."""
+    return pin(I.closed_trades(spark, sf).select("variant", "entry_at", "close_at", "net"))
+
+
+def daily(spark, sf, led=None):
+    led = closed_amounts(spark, sf) if led is None else led
     stamps = led.withColumn("day", F.explode(F.array(F.to_date("entry_at"), F.to_date("close_at"))))
     return L.daily_net(led, stamps, ["variant"])
 
@@ -113,8 +119,9 @@ def a15_break_even(spark, sf):
     ),
 )
 def a16_concentration(spark, sf):
-    per_trade = L.concentration(I.closed_trades(spark, sf), ["variant"], "net").withColumn("unit", F.lit("trade"))
-    per_day = L.concentration(daily(spark, sf), ["variant"], "known_net").withColumn("unit", F.lit("day"))
+    led = closed_amounts(spark, sf)
+    per_trade = L.concentration(led, ["variant"], "net").withColumn("unit", F.lit("trade"))
+    per_day = L.concentration(daily(spark, sf, led), ["variant"], "known_net").withColumn("unit", F.lit("day"))
     return per_trade.unionByName(per_day).select("unit", "variant", "parts", rnd("hhi", 9))
 
 
