@@ -297,7 +297,7 @@ WINDOWS = """b AS (SELECT epoch_us(min(entry_at)) AS lo, epoch_us(max(entry_at))
     ),
 )
 def a36_window_statistics(spark, sf):
-    led = I.ledger(spark, sf)
+    led = pin(I.ledger(spark, sf).select("entry_at", "close_at", "net"))
     wins = RW.windows_for(led, "entry_at", embargo_seconds=5 * 86400)
     out = RW.window_statistics(RW.assign_windows(led, wins))
     return out.select("window", "oos_trades", "purged_trades", "embargoed_trades", "oos_net", rnd("oos_mean", 4), rnd("median"))
