@@ -142,3 +142,14 @@ def test_stretches_without_a_target_send_only_rows_that_can_be_chosen(spark, rul
     side = lambda df, at: df.select("instrument", F.unix_micros(at).alias("_t"), F.struct(at).alias("_hit"))
     kept = asof._can_win(side(p, "event_time"), side(g, "goal"), ["instrument"], "event_time", newest=rule == BACKWARD).count()
     assert kept < 1200
+
+
+def test_events_of_one_instant_are_one_row(spark):
+    from tickloom.operators.intervals import level_at, signed_events
+
+    rows = [("A", f"2024-01-{1 + i % 3:02} 00:00:00", f"2024-01-{5 + i % 2:02} 00:00:00", 2.0) for i in range(60)]
+    t = spark.createDataFrame(rows, "k string, a string, b string, u double").withColumns({"a": F.to_timestamp("a"), "b": F.to_timestamp("b")})
+    assert signed_events(t, {"u": F.col("u")}, key=["k"], entry="a", close="b").count() == 5
+    marks = t.select("k", F.col("b").alias("at")).distinct().unionByName(t.select("k", F.col("a").alias("at")).distinct())
+    out = level_at(t, marks, {"u": F.col("u")}, key=["k"], entry="a", close="b", mark_at="at", mark_id="at")
+    assert [r.open_u for r in out.orderBy("at").collect()] == [40.0, 80.0, 120.0, 60.0, 0.0]

@@ -102,7 +102,7 @@ def test_dependency_groups_without_a_quiet_point(spark, block, window):
         assert O.dependency_groups(df.limit(0), ["variant"], at="at", ident="ident", window=5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["a16_concentration", "a26_deflated_sharpe", "a36_window_statistics"])
+@pytest.mark.parametrize("name", ["a16_concentration", "a26_deflated_sharpe", "a36_window_statistics", "j10_open_quantity"])
 def test_the_ledger_is_joined_once_a_query(spark, small, name):
     """What a query reads again is written down once; its plan joins lines and orders no second time."""
     from tickloom.plans import all_queries

@@ -179,33 +179,33 @@ def first_reach(
 # ---- level at an instant --------------------------------------------------
 
 
-def signed_events(trades: DataFrame, amounts: dict[str, Column], *, key: Sequence[str], ident: str, entry: str, close: str) -> DataFrame:
-    """Each trade as +amounts at its entry and −amounts at its close."""
+def signed_events(trades: DataFrame, amounts: dict[str, Column], *, key: Sequence[str], entry: str, close: str) -> DataFrame:
+    """Trades as +amounts at the entry and −amounts at the close, summed per instant; one row per key and instant."""
     names = list(amounts)
     ends = F.array(
-        F.struct(F.col(entry).alias("at"), F.lit(1).alias("side"), *[amounts[n].alias(n) for n in names]),
-        F.struct(F.col(close).alias("at"), F.lit(0).alias("side"), *[(-amounts[n]).alias(n) for n in names]),
+        F.struct(F.col(entry).alias("at"), *[amounts[n].alias(n) for n in names]),
+        F.struct(F.col(close).alias("at"), *[(-amounts[n]).alias(n) for n in names]),
     )
-    return trades.withColumn("_e", F.explode(ends)).select(*key, F.col(ident).alias("ident"), "_e.*")
+    each = trades.withColumn("_e", F.explode(ends)).select(*key, "_e.*").where(F.col("at").isNotNull())
+    return each.groupBy(*key, "at").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def level_at(
-    trades: DataFrame, marks: DataFrame, amounts: dict[str, Column], *, key: Sequence[str], ident: str, entry: str,
-    close: str, mark_at: str, mark_id: str,
+    trades: DataFrame, marks: DataFrame, amounts: dict[str, Column], *, key: Sequence[str], entry: str, close: str,
+    mark_at: str, mark_id: str,
 ) -> DataFrame:
     """Sum of ``amounts`` over the trades open at each mark: entry ≤ mark < close.
 
-    Two signed rows per trade, merged with the marks and summed as they come; trades and
-    marks are never paired.
+    Signed sums per instant, made before the shuffle, merged with the marks and summed as they come; trades and marks are
+    never paired. A mark follows all that happens at its instant.
     """
     names = list(amounts)
-    events = signed_events(trades, amounts, key=key, ident=ident, entry=entry, close=close)
-    events = events.where(F.col("at").isNotNull()).withColumn("kind", F.lit(0)).withColumn("ident", F.concat(F.col("ident").cast("string"), F.lit("/"), F.col("side").cast("string")))
+    events = signed_events(trades, amounts, key=key, entry=entry, close=close).withColumns({"kind": F.lit(0), "ident": F.lit("")})
     probes = marks.select(
         *key, F.col(mark_at).alias("at"), F.lit(1).alias("kind"), F.col(mark_id).cast("string").alias("ident"),
         F.struct(*marks.columns).alias("_mark"),
     )
-    both = events.drop("side").unionByName(probes, allowMissingColumns=True)
+    both = events.unionByName(probes, allowMissingColumns=True)
     order = ["at", "kind", "ident"]
     summed = running(range_chunks(both, key, order), key, order, {f"open_{n}": run_sum(n) for n in names})
     return summed.where(F.col("kind") == 1).select("_mark.*", *[f"open_{n}" for n in names])

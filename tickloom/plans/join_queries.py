@@ -381,11 +381,10 @@ def j9_quote_book_windowed(spark, sf):
     ),
 )
 def j10_open_quantity(spark, sf):
-    led = I.ledger(spark, sf)
+    led = pin(I.ledger(spark, sf).select("instrument", "entry_at", "close_at", "units"))
     marks = led.select("instrument", F.date_trunc("month", "close_at").alias("at")).distinct()
     out = intervals.level_at(
-        led.select("instrument", "trade_id", "entry_at", "close_at", "units"), marks, {"units": F.col("units")}, key=["instrument"],
-        ident="trade_id", entry="entry_at", close="close_at", mark_at="at", mark_id="at",
+        led, marks, {"units": F.col("units")}, key=["instrument"], entry="entry_at", close="close_at", mark_at="at", mark_id="at",
     )
     return out.select("instrument", "at", F.coalesce(F.col("open_units").cast("double"), F.lit(0.0)).alias("open_units"))
 
