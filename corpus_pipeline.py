@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from tickloom.llm.queries import vocabulary
 from tickloom.llm.registry import table
-from tickloom.session import drop_folder, drop_pinned, pins, scratch_path, ship_package
+from tickloom.session import drop_folder, drop_pinned, fit_batches, pins, scratch_path, ship_package
 
 SCOPE = "pipeline"
 
@@ -29,6 +29,7 @@ def stage(fn):
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package()
+        fit_batches(spark)
         drop_pinned(spark, SCOPE)
         with pins(SCOPE):
             return fn(spark, docs, sf_dir)

@@ -71,3 +71,20 @@ def test_near_copies_are_dropped_by_row(spark):
     assert out.columns == docs.columns
     kept = sorted(r.key[:1] if r.key[:1] in "bd" and len(r.key) == 2 else r.key for r in out.collect())
     assert kept == sorted(["a1", "clean", "b", "c", "d", "alone", "e1", "f1", "null", "null", "white"])
+
+
+def test_stages_bound_batches_by_bytes(spark):
+    """Long texts make batches of fewer rows, not larger ones; a bound that the session names stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('abcd ', 2000) AS text", "'s' AS source")
+        corpus_pipeline.mix_sources(spark, docs, "")
+        most = docs.mapInPandas(lambda batches: (b.assign(n=b["text"].str.len().sum())[["n"]].head(1) for b in batches), "n long").groupBy().max("n").first()[0]
+        assert most <= 8 << 20
+        spark.conf.set(key, "1m")
+        corpus_pipeline.mix_sources(spark, docs, "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

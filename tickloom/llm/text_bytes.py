@@ -95,7 +95,7 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if n > len(self._powers):
-            size = max(n, 2 * SLICE_BYTES)
+            size = max(n, SLICE_BYTES + 1)
             self._powers, self._inverses = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (BASE, INVERSE))
 
     def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -154,6 +154,20 @@ def fit_input(spark: SparkSession, path: str | None = None) -> None:
     _WIDTHS[app] = own, want, read
 
 
+ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 4 << 20
+
+
+def fit_batches(spark: SparkSession) -> None:
+    """Bound what a task hands to Python at once by bytes, where the session names no bound.
+
+    Batches of 10,000 rows follow the length of the texts, and each is held several times: by the task, its Arrow buffers, which
+    Spark keeps for the next batch, and the worker. Idle workers keep their part while a later stage without Python runs.
+    """
+    if spark.conf.get(ARROW_KEY, None) is None:
+        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
+
+
 def use_utc(spark: SparkSession) -> None:
     """All calendar arithmetic here is UTC; the casts of naive columns depend on it."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
