@@ -156,3 +156,46 @@ def test_odd_rows_exact(odd, odd_rows):
     assert len(got) == len(odd_rows)
     assert sum(r.kept for r in got) == len({re.sub("[\x20\x09-\x0d]+", " ", r[1] or "") for r in odd_rows})
     assert got[0].asDict().keys() == {*odd.columns, "group_size", "text_sha256"}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 60), st.booleans(), st.integers(0, 2)), min_size=1, max_size=30))
+def test_bucket_rows_without_a_possible_link_are_dropped(rows):
+    rows = sorted((t, 256 * ngram_join.size_class_of(n) + 128 * s + (7 if salt == 2 else 0), n) for t, n, s, salt in rows)
+    token, kind, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    kept = ngram_join.with_possible_link(token, kind)
+    cls, short = kind >> 8, kind >> 7 & 1
+    for i in range(len(rows)):
+        near = [j for j in range(len(rows)) if j != i and token[j] == token[i]]
+        want = any(short[i] and cls[j] - cls[i] in (0, 1) or short[j] and cls[i] - cls[j] in (0, 1) for j in near)
+        assert kept[i] == (want or kind[i] & 127 > 0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), max_size=8), st.sets(st.integers(0, 400), max_size=8))
+def test_linked_sets_stay_in_a_bucket(a, more, less):
+    b = (a | more) - less
+    if not b or 100 * len(a & b) < 80 * len(a | b):
+        return
+    small, large = sorted((a, b), key=len)
+    assert ngram_join.size_class_of(len(large)) - ngram_join.size_class_of(len(small)) in (0, 1)
+    x, y = (ngram_join.mix(np.array(sorted(s), np.uint64)) for s in (small, large))
+    order = ngram_join.Frequent(x[:3][::-1])
+    first = order.in_order(np.sort(x))[0][: ngram_join.short_prefix_length(len(x))], order.in_order(np.sort(y))[0][: ngram_join.prefix_length(len(y))]
+    assert set(first[0].tolist()) & set(first[1].tolist())
+
+
+def test_texts_travel_only_of_compared_nodes(spark, monkeypatch):
+    """Strangers that share passages have buckets in common, but their texts are never fetched; neither is a text twice."""
+    sent = []
+    plain = ngram_join._texts
+    monkeypatch.setattr(ngram_join, "_texts", lambda *x: sent.append(plain(*x)) or sent[-1])
+    rng = random.Random(3)
+    passage = " ".join(f"shared{i}" for i in range(12))
+    rows = [(i, " ".join(f"s{i}w{k}" for k in range(40)) + " " + passage) for i in range(60)]
+    near = [f"n{k}" for k in range(80)]
+    rows += [(100, " ".join(near)), (101, " ".join(near[:-1] + ["other"])), (100, "another text"), (101, " ".join(near[:-1] + ["other"]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert linked(df) == brute(rows)
+    assert [s.count() for s in sent] == [2, 0]

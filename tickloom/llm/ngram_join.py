@@ -8,7 +8,8 @@ least ``PERCENT`` * union. Documents with equal sets are one node.
   overlap of two sets is at most the sum of the smaller of each two counts.
 * Buckets: shingles have a fixed total order, frequent ones last. Two linked nodes share one of the first
   n - ceil(PERCENT/100 n) + 1 shingles of either, so every pair to be looked at meets in the bucket of such a
-  shingle; a bucket splits into classes of like size and large classes into blocks that meet pairwise.
+  shingle; a bucket splits into classes of like size and large classes into blocks that meet pairwise. Of the smaller node
+  that shingle is among its first ones by a stricter count; rows that no other row of the bucket can be linked to by size and these places are dropped.
 * R-trees: in each block the points are packed into leaves with bounding boxes. Two leaves whose boxes' summed
   coordinate minima are below the least overlap are skipped whole, then single pairs are.
 * Verification: what is left is compared on the whole shingle sets.
@@ -18,11 +19,13 @@ pass the bound, in the buckets of a few shingles a node, and verifies those pair
 whose nodes are still in several components: the R-trees name the rows that have a partner in another component, the
 texts of these rows are brought to their blocks, and each block compares all its pairs exactly and returns a spanning
 forest of the links. So no link between components is missed, and no table of pairs grows with the square of a group.
+Texts travel only of nodes that a pass compares.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,9 +89,10 @@ def groups_of(n: int) -> int:
 
 
 def count_vector(tokens: np.ndarray) -> bytes:
+    """The counts of the groups, a byte each, deflated: most are 0 or 1, and they travel to every bucket of their node."""
     d = groups_of(len(tokens))
     counts = np.bincount((tokens & np.uint64(d - 1)).astype(np.int64), minlength=d)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
 
 
 def vectors(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -96,7 +100,7 @@ def vectors(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
     d = min(groups_of(int(n)) for n in sizes)
     out = np.zeros((len(packed), d), np.int32)
     for i, p in enumerate(packed):
-        v = np.frombuffer(p, np.uint8).astype(np.int32)
+        v = np.frombuffer(zlib.decompress(p), np.uint8).astype(np.int32)
         v[v == 255] = 1 << 20  # a full counter bounds nothing
         out[i] = v.reshape(-1, d).sum(axis=0)
     return out
@@ -111,6 +115,16 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def short_prefix_length(n: int) -> int:
+    """Of the smaller of two linked sets, or either of equal ones, a shared shingle is among so many first ones."""
+    return n - least_overlap(2 * n) + 1
+
+
+def size_class_of(n: int) -> int:
+    """Linked sets are in one class or in neighbouring ones."""
+    return int(math.log(n) / math.log(_CLASS_BASE))
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document rows (key, size, node, vector), and rows of (token, hits) for tokens of several documents of a task."""
     shingler, kept, held = Shingler(), [], 0
@@ -172,11 +186,14 @@ class Frequent:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node, salt) of the prefixes; the rows of a frequent token are spread by salt (1 to 64)."""
+    """Rows (token, node, kind) of the prefixes.
+
+    A kind is (2 * size class + whether the token is in the short prefix) * 128 + salt; the rows of a frequent token are spread by salt (1 to 64).
+    """
     shingler, done = Shingler(), set()
     for batch in batches:
         for _, _, data, offs in slices(batch.column(0)):
-            tokens, nodes, places = [], [], []
+            tokens, nodes, places, kinds = [], [], [], []
             for s in shingler.sets(data, offs):
                 if not len(s) or (node := node_id(s)) in done:
                     continue
@@ -186,27 +203,47 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator
                 tokens.append(first)
                 places.append(place)
                 nodes.append(np.full(len(first), node, np.int64))
+                kinds.append(2 * size_class_of(len(s)) + (np.arange(len(first)) < short_prefix_length(len(s))))
             if not tokens:
                 continue
             token, node = np.concatenate(tokens), np.concatenate(nodes)
             place = np.concatenate(places)
-            salt = np.where((place >= 0) & (place < SALTED), 1 + (node & 63), 0).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(node), pa.array(salt)], names=["token", "node", "salt"])
+            kind = (np.concatenate(kinds) * 128 + np.where((place >= 0) & (place < SALTED), 1 + (node & 63), 0)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(node), pa.array(kind)], names=["token", "node", "kind"])
+
+
+def with_possible_link(token: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Of distinct nodes in order of (token, kind): those that may be linked to another node of their token.
+
+    The smaller of the two has the token in its short prefix, and the other is of its size class or the next. Rows of frequent tokens are all kept.
+    """
+    cls, short = kind >> 8, (kind >> 7 & 1).astype(bool)
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return new
+    rows, shorts = np.diff(np.append(first, len(token))), np.add.reduceat(short.astype(np.int64), first)
+    follows = (token[first[1:]] == token[first[:-1]]) & (cls[first[1:]] == cls[first[:-1]] + 1)
+    above, below = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    above[:-1] = follows
+    below[1:] = follows & (shorts[:-1] > 0)
+    at = np.cumsum(new) - 1
+    as_smaller = short & ((rows[at] > 1) | above[at])
+    as_larger = (shorts[at] - short > 0) | below[at]
+    return as_smaller | as_larger | (kind & 127 > 0)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (token, node): the distinct ones whose token has several nodes, or is frequent."""
+    """Of rows in order of (token, kind, node): the distinct ones that may be linked to another node of their token."""
     rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def chosen(token: np.ndarray, node: np.ndarray, salt: np.ndarray) -> pa.RecordBatch:
+    def chosen(token: np.ndarray, node: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, salt = token[new], node[new], salt[new]
-        same = token[1:] == token[:-1]
-        many = salt > 0
-        many[1:] |= same
-        many[:-1] |= same
-        return pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(node[many])], names=["token", "node"])
+        token, node, kind = token[new], node[new], kind[new]
+        some = with_possible_link(token, kind)
+        return pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(node[some])], names=["token", "node"])
 
     for batch in batches:
         cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -436,56 +473,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per node of rows (node, text) found by doc_id; another row of that doc_id may have another text."""
-    shingler, done = Shingler(), set()
-    for batch in batches:
-        nodes, good = batch.column(0).to_pylist(), []
-        for lo, _, data, offs in slices(batch.column(1)):
-            for k, s in enumerate(shingler.sets(data, offs)):
-                good.append(node_id(s) == nodes[lo + k] and nodes[lo + k] not in done)
-                if good[-1]:
-                    done.add(nodes[lo + k])
-        yield batch.filter(pa.array(good, pa.bool_()))
+def _marked(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, text) of rows (text), one per node that the task has met, as long as it can remember them."""
+def _texts_of_marked(batches: Iterator[pa.RecordBatch], bits: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, place, text) whose place, or node for a null id, is marked: (node, text), one per node that the task has met, as long as it can remember them."""
     shingler, done = Shingler(), set()
     for batch in batches:
-        for lo, hi, data, offs in slices(batch.column(0)):
-            nodes, fresh = [node_id(s) for s in shingler.sets(data, offs)], []
-            for node in nodes:
-                fresh.append(node not in done)
-                if len(done) < 500_000:
+        lone = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(lone | _marked(bits, batch.column(1).to_numpy(zero_copy_only=False)))
+        texts, lone = batch.column(2).take(pa.array(some)), lone[some]
+        for lo, hi, data, offs in slices(texts):
+            nodes = np.array([node_id(s) for s in shingler.sets(data, offs)], np.int64)
+            good = ~lone[lo:hi] | _marked(bits, (nodes.view(np.uint64) >> np.uint64(shift)).astype(np.int64))
+            for k, node in enumerate(nodes.tolist()):
+                good[k] &= node not in done
+                if good[k] and len(done) < 500_000:
                     done.add(node)
-            rows = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0).slice(lo, hi - lo)], names=["node", "text"])
-            yield rows.filter(pa.array(fresh, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[good]), texts.slice(lo, hi - lo).filter(pa.array(good))], names=["node", "text"])
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (node, text) of all nodes: by the node's doc_id, or by its set where all its rows have a null id."""
-    known = docs.join(nodes.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(_own_text, "node long, text string")
-    lone = docs.where("doc_id is null").select("text").mapInArrow(_with_node, "node long, text string")
-    return known.unionByName(lone.join(nodes.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (node, text) of the nodes in ``wanted``, one each.
 
-
-def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose node may be in ``wanted``: a bit filter of fixed size, whose false hits a join drops later."""
-    place = F.shiftrightunsigned(F.xxhash64("node"), 64 - (FILTER_BITS - 1).bit_length()) + 1  # Spark's bitmaps count from 1
-    parts = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    Documents pass a bit filter of fixed size over the nodes' doc_ids (their sets where all rows of a node have a null id) before they are
+    shuffled; the join drops its false hits, and other texts of a doc_id. One Python step a task: each step of a chain has a worker of its own.
+    """
+    shift = 64 - (FILTER_BITS - 1).bit_length()
+    chosen = pin(nodes.select("node", "doc_id").join(wanted.select("node").distinct(), "node", "left_semi"))
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), shift)
+    places = chosen.select((F.when(F.col("doc_id").isNotNull(), hashed).otherwise(F.shiftrightunsigned("node", shift)) + 1).alias("place"))  # Spark's bitmaps count from 1
+    parts = places.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts.collect():  # FILTER_BITS / 8 bytes at most
         bits[4096 * (r["part"] - 1) : 4096 * r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False) - 1
-            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hit)) for i in (0, 1)], names=["node", "text"])
-
-    return texts.select("node", "text", place.alias("place")).mapInArrow(keep, "node long, text string")
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    found = docs.select("doc_id", hashed.alias("place"), "text").mapInArrow(lambda b: _texts_of_marked(b, shared.value, shift), "node long, text string")
+    return found.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -532,19 +557,19 @@ def _linked(docs: DataFrame) -> DataFrame:
     hits = described.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits"))
     top = hits.orderBy(F.desc("hits"), "token").limit(FREQUENT).select("token").toPandas()["token"]
     shared_list = spark.sparkContext.broadcast(Frequent(top.to_numpy(np.int64).astype(np.uint64)))
-    prefixes = docs.select("text").mapInArrow(lambda b: _prefixes(b, shared_list.value), "token long, node long, salt byte")
-    ordered = prefixes.repartition(shuffle_width(spark), "token", "salt").sortWithinPartitions("token", "node")
+    prefixes = docs.select("text").mapInArrow(lambda b: _prefixes(b, shared_list.value), "token long, node long, kind int")
+    ordered = prefixes.repartition(shuffle_width(spark), "token", F.col("kind").bitwiseAND(127)).sortWithinPartitions("token", "kind", "node")
     shared = pin(ordered.mapInArrow(_shared, "token long, node long"))
 
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"))
     nodes = pin(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
-    texts = pin(_texts(docs, nodes))
 
-    candidates = _in_blocks(_blocks(_few_tokens(shared, nodes)), nodes, "vector", _candidate_forest, "a long, b long").distinct()
-    edges = pin(_links(candidates, texts))
+    candidates = pin(_in_blocks(_blocks(_few_tokens(shared, nodes)), nodes, "vector", _candidate_forest, "a long, b long").distinct())
+    compared = candidates.select(F.explode(F.array("a", "b")).alias("node"))
+    edges = pin(_links(candidates, pin(_texts(docs, nodes, compared))))
     open_ = _blocks(_open_buckets(shared, nodes, components(edges)))
     alike = pin(_in_blocks(open_, nodes, "vector", _with_partner, _BLOCK_SCHEMA))
-    edges = edges.unionByName(_in_blocks(alike, _only(texts, alike), "text", _link_forest, "a long, b long"))
+    edges = edges.unionByName(_in_blocks(alike, _texts(docs, nodes, alike), "text", _link_forest, "a long, b long"))
     roots = components(edges).withColumnRenamed("root", "found")
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")
     member = rows.groupBy("node").agg(F.min(order).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("found", "node"))
