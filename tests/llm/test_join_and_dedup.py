@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tickloom.llm import components as components_module
 from tickloom.llm import exact_dedup, ngram_join
 from tickloom.llm.components import components
 
@@ -133,6 +134,46 @@ def test_components_of_chain_and_star(spark):
     assert got == {i: 0 for i in range(1, 61)} | {k: 100 for k in range(101, 140)}
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns, and the number of Spark jobs that it starts."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_a_chain_take_few_jobs(spark):
+    """The driver keeps threads, plans and hash tables of every job; what fits into one task needs no steps."""
+    ids = random.Random(5).sample(range(10_000), 500)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    got, jobs = jobs_of(spark, lambda: {r.node: r.root for r in components(edges).collect()})
+    assert got == {i: min(ids) for i in ids if i != min(ids)}
+    assert jobs <= 8
+
+
+def test_components_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "TASK_EDGES", 60)
+    rng = random.Random(6)
+    ids = rng.sample(range(10_000), 150)
+    edges = list(zip(ids, ids[1:])) + [(20_000, k) for k in range(20_001, 20_060)] + [(30_000 + rng.randrange(60), 30_000 + rng.randrange(60)) for _ in range(60)]
+    edges += edges[:20]
+    parent = {n: n for e in edges for n in e}
+    for a, b in edges:
+        a, b = ngram_join._find(parent, a), ngram_join._find(parent, b)
+        parent[max(a, b)] = min(a, b)
+    want = {n: ngram_join._find(parent, n) for n in parent}
+    rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(rows) == len({r.node for r in rows})
+    assert {r.node: r.root for r in rows} == {n: r for n, r in want.items() if n != r}
+
+
+def test_components_of_nothing(spark):
+    assert components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("hot_share", [exact_dedup.HOT_SHARE, 1])
 def test_exact_groups(spark, monkeypatch, hot_share):
     if hot_share == 1:
