@@ -567,7 +567,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     candidates = pin(_in_blocks(_blocks(_few_tokens(shared, nodes)), nodes, "vector", _candidate_forest, "a long, b long").distinct())
     compared = candidates.select(F.explode(F.array("a", "b")).alias("node"))
     edges = pin(_links(candidates, pin(_texts(docs, nodes, compared))))
-    open_ = _blocks(_open_buckets(shared, nodes, components(edges)))
+    open_ = _blocks(pin(_open_buckets(shared, nodes, components(edges))))
     alike = pin(_in_blocks(open_, nodes, "vector", _with_partner, _BLOCK_SCHEMA))
     edges = edges.unionByName(_in_blocks(alike, _texts(docs, nodes, alike), "text", _link_forest, "a long, b long"))
     roots = components(edges).withColumnRenamed("root", "found")
