@@ -39,7 +39,7 @@ def _stars_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contracted(edges: DataFrame, rows: int) -> DataFrame:
-    """``edges``, of which there are so many rows, dealt to tasks of ``TASK_EDGES`` rows and contracted there."""
+    """``edges``, dealt to a task for every ``TASK_EDGES`` of ``rows`` and contracted there; a step makes at most two rows of one."""
     return edges.repartition(max(1, -(-rows // TASK_EDGES))).mapInArrow(_stars_of_task, "a long, b long")
 
 
